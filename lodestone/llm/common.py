@@ -70,8 +70,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of df (for a scan: its files)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Catalyst's estimate of the bytes that df is made from (for a scan: its files); 16 MB a partition if it has none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else shuffle_partitions(df.sparkSession) << 24
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
