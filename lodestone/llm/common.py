@@ -201,3 +201,15 @@ def words_by_block(column: pa.Array, lower: bool = False) -> Iterator[tuple[int,
 
 def lower_az(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
+
+
+def weighted_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """left ⋈ right on `key`; `weight` is how many of left's `total` rows have right's key.
+
+    Keys of over a thousandth of the rows, of which there are under 1000, are joined by broadcast; no other key is
+    large enough to fill a task.
+    """
+    bound = max(1000, total // 1000)
+    hot, rest = right.where(F.col(weight) > bound), right.where(F.col(weight) <= bound)
+    keys = hot.select(F.col(key).alias("__hot"))
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(keys), F.col(key) == F.col("__hot"), "left_anti").join(rest, key))

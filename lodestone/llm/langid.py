@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +139,25 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     return fit(x, [r["lang"] for r in rows])
 
 
+def _judge(model: LanguageModel, text: pa.Array, lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, rejected) of texts."""
+    if not model.langs:
+        lettered = np.zeros(len(lettered), bool)
+    lang, score = np.full(len(lettered), UNKNOWN, object), np.zeros(len(lettered))
+    buf, off = as_bytes(text)
+    for lo in range(0, len(lettered), 512):
+        hi = min(lo + 512, len(lettered))
+        if lettered[lo:hi].any():
+            best, p = model.scores(features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+            lang[lo:hi] = np.where(lettered[lo:hi], np.array(model.langs, object)[best], UNKNOWN)
+            score[lo:hi] = np.where(lettered[lo:hi], p, 0.0)
+    return lang, score, ~lettered | (score < model.threshold)
+
+
+def _lettered(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected of every text.
 
@@ -149,26 +169,32 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = handle.value
         for batch in batches:
-            lettered = np.array(batch.column("lettered").to_pylist(), bool)
-            if not model.langs:
-                lettered[:] = False
-            lang, score = np.full(len(lettered), UNKNOWN, object), np.zeros(len(lettered))
-            buf, off = as_bytes(batch.column("text"))
-            for lo in range(0, len(lettered), 512):
-                hi = min(lo + 512, len(lettered))
-                if lettered[lo:hi].any():
-                    best, p = model.scores(features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
-                    lang[lo:hi] = np.where(lettered[lo:hi], np.array(model.langs, object)[best], UNKNOWN)
-                    score[lo:hi] = np.where(lettered[lo:hi], p, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(~lettered | (score < model.threshold))], ["doc_id", "lang_pred", "score", "rejected"])
-
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+            lang, score, rejected = _judge(handle.value, batch.column("text"), np.array(batch.column("lettered").to_pylist(), bool))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _lettered(F.col(text_col)).alias("lettered"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that the model doesn't reject; a null language becomes the predicted one. No shuffle."""
+    prepare(docs.sparkSession)
+    handle, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            text = row.field(names.index(text_col))
+            lang, _, rejected = _judge(handle.value, text, np.array(batch.column("lettered").to_pylist(), bool))
+            columns = [row.field(i) for i in range(len(names))]
+            if lang_col in names:
+                columns[names.index(lang_col)] = pc.coalesce(row.field(names.index(lang_col)), pa.array(lang, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(~rejected))
+
+    return docs.select(F.struct(*docs.columns).alias("row"), _lettered(F.col(text_col)).alias("lettered")).mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str = "doc_id", folds: int = 3) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
 

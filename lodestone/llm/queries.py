@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import balltree, gif, langid, mixing, ngrams, packing, substrings, suffixes, urls
+from . import balltree, gif, langid, mixing, ngrams, packing, simhash, substrings, suffixes, urls
 
-_MODULES = (suffixes, balltree, gif, langid, ngrams, packing, substrings, urls, mixing)
+_MODULES = (suffixes, simhash, balltree, gif, langid, ngrams, packing, substrings, urls, mixing)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERY.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

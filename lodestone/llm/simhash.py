@@ -1,8 +1,9 @@
-"""Operator 2: SimHash fingerprints of word shingles."""
+"""Operator 2: SimHash near-dedup. Fingerprints of word shingles, linked within a few bits by vantage-point trees in shards."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR, prepare, words_by_block
+from .common import SEPARATOR, cut, mix64, prepare, shuffle_partitions, weighted_join, words_by_block
 
 SEED = 42
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -113,3 +114,252 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(batch.column(1)).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+
+# --- pairs within a distance
+
+RADIUS = 6
+#: Points that are compared with each other without a tree.
+LEAF = 64
+
+
+def layout(n: int) -> tuple[int, int]:
+    """(blocks, of which so many agree in any linked pair) for n fingerprints: more, and longer keys, for more."""
+    blocks = 8 if n < 2 * 10**8 else 10 if n < 2 * 10**10 else 12
+    return blocks, blocks - RADIUS
+
+
+def block_masks(blocks: int) -> np.ndarray:
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    return np.array([((1 << b) - (1 << a)) for a, b in zip(edges[:-1], edges[1:], strict=True)], np.uint64)
+
+
+def tables(blocks: int, agree: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(blocks), agree))
+
+
+def _brute(a: np.ndarray, b: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> None:
+    near = np.bitwise_count(x[a][:, None] ^ x[b][None, :]) <= RADIUS
+    i, j = np.nonzero(near)
+    found.append((a[i], b[j]))
+
+
+def near_within(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of a set of fingerprints within RADIUS, by a vantage-point tree.
+
+    A set is split at the median distance from its first point. A pair whose distances from that point differ by
+    more than RADIUS is apart by the triangle inequality, so of the two sides only the points near the boundary
+    meet, and they are split again in the same way.
+    """
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    stack: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(x)), None)]
+    while stack:
+        a, b = stack.pop()
+        if b is None:
+            if len(a) <= LEAF:
+                _brute(a, a, found, x)
+                continue
+            d = np.bitwise_count(x[a] ^ x[a[0]]).astype(np.int64)
+            mid = int(np.median(d))
+            inner = d <= mid
+            if inner.all():
+                inner = d < mid
+            if not inner.any():  # all at one distance from it
+                for s in range(0, len(a), 1024):
+                    for t in range(s, len(a), 1024):
+                        _brute(a[s : s + 1024], a[t : t + 1024], found, x)
+                continue
+            top, low = int(d[inner].max()), int(d[~inner].min())
+            stack += [(a[inner], None), (a[~inner], None), (a[inner & (d >= low - RADIUS)], a[~inner & (d <= top + RADIUS)])]
+            continue
+        if not len(a) or not len(b):
+            continue
+        if len(a) * len(b) <= LEAF * LEAF * 16:
+            _brute(a, b, found, x)
+            continue
+        da, db = (np.bitwise_count(x[s] ^ x[a[0]]).astype(np.int64) for s in (a, b))
+        mid = int(np.median(da))
+        ia, ib = da <= mid, db <= mid
+        if ia.all() or not ia.any():
+            for s in range(0, len(a), 1024):
+                for t in range(0, len(b), 1024):
+                    _brute(a[s : s + 1024], b[t : t + 1024], found, x)
+            continue
+        stack += [(a[ia], b[ib]), (a[~ia], b[~ib]), (a[ia & (da > mid - RADIUS)], b[~ib & (db <= mid + RADIUS)]), (a[~ia & (da <= mid + RADIUS)], b[ib & (db > mid - RADIUS)])]
+    if not found:
+        return (np.zeros(0, np.int64),) * 2
+    i, j = (np.concatenate(f) for f in zip(*found, strict=True))
+    pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1)[i != j], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def links(x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with one key (rows are in order of key) within RADIUS. Small groups meet by shifts, all at once."""
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1) != 0) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    small = np.repeat(size <= LEAF, size)
+    for shift in range(1, int(size[size <= LEAF].max(initial=0))):
+        i = np.flatnonzero(small[:-shift] & (key[shift:] == key[:-shift]))
+        i = i[np.bitwise_count(x[i] ^ x[i + shift]) <= RADIUS]
+        out.append((i, i + shift))
+    for g in np.flatnonzero(size > LEAF):
+        i, j = near_within(x[first[g] : first[g] + size[g]])
+        out.append((first[g] + i, first[g] + j))
+    if not out:
+        return (np.zeros(0, np.int64),) * 2
+    i, j = (np.concatenate(o) for o in zip(*out, strict=True))
+    return i, j
+
+
+def roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least row connected with each of n rows."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        np.minimum.at(label, before[i], low)
+        np.minimum.at(label, before[j], low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+        if np.array_equal(label, before):
+            return label
+
+
+def _spread(blocks: int, agree: int, buckets: int) -> Callable:
+    masks = block_masks(blocks)
+    combos = tables(blocks, agree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("n")).astype(np.uint64)
+            rows: list[tuple[int, bytes]] = []
+            for t, combo in enumerate(combos):
+                bucket = (mix64((x & np.bitwise_or.reduce(masks[list(combo)])) + np.uint64(t)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    i = order[s:e]
+                    rows.append((int(bucket[i[0]]), np.concatenate([np.array([t, len(i)], np.uint64), x[i], n[i]]).tobytes()))
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "blob"])
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "blob"])
+
+    return run
+
+
+def _meet(blocks: int, agree: int) -> Callable:
+    """A bucket's links: (fp, partners counted with their copies, a connected fingerprint or null)."""
+    masks = block_masks(blocks)
+    combos = tables(blocks, agree)
+
+    def first_agreeing(z: np.ndarray) -> np.ndarray:
+        """The table of the first blocks in which pairs agree: a pair meets in several, and counts in that one."""
+        same = (z[:, None] & masks) == 0
+        rank = np.cumsum(same, 1)
+        bits = (same & (rank <= agree)) @ (1 << np.arange(blocks))
+        of = {sum(1 << b for b in c): t for t, c in enumerate(combos)}
+        return np.array([of[b] for b in bits.tolist()], np.int64)
+
+    def run(table: pa.Table) -> pa.Table:
+        parts: dict[int, list[np.ndarray]] = {}
+        for b in table.column("blob").to_pylist():
+            a = np.frombuffer(b, np.uint64)
+            parts.setdefault(int(a[0]), []).append(a[2:].reshape(2, int(a[1])))
+        fps, counts, peers = [], [], []
+        for t, p in parts.items():
+            x, n = np.concatenate(p, 1)
+            key = x & np.bitwise_or.reduce(masks[list(combos[t])])
+            order = np.lexsort((x, key))
+            x, n, key = x[order], n[order].astype(np.int64), key[order]
+            i, j = links(x, key)
+            if not len(i):
+                continue
+            root = roots(i, j, len(x))
+            moved = np.flatnonzero(root != np.arange(len(x)))
+            own = first_agreeing(x[i] ^ x[j]) == t
+            i, j = i[own], j[own]
+            near = np.bincount(i, n[j], len(x)) + np.bincount(j, n[i], len(x))
+            some = np.flatnonzero(near)
+            fps += [x[some], x[moved]]
+            counts += [near[some].astype(np.int64), np.zeros(len(moved), np.int64)]
+            peers += [np.ma.masked_all(len(some), np.int64), np.ma.array(x[root[moved]].view(np.int64), mask=False)]
+        if not fps:
+            return pa.table([pa.array([], pa.int64())] * 3, ["fp", "near", "peer"])
+        peer = np.ma.concatenate(peers)
+        return pa.table([pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(counts)), pa.array(peer.data, pa.int64(), mask=np.ma.getmaskarray(peer))], ["fp", "near", "peer"])
+
+    return run
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(u, root) of every node of edges (u, v): the least connected node, by rounds of large and small stars.
+
+    A large star links a node's greater neighbours to its least one, a small star the others to it; both keep the
+    components. Every round is written to the shared folder; it ends when a round changes nothing.
+    """
+    spark = edges.sparkSession
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w"))
+
+    def to_least(e: DataFrame) -> DataFrame:
+        return weighted_join(e, least(e), "u", "w", e.count())
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    seen = None
+    while (now := mark(e)) != seen and now[0]:
+        seen = now
+        both = cut(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = cut(to_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct())
+        small = to_least(large)
+        e = cut(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+    del spark
+    return e.select("u", F.col("v").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, n_near, component_id of every document.
+
+    Documents with one fingerprint are one point from here on. A pair within RADIUS bits differs in at most that
+    many of the blocks that the bits are cut into, so it agrees in the rest: points are sharded by each choice of
+    so many blocks, and a linked pair meets in a shard. There small groups are compared directly and large ones by
+    a vantage-point tree. Shards give counts and spanning trees, never all pairs; components follow from those.
+
+    Null text, and text without a word, has fingerprint zero and is linked like any other. Rows that repeat an id
+    are documents of their own. A null id gives no component its name; a component of null ids alone has null.
+    No rows: none.
+    """
+    rows = cut(fingerprints(docs, id_col, text_col))
+    spark = rows.sparkSession
+    classes = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
+    points = classes.count()
+    blocks, agree = layout(points)
+    buckets = max(shuffle_partitions(spark), points * len(tables(blocks, agree)) // 1_000_000)
+    met = classes.select("fp", "n").mapInArrow(_spread(blocks, agree, buckets), "bucket int, blob binary")
+    met = cut(met.groupBy("bucket").applyInArrow(_meet(blocks, agree), "fp long, near long, peer long"))
+    near = met.groupBy("fp").agg(F.sum("near").alias("near"))
+    tree = components(met.where("peer IS NOT NULL").select(F.col("fp").alias("u"), F.col("peer").alias("v")))
+    placed = classes.join(near, "fp", "left").join(tree, F.col("fp") == F.col("u"), "left")
+    placed = cut(placed.select("fp", "n", "first", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("root", "fp").alias("root")))
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("w"))
+    placed = cut(weighted_join(placed, named, "root", "w", points).select("fp", "n", (F.col("near") + F.col("n") - 1).alias("n_near"), "component_id"))
+    out = weighted_join(rows, placed, "fp", "n", rows.count())
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """docs (ids unique) with the first document of each component only."""
+    first = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
+    return docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi")
+
+
+QUERY = {"op2_simhash_near_dups": lambda spark, sf_dir: near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+ORACLE: dict[str, str] = {}
