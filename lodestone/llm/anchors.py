@@ -52,11 +52,17 @@ class Windows:
         return self.length - self.gram + 1
 
 
-def segments(values: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor, anchor hash, content hash) of the segments of adjoining sequences."""
+def segments(values: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.ndarray, ...]:
+    """Of the segments of adjoining sequences: (first window, number of windows, anchor, anchor hash, content hash,
+    left hash, right hash).
+
+    The last two are of the anchor with half as many units as a window has besides, before it and after it; 0 where
+    no window of the segment has so many. Every window has them on one side, so only segments that share an
+    anchor and one of these hashes can have a window in common.
+    """
     n = len(values)
     if n < w.length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 4
     prefix = Prefix(values)
     grams = mix64((prefix.sums[w.gram :] - prefix.sums[: n - w.gram + 1]) * prefix.down[: n - w.gram + 1])
     least = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -84,7 +90,10 @@ def segments(values: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.nda
     keep = valid[first]
     first, count = first[keep], count[keep]
     anchor = place[first]
-    return first, count, anchor, grams[anchor], prefix.spans(first, first + count + w.length - 1)
+    half, stop, none = w.places // 2, anchor + w.gram, np.uint64(0)
+    left = np.where(anchor - half >= first, prefix.spans(np.maximum(anchor - half, 0), stop) | np.uint64(1 << 32), none)
+    right = np.where(stop + half <= first + count + w.length - 1, prefix.spans(anchor, np.minimum(stop + half, n)) | np.uint64(1 << 32), none)
+    return first, count, anchor, grams[anchor], prefix.spans(first, first + count + w.length - 1), left >> np.uint64(32), right >> np.uint64(32)
 
 
 def _units(column: pa.Array, w: Windows) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -100,22 +109,22 @@ def _units(column: pa.Array, w: Windows) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def _document_segments(column: pa.Array, w: Windows) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, first window in it, windows, anchor hash, content hash); a long document is taken in pieces."""
+    """(document, first window in it, windows, hashes of anchor, content, left and right); a long document is taken in pieces."""
     for lo, hi, values, bounds in _units(column, w):
         if len(values) <= 2 * BLOCK:
-            first, count, _, h, seg = segments(values, bounds, w)
+            first, count, _, *hashes = segments(values, bounds, w)
             doc = np.searchsorted(bounds, first, "right") - 1
-            yield doc + lo, first - bounds[doc], count, h, seg
+            yield doc + lo, first - bounds[doc], count, *hashes
             continue
         for d in range(lo, hi):
             own = values[bounds[d - lo] : bounds[d - lo + 1]]
             for at in range(0, max(1, len(own) - w.length + 1), BLOCK):
                 part = own[at : at + BLOCK + w.length - 1]
-                first, count, _, h, seg = segments(part, np.array([0, len(part)]), w)
-                yield np.full(len(first), d), first + at, count, h, seg
+                first, count, _, *hashes = segments(part, np.array([0, len(part)]), w)
+                yield np.full(len(first), d), first + at, count, *hashes
 
 
-def _classes(uid: np.ndarray, at: np.ndarray, n: np.ndarray, h: np.ndarray, seg: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+def _classes(uid: np.ndarray, at: np.ndarray, h: np.ndarray, seg: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers in order of (anchor, content, place), and which of those start no earlier than their equals."""
     order = np.lexsort((at, uid, seg, h))
     same = np.zeros(len(order), bool)
@@ -138,29 +147,36 @@ def _unplanes(raw: np.ndarray, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
 
 
-def _pack(uid: np.ndarray, at: np.ndarray, n: np.ndarray, h: np.ndarray, seg: np.ndarray) -> bytes:
+def _pack(uid: np.ndarray, at: np.ndarray, n: np.ndarray, hashes: Sequence[np.ndarray] = ()) -> bytes:
+    """Rows in order of their place. 48 bits of the anchor's hash will do: more only costs comparisons."""
     order = np.lexsort((at, uid))
     uid, at = uid[order], at[order]
     step = np.diff(uid.astype(np.uint64), prepend=np.uint64(0))
-    body = _planes(step) + _planes(at.astype(np.uint64)) + n[order].astype(np.uint16).tobytes() + _planes(h[order] >> np.uint64(16))[: 6 * len(uid)] + seg[order].tobytes()
+    body = _planes(step) + _planes(at.astype(np.uint64)) + n[order].astype(np.uint16).tobytes()
+    if hashes:
+        h, seg, left, right = (x[order] for x in hashes)
+        body += _planes(h >> np.uint64(16))[: 6 * len(uid)] + seg.tobytes() + left.astype(np.uint32).tobytes() + right.astype(np.uint32).tobytes()
     return len(uid).to_bytes(8, "little") + len(body).to_bytes(8, "little") + _CODEC.compress(body, asbytes=True)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n, size = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
     raw = np.frombuffer(_CODEC.decompress(blob[16:], size, asbytes=True), np.uint8)
-    cuts = np.cumsum([0, 8 * n, 8 * n, 2 * n, 6 * n, 8 * n])
+    cuts = np.cumsum([0, 8 * n, 8 * n, 2 * n, 6 * n, 8 * n, 4 * n, 4 * n])
     a = [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    place = np.cumsum(_unplanes(a[0], n, np.uint64)).astype(np.int64), _unplanes(a[1], n, np.uint64).astype(np.int64), a[2].view(np.uint16).astype(np.int64)
+    if len(raw) <= cuts[3]:
+        return place
     h = np.concatenate([a[3], np.zeros(2 * n, np.uint8)])
-    return np.cumsum(_unplanes(a[0], n, np.uint64)).astype(np.int64), _unplanes(a[1], n, np.uint64).astype(np.int64), a[2].view(np.uint16).astype(np.int64), _unplanes(h, n, np.uint64), a[4].view(np.uint64)
+    return *place, _unplanes(h, n, np.uint64), a[4].view(np.uint64), a[5].view(np.uint32), a[6].view(np.uint32)
 
 
 def _scan(w: Windows, buckets: int) -> Callable:
     """Map side: the segments of a task by bucket, one of each content; the rest as spans that are repeats."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        uid, at, n, h, seg = (np.concatenate(p) for p in zip(*parts, strict=True))
-        order, first = _classes(uid, at, n, h, seg, w)
+        uid, at, n, h, *more = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order, first = _classes(uid, at, h, more[0], w)
         stay, gone = order[first], order[~first]
         rows: list[tuple[int, int, bytes]] = []
         for which, key, kind in ((stay, h, 0), (gone, mix64(uid.astype(np.uint64)), 1)):
@@ -170,7 +186,7 @@ def _scan(w: Windows, buckets: int) -> Callable:
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 i = which[s:e]
-                rows.append((int(bucket[s]), kind, _pack(uid[i], at[i], n[i], h[i], seg[i])))
+                rows.append((int(bucket[s]), kind, _pack(uid[i], at[i], n[i], () if kind else [x[i] for x in (h, *more)])))
         if rows:
             b, k, x = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], ["bucket", "kind", "blob"])
@@ -223,24 +239,33 @@ def _reduce(w: Windows) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_pylist()
         blobs = table.column("blob").to_pylist()
-        gone = [_unpack(b)[:3] for b, k in zip(blobs, kind, strict=True) if k]
+        gone = [_unpack(b) for b, k in zip(blobs, kind, strict=True) if k]
         out: list[pa.Table] = []
         here = [_unpack(b) for b, k in zip(blobs, kind, strict=True) if not k]
         if here:
-            uid, at, n, h, seg = (np.concatenate(p) for p in zip(*here, strict=True))
-            order, first = _classes(uid, at, n, h, seg, w)
+            uid, at, n, h, seg, left, right = (np.concatenate(p) for p in zip(*here, strict=True))
+            order, first = _classes(uid, at, h, seg, w)
             rest, order = order[~first], order[first]
             gone.append((uid[rest], at[rest], n[rest]))
             ho, so = h[order], seg[order]
             new = np.ones(len(order), bool)
             new[1:] = ho[1:] != ho[:-1]
-            group = np.cumsum(new) - 1
             other = new.copy()
             other[1:] |= so[1:] != so[:-1]
-            kinds = np.bincount(group, weights=other)
-            keep = kinds[group] > 1
+            content = np.cumsum(other) - 1
+            keep = np.zeros(len(order), bool)
+            for side in (left[order], right[order]):  # different contents that share the anchor and this side
+                by = np.lexsort((content, side, ho))
+                edge = np.ones(len(by) + 1, bool)
+                edge[1:-1] = (ho[by[1:]] != ho[by[:-1]]) | (side[by[1:]] != side[by[:-1]])
+                fresh = edge[:-1].copy()
+                fresh[1:] |= content[by[1:]] != content[by[:-1]]
+                at_edge = np.flatnonzero(edge)
+                kinds = np.add.reduceat(fresh.astype(np.int64), at_edge[:-1]) if len(by) else np.zeros(0, np.int64)
+                keep[by] |= (np.repeat(kinds, np.diff(at_edge)) > 1) & (side[by] != 0)
+            group = (np.cumsum(new) - 1)[keep]
             i = order[keep]
-            out.append(_found(uid[i], at[i], at[i] + n[i], h[i], kinds[group][keep] > HOT))
+            out.append(_found(uid[i], at[i], at[i] + n[i], h[i], np.bincount(group)[group] > HOT if len(i) else np.zeros(0, bool)))
         if gone:
             uid, at, n = (np.concatenate(p) for p in zip(*gone, strict=True))
             out.append(_found(*_spans(uid, at, at + n + w.length - 1)))
@@ -302,7 +327,7 @@ def _split(w: Windows, part: np.ndarray, starts: np.ndarray | None, ends: np.nda
         values = word_hashes(own, starts[lo : hi + w.length - 1] - stop, ends[lo : hi + w.length - 1] - stop)
     else:
         values = byte_values(part[lo : hi + w.length - 1])
-    _, _, at, _, _ = segments(values, np.array([0, len(values)]), w)
+    at = segments(values, np.array([0, len(values)]), w)[2]
     p = int(at[0])  # the anchor's distance from the first window
     prefix = Prefix(values)
     x = 0

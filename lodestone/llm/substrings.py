@@ -27,7 +27,7 @@ def extend(w: Windows, anchor: np.ndarray, uid: np.ndarray, at: np.ndarray, n: n
     words = word_hashes(buf, starts, ends)
     seed_at = np.empty(len(units), np.int64)
     _, word = np.unique(words, return_inverse=True)
-    seg, _, place, _, _ = segments(words, first, w)
+    seg, _, place, *_ = segments(words, first, w)
     owner = np.searchsorted(first, seg, "right") - 1
     seen, row = np.unique(owner, return_index=True)
     seed_at[seen] = place[row]
