@@ -98,16 +98,21 @@ class Level:
         return [*EliasFano.arrays(pointers), *EliasFano.arrays(ids + lift[own]), quantise(alpha), quantise(back)]
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Entry of each (context, word), -1 if none: the successor of the word among those of its context."""
-        lo, hi = self.pointers.get(context), self.pointers.get(context + 1)
+        """Entry of each (context, word), contexts ascending, -1 if none: the successor of the word among those of its
+        context. A context's range is looked up once."""
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        one = context[first]
+        lo, hi = self.pointers.get(one), self.pointers.get(one + 1)
+        lift = np.zeros(len(one), np.int64)
+        inner = np.flatnonzero((lo > 0) & (lo < hi))
+        lift[inner] = self.ids.get(lo[inner] - 1) + 1
+        of = np.repeat(np.arange(len(one)), np.diff(np.append(first, len(context))))
+        rows = np.flatnonzero((lo < hi)[of] & (word >= 0))
+        of = of[rows]
+        i = self.ids.index(lift[of] + word[rows])
+        ok = (i >= lo[of]) & (i < hi[of])
         out = np.full(len(context), -1, np.int64)
-        rows = np.flatnonzero((lo < hi) & (word >= 0))
-        if len(rows):
-            lo, hi = lo[rows], hi[rows]
-            lift = np.where(lo > 0, self.ids.get(np.maximum(lo - 1, 0)) + 1, 0)
-            i = self.ids.index(lift + word[rows])
-            ok = (i >= lo) & (i < hi)
-            out[rows[ok]] = i[ok]
+        out[rows[ok]] = i[ok]
         return out
 
 
@@ -351,19 +356,34 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model = handle.value
         r = reader(model, model.order)
         rest = model.tokens + ADD * (model.words + 1)
+        ids: list[pa.Array] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            h = np.concatenate([p[0] for p in parts])
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+            place = places(bounds)
+            word, count = numbers(r, h)
+            base = (count + ADD) / rest
+            p, entry = base.copy(), word
+            for level in range(2, model.order + 1):
+                rows, share, weight, entry = descend(r, level, entry, word, place)
+                p[rows] = share + weight * p[rows]
+            real = place > 0
+            logs = [np.add.reduceat(np.where(real, np.log10(x), 0.0), bounds[:-1]) for x in (base, np.minimum(p, 1.0))]
+            known = np.add.reduceat((real & (count > 0)).astype(np.int64), bounds[:-1])
+            n = len(bounds) - 1
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.diff(bounds) - 1), pa.array(known), pa.array(np.full(n, model.tokens)), pa.array(logs[0]), pa.array(logs[1])], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
         for batch in batches:
             for lo, hi, h, bounds in tokens(batch.column("text")):
-                place = places(bounds)
-                word, count = numbers(r, h)
-                base = (count + ADD) / rest
-                p, entry = base.copy(), word
-                for level in range(2, model.order + 1):
-                    rows, share, weight, entry = descend(r, level, entry, word, place)
-                    p[rows] = share + weight * p[rows]
-                real = place > 0
-                logs = [np.add.reduceat(np.where(real, np.log10(x), 0.0), bounds[:-1]) for x in (base, np.minimum(p, 1.0))]
-                known = np.add.reduceat((real & (count > 0)).astype(np.int64), bounds[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(bounds) - 1), pa.array(known), pa.array(np.full(hi - lo, model.tokens)), pa.array(logs[0]), pa.array(logs[1])], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                ids.append(batch.column("doc_id").slice(lo, hi - lo))
+                parts.append((h, bounds))
+                if sum(len(p[0]) for p in parts) >= GATHER // 2:
+                    yield flush()
+                    ids, parts = [], []
+        if parts:
+            yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
