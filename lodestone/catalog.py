@@ -51,7 +51,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> Collection:
 
 
 def toks(column: str) -> str:
-    return rf"list_filter(string_split_regex(lower({column}), '[^\p{{L}}\p{{N}}]+'), x -> x <> '')"
+    return rf"list_filter(string_split_regex(lower({column}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
 def postings(source: str, key: str, column: str, name: str = "tf") -> str:
@@ -291,7 +291,7 @@ def score_vector_dot(spark: SparkSession, sf: str) -> DataFrame:
     return search.vector_search(vectors(spark, sf), "embedding", "0^0.5 5^1.5,9^-2", 20)
 
 
-@query("score_dense_dot", "SELECT vec_id, round(list_sum(list_transform(embedding, x -> x::DOUBLE * 0.25::DOUBLE)), 6) AS score FROM embeddings")
+@query("score_dense_dot", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.25::DOUBLE)), 6) AS score FROM embeddings")
 def score_dense_dot(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     return e.select("vec_id", F.round(search.dense_dot(F.col("embedding"), F.transform("embedding", lambda _: F.lit(0.25))), 6).alias("score"))
@@ -403,13 +403,13 @@ base AS (SELECT doc, class, ln(p) + sum(ln(a)) + count(*) * ln(0.01::DOUBLE / t
 seen AS (SELECT doc, class, sum(ln((c + 0.01::DOUBLE) / t / (0.01::DOUBLE / t))) AS m FROM amt JOIN jc USING (term), jt GROUP BY doc, class),
 s AS (SELECT doc, class, round(b + coalesce(m, 0), 6) AS score FROM base LEFT JOIN seen USING (doc, class)),
 k AS (SELECT s.* FROM s LEFT JOIN (SELECT doc_id AS doc, quality::VARCHAR AS own FROM labels) l USING (doc) WHERE {classes})
-SELECT doc AS doc_id, class, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, class)::INTEGER AS rank FROM k) WHERE rank <= 1"""
+SELECT doc AS doc_id, class, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, class)::INTEGER AS rank FROM k) WHERE rank <= 1"""
 
 
 def nb(**how: object) -> Callable:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         c = _labelled(spark, sf)
-        return facets.NaiveBayes(**how).fit(c, "quality").transform(c, "quality").select("doc_id", "class", F.round("score", 4).alias("score"), "rank")
+        return facets.NaiveBayes(**how).fit(c, "quality").transform(c, "quality").select("doc_id", "class", "score", "rank")
 
     return run
 
@@ -496,7 +496,7 @@ def payload_boost(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", A.payload_boost(F.lit("w"), weight).alias("token"))
 
 
-@query("constant_token", f"SELECT p_partkey, array_to_string(list_transform({toks('p_name')}, x -> 'x'), ' ') AS tokens FROM part")
+@query("constant_token", f"SELECT p_partkey, array_to_string(list_transform({toks('p_name')}, lambda x: 'x'), ' ') AS tokens FROM part")
 def constant_token(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.array_join(A.constant_tokens(A.analyze(F.col("p_name")), "x"), " ").alias("tokens"))
 
@@ -513,7 +513,7 @@ def type_erase(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.size(erased).alias("n"), F.size(F.filter(erased, lambda t: t["type"].isNotNull())).alias("typed"))
 
 
-@query("noise_filter", f"SELECT doc_id, len(list_filter({toks('text')}[:5000], x -> length(x) BETWEEN 3 AND 9 AND x <> 'the'))::INTEGER AS n FROM documents")
+@query("noise_filter", f"SELECT doc_id, len(list_filter({toks('text')}[:5000], lambda x: length(x) BETWEEN 3 AND 9 AND x <> 'the'))::INTEGER AS n FROM documents")
 def noise_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(A.drop_noise(A.analyze(F.col("text"), 5000), 3, 9, ("the",))).alias("n"))
 
@@ -589,8 +589,8 @@ _VOCABULARY = f"{postings('documents', 'doc_id', 'text')}, voc AS (SELECT term,
 
 def spell_sql(fixes: str = "", by_all: bool = False) -> str:
     return f"""WITH {_VOCABULARY}, n AS (SELECT count(*) AS n FROM documents),
-cand AS (SELECT token, of, term AS word, df AS freq, 1 AS tier, round(1.0::DOUBLE - levenshtein(token, term)::DOUBLE / least(length(token), length(term)), 6) AS score FROM asked, voc, n
-  WHERE length(token) >= 4 AND of <= 0.01::DOUBLE * n AND substr(token, 1, 1) = substr(term, 1, 1) AND term <> token AND abs(length(term) - length(token)) <= 2 AND levenshtein(token, term) <= 2
+cand AS (SELECT token, of, term AS word, df AS freq, 1 AS tier, round(1.0::DOUBLE - levenshtein(token, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g'))::DOUBLE / least(length(token), length(term)), 6) AS score FROM asked, voc, n
+  WHERE length(token) >= 4 AND of <= 0.01::DOUBLE * n AND substr(token, 1, 1) = substr(term, 1, 1) AND term <> token AND abs(length(term) - length(token)) <= 2 AND levenshtein(token, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g')) <= 2
   {fixes}),
 c AS (SELECT token, of, word, max(freq) AS freq, min(tier) AS tier, max(score) AS score FROM cand WHERE score >= 0.5 {"" if by_all else "AND (of = 0 OR tier = 0)"} GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY tier, score DESC, freq DESC, word) AS rank FROM c)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +37,7 @@ def osa_distance(a: Column, b: Column) -> Column:
     """Edit distance in which swapping neighbours is one edit, in Arrow batches; the plain one stays in the JVM."""
 
     @F.pandas_udf("int")
-    def run(batches: Iterator) -> Iterator:  # noqa: ANN001
-        import pandas as pd
-
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
         def one(x: str, y: str) -> int:
             rows = [list(range(len(y) + 1))]
             for i, cx in enumerate(x, 1):
@@ -51,10 +50,8 @@ def osa_distance(a: Column, b: Column) -> Column:
                 rows.append(row)
             return rows[-1][-1]
 
-        for x, y in batches:
-            yield pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype="int32")
+        return pd.Series([one(p, q) for p, q in zip(left, right, strict=True)], dtype="int32")
 
-    run.func.__annotations__.clear()
     return run(a, b)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,12 +56,8 @@ def canonical(query: Column) -> Column:
     """Struct (rendered, errors) of a column of queries, in Arrow batches."""
 
     @F.pandas_udf("rendered string, errors array<int>")
-    def run(batches: Iterator) -> Iterator:  # noqa: ANN001
-        import pandas as pd
+    def run(values: pd.Series) -> pd.DataFrame:
+        done = [parse(v) for v in values]
+        return pd.DataFrame({"rendered": [d.text for d in done], "errors": [list(d.errors) for d in done]})
 
-        for values in batches:
-            done = [parse(v) for v in values]
-            yield pd.DataFrame({"rendered": [d.text for d in done], "errors": [list(d.errors) for d in done]})
-
-    run.func.__annotations__.clear()
     return run(query)

@@ -59,7 +59,8 @@ class Collection:
         parts = []
         for name in fields:
             t = self.field_tokens(name, limit)
-            one = source.select(F.col(self.key), F.lit(name).alias("field"), F.size(t).alias("len"), F.explode(t).alias("t"))
+            # analysed below the explode: what stands beside it is evaluated for every token
+            one = source.select(F.col(self.key), t.alias("ts")).select(self.key, F.lit(name).alias("field"), F.size("ts").alias("len"), F.explode("ts").alias("t"))
             parts.append(one.select(self.key, "field", "len", F.col("t.term").alias("term"), F.col("t.payload").alias("payload")))
         out = parts[0]
         for p in parts[1:]:
