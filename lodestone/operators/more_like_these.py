@@ -12,7 +12,7 @@ from lodestone.plans.parser import parse
 from lodestone.sources.collection import Collection
 
 from .facets import facet_counts
-from .search import DECIMALS, must_match, per_field_rank, query_terms, require_matches, score_terms, search, terms_frame, top
+from .search import DECIMALS, local_terms, must_match, per_field_rank, query_terms, require_matches, score_terms, search, terms_frame, top
 from .similarity import CLASSIC, Similarity
 
 
@@ -145,7 +145,7 @@ class MoreLikeThese:
 
     def _retrieve(self, terms: DataFrame, docs: DataFrame, seeds: DataFrame | None) -> DataFrame:
         c, p = self.collection, self.params
-        scored = score_terms(c, terms.select("field", "term", F.col("score").alias("boost")), p.similarity, p.mm).drop("overlap")
+        scored = score_terms(c, terms.select("field", "term", "df", F.col("score").alias("boost")), p.similarity, p.mm).drop("overlap")
         for f in p.fq:
             docs = docs.where(parse(f).tree.predicate(c.scope) if isinstance(f, str) else f)
         keys = docs.select(c.key, *([p.boost_fn.alias("__boost")] if p.boost_fn is not None else []))
@@ -161,13 +161,13 @@ class MoreLikeThese:
         seeds = self.seeds(which)
         if required:
             require_matches(seeds, str(which))
-        terms = self.interesting_terms(seeds)
+        terms, _ = local_terms(self.interesting_terms(seeds))
         docs = must_match(self.collection, seeds, self.params.same, self.params.different)
         return Answer(self._retrieve(terms, docs, seeds), seeds, terms)
 
     def from_text(self, body: str, head: str = "") -> Answer:
         """MLT8: no seed is left out, and no field must match."""
-        terms = self.text_terms(body, head)
+        terms, _ = local_terms(self.text_terms(body, head))
         return Answer(self._retrieve(terms, self.collection.df, None), None, terms)
 
 
@@ -192,11 +192,11 @@ class BlindFeedback:
     def run(self, query: str) -> Answer:
         c, p = self.collection, self.params
         best = search(c, query, p.qf or None, similarity=p.similarity, mm=1, rows=p.max_docs)
-        seeds = c.df.join(best, c.key, "left_semi")
+        seeds = c.df.where(F.col(c.key).isin([r[0] for r in best.select(c.key).collect()]))
         picked = MoreLikeThese(c, RecommendParams(**{k: getattr(p, k) for k in TermParams.__dataclass_fields__}))
-        terms = picked.interesting_terms(seeds)
+        terms, _ = local_terms(picked.interesting_terms(seeds))
         must = score_terms(c, terms_frame(c, query_terms(c, query, p.qf or None)), p.similarity, 1).drop("overlap")
-        should = score_terms(c, terms.select("field", "term", F.col("score").alias("boost")), p.similarity, 1).select(c.key, F.col("score").alias("more"))
+        should = score_terms(c, terms.select("field", "term", "df", F.col("score").alias("boost")), p.similarity, 1).select(c.key, F.col("score").alias("more"))
         docs = c.df
         for f in p.fq:
             docs = docs.where(parse(f).tree.predicate(c.scope) if isinstance(f, str) else f)

@@ -16,6 +16,8 @@ from .similarity import CLASSIC, Similarity
 
 #: Decimals that scores are rounded to, so that equal documents tie and ties go by key.
 DECIMALS = 6
+#: Terms up to which a query's terms are made literal.
+MAX_LOCAL = 10_000
 
 
 def terms_frame(collection: Collection, terms: Sequence[tuple[str, str, float]]) -> DataFrame:
@@ -58,14 +60,25 @@ def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
+def local_terms(terms: DataFrame) -> tuple[DataFrame, set[str] | None]:
+    """The terms as a literal table, and their fields, if there are few; else as they are. A query's terms are few, and
+    so everything that chose them runs once, not again in each plan that uses them."""
+    rows = terms.limit(MAX_LOCAL + 1).collect()
+    if len(rows) > MAX_LOCAL:
+        return terms, None
+    return terms.sparkSession.createDataFrame(rows, terms.schema), {r["field"] for r in rows}
+
+
 def weigh(collection: Collection, terms: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
-    """(postings with each term's weight, query statistics): one pass over the collection, cut down to the terms."""
-    fields = [r["field"] for r in terms.select("field").distinct().collect()] or list(collection.text)[:1]
-    tf = collection.tf(fields, terms)
-    dfs = tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = similarity.idf(F.coalesce("df", F.lit(0)), collection.n_docs)
-    weighted = terms.join(dfs, ["field", "term"], "left").select("field", "term", "boost", idf.alias("idf"))
-    stats = weighted.agg(F.coalesce(F.sum(F.pow(F.col("idf") * F.col("boost"), 2)), F.lit(0.0)).alias("squares"), F.count(F.lit(1)).alias("n_terms"))
+    """(postings with each term's weight, one row of query statistics): one pass over the collection, cut down to the
+    terms. Document frequencies come with the terms (column df) or from the same pass."""
+    terms, fields = local_terms(terms)
+    fields = sorted(fields) if fields is not None else [r["field"] for r in terms.select("field").distinct().collect()]
+    tf = collection.tf(fields or list(collection.fields)[:1], terms)
+    if "df" not in terms.columns:
+        terms = terms.join(tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), ["field", "term"], "left")
+    weighted = terms.select("field", "term", "boost", similarity.idf(F.coalesce("df", F.lit(0)), collection.n_docs).alias("idf"))
+    stats = weighted.agg(F.coalesce(F.sum(F.pow(F.col("idf") * F.col("boost"), 2)), F.lit(0.0)).alias("squares"), F.count(F.lit(1)).alias("n_terms"), F.count_distinct("term").alias("n_words"))
     part = similarity.tf(F.col("freq")) * F.col("idf") * F.col("idf") * F.col("boost") * similarity.norm(F.col("len")) * similarity.payload(F.col("payload"))
     return tf.join(weighted, ["field", "term"]).select(collection.key, "field", "term", part.alias("part")), stats
 
@@ -73,17 +86,16 @@ def weigh(collection: Collection, terms: DataFrame, similarity: Similarity) -> t
 def score_terms(collection: Collection, terms: DataFrame, similarity: Similarity = CLASSIC, mm: int = 1, dismax: bool = False, tie: float = 0.0) -> DataFrame:
     """F2: (key, score, overlap) of documents with at least mm of the terms.
 
-    With dismax (P4) a term counts once: its best field, and `tie` times the others.
+    With dismax (P4) a term counts once: its best field, and `tie` times the others. The statistics are one row.
     """
     postings, stats = weigh(collection, terms, similarity)
     if dismax:
         best = F.max("part") + F.lit(float(tie)) * (F.sum("part") - F.max("part"))
         postings = postings.groupBy(collection.key, "term").agg(best.alias("part"))
-        stats = stats.select("squares").join(terms.agg(F.count_distinct("term").alias("n_terms")))
     summed = postings.groupBy(collection.key).agg(F.sum("part").alias("sum"), F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= max(1, mm))
-    one = stats.first()
-    score = F.col("sum") * similarity.coord(F.col("overlap"), F.lit(float(max(1, one["n_terms"])))) * similarity.query_norm(F.lit(float(one["squares"])))
-    return summed.select(collection.key, score.alias("score"), "overlap")
+    n = F.greatest(F.lit(1.0), F.col("n_words" if dismax else "n_terms").cast("double"))
+    score = F.col("sum") * similarity.coord(F.col("overlap"), n) * similarity.query_norm(F.col("squares"))
+    return summed.crossJoin(F.broadcast(stats)).select(collection.key, score.alias("score"), "overlap")
 
 
 def top(scored: DataFrame, key: str, rows: int | None = 10, start: int = 0, sort: Sequence[Column] | None = None) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from lodestone.functions.analysis import analyze, drop_noise
 from lodestone.plans.syntax import Scope
 
+#: Tables between these sizes (the larger times the cores) are spread over the cores before they are analysed.
+MIN_BYTES, SPLIT_BYTES = 1 << 20, 64 << 20
+
 
 @dataclass
 class Collection:
@@ -26,6 +29,7 @@ class Collection:
     keyword: tuple[str, ...] = ()
     payload: tuple[str, ...] = ()
     _size: int | None = field(default=None, repr=False)
+    _spread: DataFrame | None = field(default=None, repr=False)
 
     @property
     def fields(self) -> tuple[str, ...]:
@@ -36,6 +40,16 @@ class Collection:
     def scope(self) -> Scope:
         return Scope(self.text, self.keyword, self.text)
 
+    def spread(self) -> DataFrame:
+        """df, over all cores where its files are too small to be split among them; a large table is read as it lies."""
+        if self._spread is None:
+            spark = self.df.sparkSession
+            leaves = self.df._jdf.queryExecution().optimizedPlan().collectLeaves()
+            size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+            cores = spark.sparkContext.defaultParallelism
+            self._spread = self.df.repartition(cores) if cores > 1 and MIN_BYTES < size < cores * SPLIT_BYTES and not self.df.isStreaming else self.df
+        return self._spread
+
     @property
     def n_docs(self) -> int:
         if self._size is None:
@@ -55,7 +69,7 @@ class Collection:
 
     def tokens(self, fields: Sequence[str], rows: Column | None = None, limit: int | None = None, min_length: int = 0, max_length: int = 0, stop_words: Sequence[str] = ()) -> DataFrame:
         """(key, field, len, term, payload), a row a token; only the key and the fields named are read."""
-        source = self.df.where(rows) if rows is not None else self.df
+        source = self.df.where(rows) if rows is not None else self.spread()
         parts = []
         for name in fields:
             t = self.field_tokens(name, limit)
