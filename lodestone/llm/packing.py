@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space, so that a text's ids are those of its words in turn."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # threads cost more than words take; tasks fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,7 +54,7 @@ class WordTokenizer:
             words = [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             sizes = np.array([len(c) for c in coded], np.int64)
-            flat = np.fromiter((i for c in coded for i in c), np.uint32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
             rows = len(self.at) - 1 + np.arange(len(coded))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, flat])
@@ -61,7 +64,8 @@ class WordTokenizer:
         row = self.rows[at][back]
         size = self.at[row + 1] - self.at[row]
         total = np.cumsum(size)
-        source = np.repeat(self.at[row] - (total - size), size) + np.arange(int(total[-1]))
+        source = np.repeat((self.at[row] - (total - size)).astype(np.int32), size)
+        source += np.arange(int(total[-1]), dtype=np.int32)
         return self.flat[source], size
 
 
