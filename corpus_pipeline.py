@@ -30,7 +30,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents as often as the mix takes them, each time a row, the last cut where the quota ends."""
-    return mixing.apply_mix(docs, mixing.mix_sources(docs))
+    return mixing.mix_texts(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -359,6 +359,12 @@ def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     return cut(docs.orderBy(F.col("row.doc_id").asc_nulls_last(), "text").select(F.monotonically_increasing_id().alias("uid"), "text", "row"))
 
 
+def unordered(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: Column) -> DataFrame:
+    """Rows of `ordered` (with all other columns of docs kept) as rows like those of docs; `columns` replace some."""
+    own = {c: F.col("text") if c == text_col else F.col("row.doc_id") if c == id_col else F.col(f"row._{c}") for c in docs.columns}
+    return rows.select(*[columns.get(c, own[c]).alias(c) for c in docs.columns])
+
+
 def repeats(docs: DataFrame, w: Windows, kernel: Kernel) -> DataFrame:
     """What `ordered` gave with `spans`, an array of (lo, hi): the units that repeated windows cover.
 

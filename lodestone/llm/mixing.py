@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .anchors import ordered, unordered
 from .common import WORD, cut, lookup_join
 
 
@@ -107,18 +108,21 @@ def mix_sources(
     return laid.select("doc_id", "size", "source_size", "target", F.when(F.col("shard_size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def mix_texts(docs: DataFrame, **how: object) -> DataFrame:
     """The mix as documents: each one's text as often as it is taken, the last time cut after its last word taken.
 
-    Repeats are rows of their own under the same id. `mixed` is what mix_sources returned; ids must be unique.
+    Repeats are rows of their own under the same id; n_chars is renewed. Rows that share an id or have none are
+    documents of their own.
     """
+    rows = ordered(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    mixed = mix_sources(rows.select("uid", "text", F.col("row._source").alias("source")), "uid", **how)
     counts = mixed.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = docs.join(counts, F.col("doc_id") == F.col("__id"))
+    rows = rows.join(counts, F.col("uid") == F.col("__id"))
     rows = rows.withColumn("__take", F.explode(F.expr("transform(sequence(0, (__taken - 1) div __size), k -> least(__size, __taken - k * __size))")))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut_text = F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), "")
-    rows = rows.withColumn("__text", F.when(F.col("__take") < F.col("__size"), cut_text).otherwise(F.col("text")))
-    return rows.select(*[F.col("__text").alias("text") if c == "text" else F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    part = F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("__take") < F.col("__size"), part).otherwise(F.col("text")))
+    return unordered(rows, docs, n_chars=F.length("text").cast("long"))
 
 
 QUERY = {"op10_mix_sources": lambda spark, sf_dir: mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))}

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import ordered, unordered
 from .common import SEPARATOR, cut, mix64, prepare, shuffle_partitions, weighted_join, words_by_block
 
 SEED = 42
@@ -356,9 +357,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs (ids unique) with the first document of each component only."""
-    first = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi")
+    """docs with the first document of each component only: the one of the least id, or of rows that share an id or
+    have none the first in order of (id, text), null ids last."""
+    rows = ordered(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = near_duplicates(rows, "uid").where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
+    return unordered(rows.join(first, F.col("uid") == F.col("__id"), "left_semi"), docs)
 
 
 QUERY = {"op2_simhash_near_dups": lambda spark, sf_dir: near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))}

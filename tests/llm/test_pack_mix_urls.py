@@ -123,7 +123,7 @@ def test_mix(spark, hot):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 2 * 4, (s, taken[s], want[s])
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(df.repartition(7), block=4, shard_words=500).collect()))
-    mixed = mixing.apply_mix(df, mixing.mix_sources(df, block=4, shard_words=500)).collect()
+    mixed = mixing.mix_texts(df, block=4, shard_words=500).collect()
     words = defaultdict(int)
     for r in mixed:
         words[r.doc_id] += len(re.findall(mixing.WORD, r.text))
@@ -140,6 +140,13 @@ def test_sainte_lague_is_highest_quotients(spark):
         assert got == {p: sum(1 for b in best if b[1] == p) for p in range(len(votes))}
 
 
+def test_mixed_texts_of_odd_rows(spark):
+    df = documents(spark, [*ODD, (1, "again one two three")])
+    words = sum(len(re.findall(mixing.WORD, r.text)) for r in mixing.mix_texts(df).collect())
+    assert words == sum(r.taken for r in mixing.mix_sources(df).collect()) > 0
+    assert mixing.mix_texts(df.where("false")).count() == 0
+
+
 def test_mix_odd(spark):
     got = mixing.mix_sources(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)

@@ -63,6 +63,14 @@ def test_chains_and_copies(spark):
     check(spark, docs)
 
 
+def test_one_of_each_group_stays(spark):
+    rows = [(5, "a b c"), (5, "a b c"), (3, "A  b c"), (None, "a b c"), (7, "other words here"), (7, "quite different again now"), (None, None), (9, "")]
+    df = documents(spark, rows)
+    kept = simhash.keep_representatives(df)
+    assert kept.columns == df.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, [(3, "A  b c"), (7, "other words here"), (7, "quite different again now"), (9, "")]))
+
+
 @pytest.mark.parametrize("blocks", [8, 10, 12])
 def test_layouts_find_every_pair_once(spark, blocks, monkeypatch):
     rng = np.random.default_rng(blocks)
