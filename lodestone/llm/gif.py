@@ -97,7 +97,6 @@ def lzw_decode(stream: bytes, low: int, size: int) -> bytes:
     ends = np.cumsum(widths)
     out: list[bytes] = []
     done, bit = 0, 0
-    first = True
     while done < size:
         # all codes up to the next clear have known places; past a full table each takes 12 bits
         room = total - bit
@@ -137,8 +136,6 @@ def lzw_decode(stream: bytes, low: int, size: int) -> bytes:
         if upto == n or found[upto] == stop:
             raise GifError("the code stream ends early")
         bit += int(local[upto])
-        first = False
-    del first
     return b"".join(out)[:size]
 
 

@@ -303,8 +303,6 @@ def components(edges: DataFrame) -> DataFrame:
     A large star links a node's greater neighbours to its least one, a small star the others to it; both keep the
     components. Every round is written to the shared folder; it ends when a round changes nothing.
     """
-    spark = edges.sparkSession
-
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w"))
 
@@ -322,7 +320,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(to_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct())
         small = to_least(large)
         e = cut(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-    del spark
     return e.select("u", F.col("v").alias("root"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .anchors import Windows, digests, ordered, repeats
+from .anchors import Windows, digests, ordered, repeats, segments
 from .common import word_hashes, word_spans
 
 WORDS = 50
@@ -19,8 +19,6 @@ def extend(w: Windows, anchor: np.ndarray, uid: np.ndarray, at: np.ndarray, n: n
     seed are equal if both their extensions agree, so each is known by the classes at its two ends. Every
     occurrence takes part once a step: no pairs are formed. Neighbouring windows make up the maximal repeats.
     """
-    from .anchors import segments
-
     buf = np.frombuffer(b"".join(units), np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(u) for u in units])])
     starts, ends, first = word_spans(buf, bounds)
@@ -76,4 +74,16 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 QUERY = {"op8_substring_dedup": lambda spark, sf_dir: dedup_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op8_substring_dedup": r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM win JOIN (SELECT h, min(doc_id) AS first FROM win GROUP BY h) f USING (h) WHERE doc_id > first),
+near AS (SELECT *, max(s) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM (SELECT word.*, again.i AS s FROM word LEFT JOIN again ON word.doc_id = again.doc_id AND word.j = again.i)),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM near),
+sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM w LEFT JOIN sums USING (doc_id)
+"""
+}

@@ -230,4 +230,14 @@ def dedup_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 QUERY = {"op1_suffix_dedup": lambda spark, sf_dir: dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+byte AS (SELECT doc_id, i, substr(x, 2 * i - 1, 2) AS b, CASE WHEN 2 * i + 198 <= length(x) THEN md5(substr(x, 2 * i - 1, 200)) END AS h FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 + 1)) AS i FROM d)),
+again AS (SELECT *, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS s FROM byte),
+near AS (SELECT doc_id, i, b, bool_or(s) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM again),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM near),
+sums AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)
+"""
+}
