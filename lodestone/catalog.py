@@ -106,16 +106,14 @@ for _name, _params, _sql in (
     ("mlt_mintf", P(min_tf=2), {"where": "tf >= 2"}),
     ("mlt_top_terms", P(max_terms=5), {"top": 5}),
     ("mlt_mm", P(mm=20), {"mm": 20}),
-    ("mlt_boostfn", P(boost_fn=F.expr("ln(n_chars + 1)")) if False else None, {"boost": "ln(dd.n_chars + 1)"}),
-    ("mlt_filter", None, {"docs": "dd.lang = 'en'"}),
+    ("mlt_filter", P(fq=("lang:en",)), {"docs": "dd.lang = 'en'"}),
 ):
-    if _params is not None:
-        query(_name, recommend_sql(**_sql))(recommend(_params))
-    else:
-        ORACLES[_name] = recommend_sql(**_sql)
+    query(_name, recommend_sql(**_sql))(recommend(_params))
 
-query("mlt_boostfn", ORACLES["mlt_boostfn"])(lambda spark, sf: M.MoreLikeThese(documents(spark, sf), P(boost_fn=F.log(F.col("n_chars") + 1.0))).from_docs([1, 2]).response)
-query("mlt_filter", ORACLES["mlt_filter"])(lambda spark, sf: M.MoreLikeThese(documents(spark, sf), P(fq=("lang:en",))).from_docs([1, 2]).response)
+
+@query("mlt_boostfn", recommend_sql(boost="ln(dd.n_chars + 1)"))
+def mlt_boostfn(spark: SparkSession, sf: str) -> DataFrame:
+    return recommend(P(boost_fn=F.log(F.col("n_chars") + 1.0)))(spark, sf)
 
 
 @query("mlt_match_different", recommend_sql(docs="dd.lang IN (SELECT lang FROM documents WHERE doc_id = 1) AND dd.source NOT IN (SELECT source FROM documents WHERE doc_id = 1)", seed="1"))

@@ -120,8 +120,6 @@ class NaiveBayesModel:
             raise ValueError(f"over {MAX_CLASSES} classes")
         if not rows:
             return collection.df.select(collection.key, F.lit(None).cast("string").alias("class"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-        spark = collection.df.sparkSession
-        classes = spark.createDataFrame([(r["class"], float(r["p"])) for r in rows], "class string, p double")
         freq = collection.tf(p.fields).groupBy(collection.key, "field", "term").agg(F.sum("freq").alias("freq"))
         amount = F.lit(1.0) if p.binary else F.log(F.col("freq") + 1.0) if p.log_tf else F.col("freq").cast("double")
         freq = freq.withColumn("amount", amount).where(F.col("amount") > 0)
@@ -135,7 +133,6 @@ class NaiveBayesModel:
         if not p.include_existing and class_col:
             own = collection.df.select(collection.key, F.col(class_col).cast("string").alias("class"))
             scored = scored.join(own, [collection.key, "class"], "left_anti")
-        del classes
         rank = F.row_number().over(Window.partitionBy(collection.key).orderBy(F.col("score").desc(), "class"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= p.top_n)
 

@@ -92,7 +92,7 @@ def test_profile_weights(spark):
 
 def test_recommendation_and_feedback(docs):
     low = {"min_df": 1}
-    answer = M.MoreLikeThese(docs, M.RecommendParams(**low)).from_docs("doc_id" and [1])
+    answer = M.MoreLikeThese(docs, M.RecommendParams(**low)).from_docs([1])
     assert [r.doc_id for r in answer.response.collect()] == [2, 4]
     assert 1 in {r.doc_id for r in M.MoreLikeThese(docs, M.RecommendParams(include_seeds=True, **low)).from_docs([1]).response.collect()}
     assert [r.doc_id for r in M.MoreLikeThese(docs, M.RecommendParams(same=("lang",), **low)).from_docs([1]).response.collect()] == [2]
@@ -100,14 +100,13 @@ def test_recommendation_and_feedback(docs):
     assert [r.doc_id for r in M.MoreLikeThese(docs, M.RecommendParams(**low)).from_text("ruby", "rails").response.collect()] == [3]
     with pytest.raises(LookupError):
         M.MoreLikeThese(docs).from_docs("nosuch", required=True)
-    assert [r.doc_id for r in M.BlindFeedback(docs, M.FeedbackParams(**low)).run("java").response.collect()][:2] == [1, 2] or True
     assert {r.doc_id for r in M.BlindFeedback(docs, M.FeedbackParams(**low)).run("java").response.collect()} == {1, 2}
     assert {r["value"]: r["count"] for r in answer.facets(docs, ["lang"])["lang"].collect()} == {"en": 1}
 
 
 def test_search(docs):
     assert [r.doc_id for r in search.search(docs, "sql AND NOT server").collect()] == [1]
-    assert [r.doc_id for r in search.search(docs, "java", fq=["", "lang:en"]).collect()] == [2, 1] or True
+    assert {r.doc_id for r in search.search(docs, "java", fq=["", "lang:en"]).collect()} == {1, 2}
     assert {r.doc_id for r in search.search(docs, "*:*", rows=None).collect()} == {1, 2, 3, 4, 5, 6}
     assert [r.doc_id for r in search.search(docs, '"sql server"').collect()] == [4]
     assert [r.doc_id for r in search.phrase_matches(docs, "text", "on rails").collect()] == [3]
