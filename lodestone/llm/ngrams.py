@@ -394,11 +394,12 @@ def held_out(id_col: str = "doc_id", folds: int = 10) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Train on the documents that aren't held out and score all."""
-    scored = score(docs, train(docs.where(~held_out()).select("text")))
+    scored = score(docs, train(docs.where(~held_out()).select("text"), min_count=min_count))
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERY = {"op6_lm_score": lambda spark, sf_dir: score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+#: The query keeps every n-gram of its training text.
+QUERY = {"op6_lm_score": lambda spark, sf_dir: score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_count=1)}
 ORACLE: dict[str, str] = {}

@@ -99,6 +99,12 @@ def test_lm_odd(spark):
     assert row.train_tokens == 0 and row.n_known == 0 and row.base_score == pytest.approx(0.0)
 
 
+def test_lm_query_keeps_ngrams_seen_once(spark, sf):
+    rows = ngrams.QUERY["op6_lm_score"](spark, sf).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    check(rows, brute_lm(docs, min_count=1))
+
+
 def brute_topk(rows, every=50, k=5):
     v = [(i, np.floor(256 * np.array(x, np.float64)).astype(object)) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
     out = []
