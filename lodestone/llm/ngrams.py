@@ -22,15 +22,15 @@ SHARD_BYTES, GATHER = 8 << 20, 2_000_000
 #: The end of a text and the place before it, as word hashes (63 bits).
 END, START = 0x1F0E_0D0C_0B0A_0908, 0x2E3D_4C5B_6A79_8897
 _CODEC = pa.Codec("zstd", 1)
-_STEP = 32.0
+_STEP = 2048.0
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    """Codes of probabilities, a 32nd of a decade apart, down to about 1e-8."""
-    return np.clip(np.round(-np.log10(np.maximum(p, 1e-12)) * _STEP), 0, 255).astype(np.uint8)
+    """16-bit codes of probabilities, a 2048th of a decade apart, down to 1e-30: below any share of a count."""
+    return np.clip(np.round(-np.log10(np.maximum(p, 1e-30)) * _STEP), 0, 65535).astype(np.uint16)
 
 
-_VALUES = 10.0 ** (-np.arange(256) / _STEP)
+_VALUES = 10.0 ** (-np.arange(65536) / _STEP)
 
 
 def local_path(path: str) -> str:
@@ -87,7 +87,8 @@ class Level:
         total = np.bincount(context, count, contexts)
         own = context[keep]
         alpha = (count[keep] - discount) / total[own]
-        back = np.clip(1 - np.bincount(own, alpha, contexts), 1e-8, 1)
+        left = total - np.bincount(own, count[keep] - discount, contexts)  # of whole counts: 1 less the shares would lose the least
+        back = np.where(total > 0, np.clip(left / np.maximum(total, 1), 0, 1), 1.0)
         size = np.bincount(own, minlength=contexts)
         pointers = np.concatenate([[0], np.cumsum(size)])
         ids = word[keep]

@@ -105,6 +105,13 @@ def test_lm_query_keeps_ngrams_seen_once(spark, sf):
     check(rows, brute_lm(docs, min_count=1))
 
 
+def test_lm_shares_of_the_most_frequent_contexts():
+    count = np.array([1, 10**10])
+    arrays = ngrams.Level.arrays(1, np.zeros(2, np.int64), np.arange(2), count, np.arange(2), 0.75)
+    assert np.log10(ngrams._VALUES[arrays[10]]) == pytest.approx(np.log10((count - 0.75) / count.sum()), abs=0.001)
+    assert np.log10(ngrams._VALUES[arrays[11]]) == pytest.approx(np.log10([1.5 / count.sum()]), abs=0.001)
+
+
 def brute_topk(rows, every=50, k=5):
     v = [(i, np.floor(256 * np.array(x, np.float64)).astype(object)) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
     out = []
