@@ -46,32 +46,37 @@ def shrinkage(groups: DataFrame, key: str) -> Column:
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, bad 0/1, one row a labelled page) -> host, mean and sd of the posterior share of bad pages.
+    """(host, bad 0/1, null unlabelled, one row a page) -> host, mean and sd of the posterior share of bad pages.
 
-    A host's outcomes are shrunk to its registered domain's (last two labels), those to its suffix's (last label),
+    A host without labelled pages has the prior of its nearest level that has some: its domain, else its suffix, else
+    all, with the strength that a host's prior has. No labelled pages: no rows. A host's outcomes are shrunk to its registered domain's (last two labels), those to its suffix's (last label),
     those to all. Each level's prior is Beta(strength * mean above, strength * (1 - mean above)), the strength by
     moments of that level. Counts shrink to one row a host before anything else is done with them.
     """
-    hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     hosts = cut(hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)))
-    if hosts.isEmpty():
-        return hosts.select("host", "domain", "suffix", F.lit(0.0).alias("mean"), F.lit(0.0).alias("sd"))
-    domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    labelled = hosts.where("n > 0")
+    if labelled.isEmpty():
+        return labelled.select("host", "domain", "suffix", F.lit(0.0).alias("mean"), F.lit(0.0).alias("sd"))
+    domains = cut(labelled.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg((F.sum("bad") / F.sum("n")).alias("m")).first().m
-    ks, kd, kh = shrinkage(suffixes, "suffix"), shrinkage(domains, "domain"), shrinkage(hosts, "host")
-    suffixes = suffixes.select("suffix", ((F.col("bad") + ks * F.lit(total)) / (F.col("n") + ks)).alias("up"))
+    ks, kd, kh = shrinkage(suffixes, "suffix"), shrinkage(domains, "domain"), shrinkage(labelled, "host")
+    suffixes = cut(suffixes.select("suffix", ((F.col("bad") + ks * F.lit(total)) / (F.col("n") + ks)).alias("up")))
     domains = lookup_join(domains, suffixes, ["suffix"], F.xxhash64("domain")).select("domain", ((F.col("bad") + kd * F.col("up")) / (F.col("n") + kd)).alias("up"))
-    a, b = kh * F.col("up") + F.col("bad"), kh * (1 - F.col("up")) + F.col("n") - F.col("bad")
-    return lookup_join(hosts, domains, ["domain"], F.xxhash64("host")).select("host", "domain", "suffix", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
+    hosts = lookup_join(hosts, domains, ["domain"], F.xxhash64("host"))
+    hosts = lookup_join(hosts, suffixes.withColumnRenamed("up", "above"), ["suffix"], F.xxhash64("host"))
+    up = F.coalesce("up", "above", F.lit(total))
+    a, b = kh * up + F.col("bad"), kh * (1 - up) + F.col("n") - F.col("bad")
+    return hosts.select("host", "domain", "suffix", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, bad: Column | None = None, z: float = 1.645, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict for every page.
 
     Where a rule fits, the longest decides. Elsewhere the reputation does: a host is blocked if the lower bound
-    mean - z * sd of its posterior share of bad pages is above `threshold`; a host without labelled pages is
-    allowed. `bad` labels pages (1 bad, 0 good, null unlabelled); by default the rules' own verdicts do.
+    mean - z * sd of its posterior share of bad pages is above `threshold`, which for a host without labelled pages
+    is its domain's, suffix's or all pages' prior; without any labelled page all are allowed. `bad` labels pages (1 bad, 0 good, null unlabelled); by default the rules' own verdicts do.
 
     A null url or one without `://` has an empty host and path; the empty host is a host like any other. Null or
     repeated ids are kept, a row each. No pages: no rows.
@@ -80,10 +85,10 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), *([bad.cast("int").alias("bad")] if bad is not None else []))
     parsed = parsed.select("*", _first_fitting(F.col("host"), F.col("path"), rules, 1).alias("rule"), _first_fitting(F.col("host"), F.col("path"), rules, 0).alias("action"))
     label = F.col("bad") if bad is not None else F.when(F.col("action") == "block", 1).when(F.col("action") == "allow", 0)
-    known = host_reputation(parsed.select("host", label.alias("bad")).where("bad IS NOT NULL"))
-    bound = known.select("host", (F.col("mean") - z * F.col("sd")).alias("bound"))
-    rows = lookup_join(parsed, cut(bound), ["host"], F.xxhash64("page_id"))
-    verdict = F.coalesce("action", F.when(F.col("bound") > threshold, F.lit("block")).otherwise(F.lit("allow")))
+    known = host_reputation(parsed.select("host", label.alias("bad")))
+    blocked = known.where(F.col("mean") - z * F.col("sd") > threshold).select("host", F.lit("block").alias("judged"))
+    rows = lookup_join(parsed, cut(blocked), ["host"], F.xxhash64("page_id"))
+    verdict = F.coalesce("action", "judged", F.lit("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 

@@ -185,3 +185,19 @@ def test_reputation_shrinks_to_domain(spark):
     assert (got[160], got[161], got[162]) == ("block", "allow", "allow")
     rep = {r.host: r for r in urls.host_reputation(spark.createDataFrame([("a.x.com", 1)] + [("b.x.com", 1)] * 30 + [("c.y.com", 0)] * 30, "host string, bad int")).collect()}
     assert rep["a.x.com"]["mean"] > 0.6 and rep["a.x.com"].sd > rep["b.x.com"].sd
+
+
+def test_reputation_of_hosts_without_labels(spark):
+    bad, good = [(f"http://bad{i % 3}.evil.com/{i}", 1) for i in range(60)], [(f"http://ok{i % 5}.good.com/{i}", 0) for i in range(100)]
+    worse = [(f"http://h{i % 4}.d{i % 20}.bad/{i}", 1) for i in range(200)]
+    new = [("http://bad9.evil.com/", None), ("http://ok9.good.com/", None), ("http://x.unseen.bad/", None), ("http://x.unseen.net/", None)]
+
+    def verdicts(pages):
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate([*pages, *new])], "page_id long, url string, is_bad int")
+        rows = urls.filter_urls(df, rules=(), bad=urls.F.col("is_bad")).collect()
+        assert len(rows) == len(pages) + len(new)
+        return [r.verdict for r in sorted(rows, key=lambda r: r.page_id)[len(pages) :]]
+
+    assert verdicts(bad + good)[:2] == ["block", "allow"]
+    assert verdicts(bad + good + worse + good * 3) == ["block", "allow", "block", "allow"]
+    assert verdicts([]) == ["allow"] * 4
