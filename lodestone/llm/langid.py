@@ -116,23 +116,26 @@ def fit(x: np.ndarray, labels: list[str], dim: int = 16, steps: int = 1000, batc
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Fit on at most `sample` usable labelled texts, as many a language as that allows, chosen by hash of the id."""
+    """Fit on at most `sample` usable labelled texts, as many a language as that allows, chosen by hash of the id, or of
+    the text where the id is null."""
     prepare(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = labelled.select("id", "lang", F.xxhash64("id").alias("h"))
+    labelled = labelled.withColumn("twin", F.when(F.col("id").isNull(), F.xxhash64("text")))
+    ids = labelled.select("id", "twin", "lang", F.coalesce("twin", F.xxhash64("id")).alias("h"))
     each = max(1, sample // max(1, ids.select("lang").distinct().count()))
-    chosen = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= each).orderBy("n", "h").limit(sample).select("id").distinct().collect()
+    chosen = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= each).orderBy("n", "h").limit(sample).select("id", "twin").distinct().collect()
     if not chosen:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, 0.0)
-    picked = docs.sparkSession.createDataFrame(chosen, "id long")
+    picked = docs.sparkSession.createDataFrame(chosen, "__id long, __twin long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(*as_bytes(batch.column("text")))
             where = [np.flatnonzero(r).astype(np.int16) for r in x]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array([w.tobytes() for w in where], pa.binary()), pa.array([r[w].tobytes() for r, w in zip(x, where, strict=True)], pa.binary())], ["id", "lang", "at", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("twin"), batch.column("lang"), pa.array([w.tobytes() for w in where], pa.binary()), pa.array([r[w].tobytes() for r, w in zip(x, where, strict=True)], pa.binary())], ["id", "twin", "lang", "at", "share"])
 
-    rows = labelled.join(F.broadcast(picked), "id").select("id", "lang", "text").mapInArrow(run, "id long, lang string, at binary, share binary").orderBy("id", "lang").limit(2 * sample).collect()
+    same = F.col("id").eqNullSafe(F.col("__id")) & F.col("twin").eqNullSafe(F.col("__twin"))
+    rows = labelled.join(F.broadcast(picked), same).select("id", "twin", "lang", "text").mapInArrow(run, "id long, twin long, lang string, at binary, share binary").orderBy("id", "lang", "twin").limit(2 * sample).collect()
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["share"], np.float32)
@@ -178,7 +181,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the model doesn't reject; a null language becomes the predicted one. No shuffle."""
+    """The rows of docs that the model doesn't reject; a null language becomes the predicted one. No shuffle.
+
+    A model that knows no language can't reject: all rows whose text has a letter stay.
+    """
     prepare(docs.sparkSession)
     handle, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
@@ -186,7 +192,10 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
         for batch in batches:
             row = batch.column("row")
             text = row.field(names.index(text_col))
-            lang, _, rejected = _judge(handle.value, text, np.array(batch.column("lettered").to_pylist(), bool))
+            lettered = np.array(batch.column("lettered").to_pylist(), bool)
+            lang, _, rejected = _judge(handle.value, text, lettered)
+            if not handle.value.langs:
+                rejected = ~lettered
             columns = [row.field(i) for i in range(len(names))]
             if lang_col in names:
                 columns[names.index(lang_col)] = pc.coalesce(row.field(names.index(lang_col)), pa.array(lang, pa.string()))

@@ -105,3 +105,14 @@ def test_rejection_is_calibrated(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = langid.predict(docs, langid.train(docs, langid.F.lit(True))).collect()
     assert sum(r.rejected for r in got) <= 0.02 * len(got)
+
+
+def test_keep_identified_without_labels_or_ids(spark):
+    texts = [(f"the cat and the dog number {i} went over there", "en") for i in range(12)] + [(f"der Hund und die Katze Nummer {i} gingen dorthin", "de") for i in range(12)]
+    unlabelled = documents(spark, [*[(i, t, None) for i, (t, _) in enumerate(texts)], (90, "1 2 3", None), (91, None, None)])
+    kept = langid.keep_identified(unlabelled, langid.train(unlabelled, langid.F.lit(True))).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(24))
+    nameless = documents(spark, [*[(None, t, lang) for t, lang in texts], (None, "4 5 6", None)])
+    model = langid.train(nameless, langid.F.lit(True))
+    assert sorted(model.langs) == ["de", "en"]
+    assert {r.lang for r in langid.keep_identified(nameless, model).collect()} == {"de", "en"}
