@@ -203,3 +203,12 @@ def test_streaming(spark, sf, tmp_path):
     seen = []
     live.rebuild_on_commit(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "c")).awaitTermination()
     assert sum(seen) == table.count()
+
+
+def test_score_stream_by_many_terms(spark):
+    from lodestone.streaming import live
+
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(0, 12_000, 2)] + [(-1, None), (-2, "other")], "doc_id long, text string")
+    terms = spark.range(12_000).selectExpr("concat('w', id) AS term", "id + 0.5D AS boost")
+    got = {r.doc_id: (r.score, r.overlap) for r in live.score_stream(docs, terms).collect()}
+    assert got == {i: (2.0 * i + 2, 2) for i in range(0, 12_000, 2)}
