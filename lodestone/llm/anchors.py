@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK, Prefix, as_bytes, blocks, byte_values, cut, mix64, plan_bytes, prepare, word_hashes, word_spans
+from .common import BLOCK, Spans, as_bytes, blocks, byte_values, cut, mix64, plan_bytes, prepare, word_hashes, word_spans
 
 PLACE = np.uint64((1 << 24) - 1)
 #: Different segments of one anchor beyond which they are split further.
@@ -63,8 +63,8 @@ def segments(values: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.nda
     n = len(values)
     if n < w.length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 4
-    prefix = Prefix(values)
-    grams = mix64((prefix.sums[w.gram :] - prefix.sums[: n - w.gram + 1]) * prefix.down[: n - w.gram + 1])
+    spans = Spans(values)
+    grams = spans.grams(w.gram)
     least = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while span * 2 <= w.places:
@@ -91,9 +91,9 @@ def segments(values: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.nda
     first, count = first[keep], count[keep]
     anchor = place[first]
     half, stop, none = w.places // 2, anchor + w.gram, np.uint64(0)
-    left = np.where(anchor - half >= first, prefix.spans(np.maximum(anchor - half, 0), stop) | np.uint64(1 << 32), none)
-    right = np.where(stop + half <= first + count + w.length - 1, prefix.spans(anchor, np.minimum(stop + half, n)) | np.uint64(1 << 32), none)
-    return first, count, anchor, grams[anchor], prefix.spans(first, first + count + w.length - 1), left >> np.uint64(32), right >> np.uint64(32)
+    left = np.where(anchor - half >= first, spans.spans(np.maximum(anchor - half, 0), stop) | np.uint64(1 << 32), none)
+    right = np.where(stop + half <= first + count + w.length - 1, spans.spans(anchor, np.minimum(stop + half, n)) | np.uint64(1 << 32), none)
+    return first, count, anchor, grams[anchor], spans.spans(first, first + count + w.length - 1), left >> np.uint64(32), right >> np.uint64(32)
 
 
 def _units(column: pa.Array, w: Windows) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -329,7 +329,7 @@ def _split(w: Windows, part: np.ndarray, starts: np.ndarray | None, ends: np.nda
         values = byte_values(part[lo : hi + w.length - 1])
     at = segments(values, np.array([0, len(values)]), w)[2]
     p = int(at[0])  # the anchor's distance from the first window
-    prefix = Prefix(values)
+    spans = Spans(values)
     x = 0
     while x < hi - lo:
         place = p - x  # of the anchor in window x; falls by one a window
@@ -337,7 +337,7 @@ def _split(w: Windows, part: np.ndarray, starts: np.ndarray | None, ends: np.nda
         # the range of places is [floor, floor + width); windows in it all hold the units from the latest start on
         floor = place // width * width
         s, e = p - floor, p - (floor + width - 1) + w.length
-        shared = int(prefix.spans(np.array([max(s, 0)]), np.array([min(e, len(values))]))[0])
+        shared = int(spans.spans(np.array([max(s, 0)]), np.array([min(e, len(values))]))[0])
         key = int(mix64(np.array([(anchor * 31 + floor * 1_000_003 + shared) & ((1 << 64) - 1)], np.uint64))[0])
         yield lo + x, lo + y, key >> 1
         x = y

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +27,9 @@ SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
-_MASK = (1 << 64) - 1
-_A = 0x9E3779B97F4A7C15 | 1
-_A_INV = pow(_A, -1, 1 << 64)
+_K1, _K2, _K3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -147,16 +146,6 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
-        up, down = np.full(size, _A, np.uint64), np.full(size, _A_INV, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -167,17 +156,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Prefix:
-    """Polynomial hashes of any spans of a sequence, modulo 2^64, from prefix sums."""
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs: a bijection of b for any a, and of a for any b, that is no polynomial of either."""
+    x = a * _K1
+    x ^= x >> np.uint64(29)
+    x += b
+    x *= _K2
+    x ^= x >> np.uint64(32)
+    return x
+
+
+class Spans:
+    """Hashes of any spans of a sequence of 64-bit values.
+
+    Those of spans of 1, 2, 4, ... values are joined from halves; a span is known by the two of them that cover it
+    from its ends, and its length. Unlike sums of powers these have no structured texts that collide.
+    """
 
     def __init__(self, values: np.ndarray):
-        up, self.down = _power(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[:-1], out=self.sums[1:])
+        self.levels = [values.astype(np.uint64)]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(_join(last[:-half], last[half:]) if len(last) > half else last[:0])
+        return self.levels[k]
+
+    def grams(self, n: int) -> np.ndarray:
+        """Of all spans of n values."""
+        k = n.bit_length() - 1
+        level, over = self._level(k), n - (1 << k)
+        return mix64(_join(level[: len(level) - over], level[over:]) + np.uint64(n * int(_K3) & (1 << 64) - 1))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """Of the spans from starts to ends; 0 for empty ones."""
+        size = ends - starts
+        out = np.zeros(len(size), np.uint64)
+        kind = np.frexp(np.maximum(size, 0))[1] - 1
+        for k in range(int(kind.max(initial=-1)) + 1):
+            rows = np.flatnonzero((kind == k) & (size > 0))
+            if len(rows):
+                level = self._level(k)
+                out[rows] = mix64(_join(level[starts[rows]], level[ends[rows] - (1 << k)]) + size[rows].astype(np.uint64) * _K3)
+        return out
 
 
 def byte_values(buf: np.ndarray) -> np.ndarray:
@@ -185,7 +206,25 @@ def byte_values(buf: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Prefix(byte_values(buf)).spans(starts, ends)
+    """64-bit hashes of spans of a buffer by their bytes, eight at a time; spans of over 32 bytes have their XXH64."""
+    size = ends - starts
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    out = size.astype(np.uint64) * _K3
+    rows, at, left = np.arange(len(size)), starts, size
+    for k in range(4):
+        if k:
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                break
+            rows, at, left = rows[more], at[more] + 8, left[more] - 8
+        out[rows] = _join(out[rows], words[at] & _MASKS[np.minimum(left, 8)])
+    long = np.flatnonzero(size > 32)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(buf))
+        for i in long.tolist():
+            out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
+    return mix64(out)
 
 
 def words_by_block(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -16,7 +16,7 @@ from .anchors import _planes, _unplanes
 from .common import plan_bytes, prepare, shared_dir, word_hashes, words_by_block
 from .eliasfano import EliasFano, map_arrays, write_arrays
 
-ORDER, MIN_COUNT, DISCOUNT, ADD = 3, 2, 0.75, 0.1
+ORDER, MIN_COUNT, DISCOUNT, ADD = 3, 1, 0.75, 0.1
 #: Bytes of input for each shard of a model, and tokens that a task gathers before it sends their counts.
 SHARD_BYTES, GATHER = 8 << 20, 2_000_000
 #: The end of a text and the place before it, as word hashes (63 bits).
@@ -401,6 +401,5 @@ def score_documents(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-#: The query keeps every n-gram of its training text.
-QUERY = {"op6_lm_score": lambda spark, sf_dir: score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_count=1)}
+QUERY = {"op6_lm_score": lambda spark, sf_dir: score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
 ORACLE: dict[str, str] = {}

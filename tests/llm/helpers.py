@@ -15,3 +15,11 @@ ODD = [(1, None), (2, ""), (3, "   \n\t"), (4, "x"), (5, LONG), (6, LONG), (6, L
 
 def rows(df, *columns):
     return [tuple(r[c] for c in columns) for r in df.collect()] if columns else df.collect()
+
+
+def twins(rounds=11):
+    """Two Thue-Morse words of 2**rounds characters: hashes that are polynomials modulo 2**64 can't tell them apart."""
+    x, y = "a", "b"
+    for _ in range(rounds):
+        x, y = x + y, y + x
+    return x, y

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from lodestone.llm import anchors, substrings, suffixes
 
-from .helpers import ODD, documents
+from .helpers import ODD, documents, twins
 
 
 def brute_bytes(docs, width=100):
@@ -85,6 +85,17 @@ def test_odd(spark):
     assert suffixes.dedup_bytes(documents(spark, [])).count() == substrings.dedup_words(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [512, 0])
+def test_structured_words(spark, hot, monkeypatch):
+    monkeypatch.setattr(anchors, "HOT", hot)
+    x, y = twins()
+    words = [f"w{i}" for i in range(60)]
+    docs = [(k, " ".join([*words[:30], t, *words[30:]])) for k, t in enumerate((x, y, x + "c", y + "c"))]
+    both(spark, docs)
+    short, other = twins(6)
+    both(spark, [(1, " ".join(short)), (2, " ".join(other)), (3, " ".join(short + other)), (4, short * 3), (5, other * 3)])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.lists(st.integers(1, 3), max_size=80), st.lists(st.integers(1, 2), max_size=200), st.lists(st.integers(1, 3000), max_size=60)))
 def test_suffix_array(values):

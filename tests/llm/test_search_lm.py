@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from lodestone.llm import balltree, eliasfano, ngrams
 
-from .helpers import ODD, documents
+from .helpers import ODD, documents, twins
 
 
 @settings(max_examples=200, deadline=None)
@@ -28,7 +28,7 @@ def test_elias_fano_is_compact():
     assert sum(a.nbytes for a in eliasfano.EliasFano.arrays(v)) * 8 / len(v) < 40 - np.log2(100_000) + 6
 
 
-def brute_lm(docs, order=3, min_count=2):
+def brute_lm(docs, order=3, min_count=1):
     """Dictionaries, no quantisation."""
     text = {}
     for i, t in docs:
@@ -78,8 +78,8 @@ def check(got, want):
         assert abs(g[5] - w[5]) <= 0.02 * g[1] + 1e-9
 
 
-def lm(df):
-    return ngrams.score_documents(df).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+def lm(df, **how):
+    return ngrams.score_documents(df, **how).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
 
 
 def test_lm_table(spark, sf, monkeypatch):
@@ -87,6 +87,7 @@ def test_lm_table(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = lm(docs)
     check(got, brute_lm([(r.doc_id, r.text) for r in docs.collect()]))
+    check(lm(docs, min_count=2), brute_lm([(r.doc_id, r.text) for r in docs.collect()], min_count=2))
     held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 10 == 0]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
@@ -99,6 +100,15 @@ def test_lm_odd(spark):
     assert row.train_tokens == 0 and row.n_known == 0 and row.base_score == pytest.approx(0.0)
 
 
+def test_lm_structured_words(spark):
+    x, y = twins()
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 10][:2] + [next(i for i in range(1, 200) if not zlib.crc32(str(i).encode()) % 10)]
+    docs = [(ids[0], f"a {x}"), (ids[1], "b"), (ids[2], f"a {y}")]
+    got = lm(documents(spark, docs))
+    check(got, brute_lm(docs))
+    assert {r.doc_id: r.n_known for r in got}[ids[2]] == 2  # a and the end
+
+
 def test_lm_query_keeps_ngrams_seen_once(spark, sf):
     rows = ngrams.QUERY["op6_lm_score"](spark, sf).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
