@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -18,6 +17,8 @@ from .common import cut, prepare, word_hashes, words_by_block
 LENGTH, END = 2048, 0
 #: Words whose ids a worker keeps; beyond that it starts afresh, which costs time only.
 CACHED_WORDS = 1_000_000
+#: Pieces and slots that one task sorts and sweeps.
+TASK_ROWS = 500_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -103,97 +104,135 @@ def cut_pieces(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit-decreasing over classes of equal pieces and of equal gaps, a sweep for each length.
+def nest(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(matched pieces, their gaps, pieces left, gaps left) as places in a list of gaps (True) and pieces by falling size.
 
-    A sweep takes the longest pieces left and hands them to the gaps that fit best: the successor of their length
-    among the gaps in order, then that of what is left, until none fits, then to new sequences. Pieces of one
-    length, and sequences with one gap, are alike, so rank decides who gets which; the gaps are then updated. That
-    is what placing the pieces one at a time gives. Returns runs (length, first rank, number, first sequence,
-    offset): the piece of rank first + i has sequence first + i. Their number depends on the capacity, not on the
-    number of pieces.
+    Every piece takes the smallest gap before it that is free: gaps open and pieces close brackets. Those of one depth
+    alternate, so that sorting by depth puts each piece behind its gap.
     """
-    runs, gaps, held, opened = [], [], {}, 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap > 0 and n > 0:
-            if gap not in held:
-                held[gap] = []
-                insort(gaps, gap)
-            held[gap].append((first, n))
-
-    for size in sorted(counts, reverse=True):
-        n, rank = counts[size], 0
-        while n > 0:
-            at = bisect_left(gaps, size)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, m = held[gap].pop()
-                if not held[gap]:
-                    del held[gap]
-                    gaps.pop(at)
+    n = len(gap)
+    sums = np.cumsum(np.where(gap, 1, -1))
+    low = np.minimum.accumulate(np.minimum(sums, 0))
+    left = ~gap & (low < np.concatenate([[0], low[:-1]]))
+    depth = sums - low + ~gap
+    rows = np.flatnonzero(~left)
+    rows = rows[np.argsort(depth[rows], kind="stable")]
+    closing = np.flatnonzero(~gap[rows])
+    pieces, gaps = rows[closing], rows[closing - 1]
+    free = gap.copy()
+    free[gaps] = False
+    return pieces, gaps, np.flatnonzero(left), np.flatnonzero(free) if n else rows
+
+
+def nest_rest(left: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """What is left of each range in order, (range, pieces, gaps), matched over ranges: runs (range of the pieces, first
+    rank, number, range of the gaps, first rank), gaps ranked from the smallest up. The latest range's gaps are the
+    smallest and go first."""
+    stack: list[list[int]] = []
+    runs = []
+    for part, pieces, gaps in left:
+        rank = 0
+        while pieces > rank and stack:
+            at, first, n = stack[-1]
+            take = min(n, pieces - rank)
+            runs.append((part, rank, take, at, first))
+            rank += take
+            if take == n:
+                stack.pop()
             else:
-                gap, first = capacity, opened
-                m = -(-n // (capacity // size))
-                opened += m
-            each = gap // size
-            whole = min(m, n // each)
-            for k in range(each if whole else 0):
-                runs.append((size, rank, whole, first, capacity - gap + k * size))
-                rank += whole
-            n -= whole * each
-            leave(gap - each * size, first, whole)
-            rest = min(n, each - 1) if whole < m else 0
-            for k in range(rest):
-                runs.append((size, rank, 1, first + whole, capacity - gap + k * size))
-                rank += 1
-            n -= rest
-            if rest:
-                leave(gap - rest * size, first + whole, 1)
-                whole += 1
-            leave(gap, first + whole, m - whole)
+                stack[-1][1:] = [first + take, n - take]
+        if gaps:
+            stack.append([part, 0, gaps])
     return runs
 
 
-def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The pieces with sequence_id and offset.
-
-    Only the number of pieces of each of at most `length` lengths comes to the driver. Ranks within a length are
-    made in parallel: a length's pieces are split by hash into salts, about 100,000 pieces each over all, counted,
-    and numbered from where the salts before them end.
+_SWEPT = "state int, part int, rank long, uid long, size int, sequence long, slot int, free int"
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of pieces and slots, the largest first: pairs (state 0), pieces (1) and slots (2) that are left."""
+    from pyspark import TaskContext
+
+    table = pa.Table.from_batches(list(batches))
+    part = TaskContext.get().partitionId()
+    if not len(table):
+        return
+    size, sequence, slot, free, uid = (np.asarray(table.column(c).combine_chunks()) for c in ("size", "sequence", "slot", "free", "uid"))
+    pieces, gaps, alone, spare = nest(np.asarray(table.column("gap").combine_chunks()))
+    spare = spare[::-1]
+    for state, i, j in ((0, pieces, gaps), (1, alone, alone), (2, spare, spare)):
+        n = len(i)
+        for a in range(0, n, 1 << 18):
+            p, g = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
+            m = len(p)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(m, state, np.int32)), pa.array(np.full(m, part, np.int32)), pa.array(np.arange(a, a + m)), pa.array(uid[p]), pa.array(size[p]), pa.array(sequence[g]), pa.array(slot[g]), pa.array(free[g])],
+                ["state", "part", "rank", "uid", "size", "sequence", "slot", "free"],
+            )
+
+
+def best_fit(pieces: DataFrame, length: int = LENGTH, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(uid, sequence_id, offset) of pieces (uid, size), by rounds of bulk-synchronous best fit.
+
+    A round opens sequences for the pieces that are larger than any gap, as many as their tokens fill; cuts each gap
+    into slots that hold the largest piece left; and sorts pieces and slots into ranges by falling size. A sweep over
+    each range gives every piece its successor among the slots, the smallest free one that holds it. What is left of
+    the ranges is matched over them by rank, for which the driver sees two counts a range. Then the gaps are updated,
+    and rounds repeat until no piece is left; the driver sees how many pieces and gaps there are of each size. The largest piece of a round is always placed, and slots of the largest
+    size are at least half filled where they are, so that rounds are about as many as the halvings of a sequence.
     """
-    rows = pieces.count()
-    salts = max(1, rows // 100_000)
-    pieces = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    salted = pieces.groupBy(F.col("length").alias("__length"), F.col("__salt").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    counts = {int(r["__length"]): int(r["n"]) for r in salted.groupBy("__length").agg(F.sum("__n").alias("n")).collect()}
-    runs = np.array(sorted(best_fit(counts, length)), np.int64).reshape(-1, 5)
-    bases = salted.withColumn("__base", F.sum("__n").over(Window.partitionBy("__length").orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
-    ranked = pieces.withColumn("__row", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(bases, (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__s")))
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("__base") + F.col("__row")).alias("rank"))
-    handle = pieces.sparkSession.sparkContext.broadcast(runs)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = handle.value
-        span = int(runs[:, 1].max()) + 1 if len(runs) else 1
-        keys = runs[:, 0] * span + runs[:, 1]
-        for batch in batches:
-            size, rank = (np.asarray(batch.column(c)) for c in ("length", "rank"))
-            at = np.searchsorted(keys, size * span + np.minimum(rank, span - 1), "right") - 1
-            sequence = runs[at, 3] + rank - runs[at, 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(runs[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    spark = pieces.sparkSession
+    gaps, opened = spark.range(0).select(F.col("id").alias("sequence"), F.lit(length).alias("free")), 0
+    out = pieces.select("uid", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("sequence").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    while True:
+        kinds = pieces.select(F.lit(False).alias("gap"), "size").union(gaps.select(F.lit(True), "free")).groupBy("gap", "size").count().collect()
+        want, have = ({r["size"]: r["count"] for r in kinds if r["gap"] == g} for g in (False, True))
+        if not want:
+            return out
+        n, low, high, top = sum(want.values()), min(want), max(want), max(have, default=0)
+        new = -(-sum(size * m for size, m in want.items() if size > top) // length)
+        if new:
+            gaps = gaps.union(spark.range(opened, opened + new).select("id", F.lit(length)))
+            opened += new
+        room = new + sum(m for free, m in have.items() if free >= low)
+        each = F.greatest(F.lit(1), F.least(F.expr(f"free div {high}"), F.lit(-(-2 * n // room)))).cast("int")
+        usable = gaps.where(F.col("free") >= low).withColumn("k", each)
+        slots = usable.select(F.lit(True).alias("gap"), F.expr("cast(free div k as int)").alias("size"), F.lit(0).cast("long").alias("uid"), "sequence", F.explode(F.expr("sequence(0, k - 1)")).alias("slot"), "free")
+        asked = pieces.select(F.lit(False).alias("gap"), "size", "uid", F.lit(0).cast("long").alias("sequence"), F.lit(0).alias("slot"), F.lit(0).alias("free"))
+        order = [F.col("size").desc(), F.col("gap").desc(), F.col("sequence"), F.col("slot"), F.col("uid")]
+        ranges = -(-(n + min(room * (length // high), 2 * n + room)) // task_rows)
+        swept = cut(slots.union(asked).repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT))
+        alone = swept.where("state = 1").select("part", "rank", "uid", "size")
+        pairs = swept.where("state = 0").select("uid", "size", "sequence", "slot", "free")
+        left = swept.where("state > 0").groupBy("part").agg(F.count_if(F.col("state") == 1), F.count_if(F.col("state") == 2)).orderBy("part").collect() if ranges > 1 else []
+        if runs := nest_rest([tuple(r) for r in left]):
+            met = F.broadcast(spark.createDataFrame(runs, "part int, first long, n long, gap_part int, gap_first long"))
+            alone = alone.join(met, (alone.part == met.part) & (alone["rank"] >= met["first"]) & (alone["rank"] < met["first"] + met["n"]), "left")
+            alone = alone.select("uid", "size", "gap_part", (F.col("gap_first") + F.col("rank") - F.col("first")).alias("gap_rank"))
+            spare = swept.where("state = 2").select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), "sequence", "slot", "free")
+            pairs = pairs.union(alone.where("gap_part IS NOT NULL").join(spare, ["gap_part", "gap_rank"]).select("uid", "size", "sequence", "slot", "free"))
+            alone = alone.where("gap_part IS NULL")
+        gaps = cut(gaps.union(pairs.select("sequence", -F.col("size"))).groupBy("sequence").agg(F.sum("free").cast("int").alias("free")).where("free > 0"))
+        pieces = alone.select("uid", "size")
+        out = out.union(pairs.select("uid", F.col("sequence").alias("sequence_id"), (F.lit(length) - F.col("free") + before).cast("long").alias("offset")))
+
+
+def pack(pieces: DataFrame, length: int = LENGTH, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    pieces = cut(pieces.withColumn("uid", F.monotonically_increasing_id()))
+    placed = best_fit(pieces.select("uid", F.col("length").cast("int").alias("size")), length, task_rows)
+    return pieces.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """Tokenise all documents, cut those of over `length` tokens, and pack the pieces.
 
-    Null and empty texts are the end id alone. Null ids and rows that repeat an id are packed, a piece row each.
-    One document's arrays are held at a time, about 60 times its bytes. No rows: none.
+    Null and empty texts are the end id alone. Null ids and rows that repeat an id are packed, a piece row each; other
+    columns of docs don't matter. Of equal pieces any may come first. One document's arrays are held at a time, about 60
+    times its bytes. No rows: none.
     """
-    return pack(cut(cut_pieces(docs, path or vocabulary_path(), length)), length)
+    return pack(cut_pieces(docs, path or vocabulary_path(), length), length)
 
 
 QUERY = {"op7_pack_documents": lambda spark, sf_dir: pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))}

@@ -70,24 +70,43 @@ def one_at_a_time(sizes, capacity):
     return sorted(gaps)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=120), st.integers(40, 64))
-def test_sweeps_equal_best_fit_decreasing(sizes, capacity):
-    counts = {s: sizes.count(s) for s in set(sizes)}
-    fill, ranks = defaultdict(int), defaultdict(list)
-    for size, rank, n, first, offset in sorted(packing.best_fit(counts, capacity), key=lambda r: r[4]):
-        for i in range(n):
-            assert fill[first + i] == offset
-            fill[first + i] += size
-            ranks[size].append(rank + i)
-    assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in counts.items()}
-    assert sorted(capacity - f for f in fill.values()) == one_at_a_time(sizes, capacity)
-
-
-def test_pack_ranks_over_salts(spark, monkeypatch):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 30), st.booleans()), max_size=120), st.integers(1, 5))
+def test_sweeps_are_successors_by_rank(items, parts):
+    items = sorted(items, key=lambda x: (-x[0], not x[1]))
+    free, want, alone = [], [], []
+    for k, (_, gap) in enumerate(items):
+        if gap:
+            free.append(k)
+        elif free:
+            want.append((k, free.pop()))
+        else:
+            alone.append(k)
+    edges = [len(items) * k // parts for k in range(parts + 1)]
+    got, rest = [], {}
+    for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        p, g, left, spare = packing.nest(np.array([gap for _, gap in items[a:b]], bool))
+        got += zip((a + p).tolist(), (a + g).tolist(), strict=True)
+        rest[part] = (a + left).tolist(), (a + spare).tolist()[::-1]
+    for part, rank, n, at, first in packing.nest_rest([(k, len(p), len(g)) for k, (p, g) in rest.items()]):
+        got += zip(rest[part][0][rank : rank + n], rest[at][1][first : first + n], strict=True)
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("task_rows", [400, 100_000])
+def test_pack_in_ranges(spark, task_rows):
     pieces = spark.range(5000).selectExpr("id doc_id", "0 piece", "0L start", "1L + id % 7 * (id % 3) length", "id ids_crc32")
-    rows = packing.pack(pieces, 16).collect()
-    assert len(rows) == 5000 and check_packing(rows, 16) <= -(-sum(r.length for r in rows) // 16) + 1
+    rows = packing.pack(pieces, 16, task_rows).collect()
+    assert len(rows) == 5000 and check_packing(rows, 16) <= -(-sum(r.length for r in rows) // 16) + 2
+
+
+def test_pack_tight(spark):
+    """Against best fit decreasing, one piece at a time: few sizes, none that fill up a sequence."""
+    rng = np.random.default_rng(3)
+    for sizes in ([700] * 300, rng.integers(300, 1300, 400).tolist(), [2048] * 5 + [1] * 50 + rng.geometric(0.01, 300).clip(1, 2048).tolist()):
+        pieces = spark.createDataFrame([(k, 0, 0, int(s), 1) for k, s in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+        rows = packing.pack(pieces, 2048).collect()
+        assert len(rows) == len(sizes) and check_packing(rows) <= len(one_at_a_time(sizes, 2048)) * 1.03 + 2
 
 
 def brute_targets(sizes):
