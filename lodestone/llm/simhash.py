@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -120,14 +120,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- pairs within a distance
 
 RADIUS = 6
-#: Points that are compared with each other without a tree.
-LEAF = 64
+#: Points that are compared with each other without a tree; points of one shard that one task compares; points up to
+#: which one tree holds all.
+LEAF, SHARD, WHOLE = 128, 32_768, 16_384
 
 
 def layout(n: int) -> tuple[int, int]:
-    """(blocks, of which so many agree in any linked pair) for n fingerprints: more, and longer keys, for more."""
-    blocks = 8 if n < 2 * 10**8 else 10 if n < 2 * 10**10 else 12
-    return blocks, blocks - RADIUS
+    """(blocks, of which so many agree in any linked pair) for n fingerprints: a shard holds about 2048 of them if bits
+    are even. A few fingerprints are one shard."""
+    if n <= WHOLE:
+        return 1, 0
+    for blocks in range(RADIUS + 1, 2 * RADIUS):
+        agree = blocks - RADIUS
+        if n >> (64 * agree // blocks) <= 2048:
+            return blocks, agree
+    return 2 * RADIUS, RADIUS
 
 
 def block_masks(blocks: int) -> np.ndarray:
@@ -139,26 +146,79 @@ def tables(blocks: int, agree: int) -> list[tuple[int, ...]]:
     return list(combinations(range(blocks), agree))
 
 
-def _brute(a: np.ndarray, b: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> None:
-    near = np.bitwise_count(x[a][:, None] ^ x[b][None, :]) <= RADIUS
-    i, j = np.nonzero(near)
-    found.append((a[i], b[j]))
+def keys_of(x: np.ndarray, masks: np.ndarray, combo: tuple[int, ...]) -> np.ndarray:
+    return x & (np.bitwise_or.reduce(masks[list(combo)]) if combo else np.uint64(0))
 
 
-def near_within(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j of a set of fingerprints within RADIUS, by a vantage-point tree.
+class Links:
+    """Partners and connected rows of a set of fingerprints x, of which row i stands for n[i] documents.
+
+    Pairs come in blocks and are reduced at once: kept are a count and a label a row. `apart` are masks of blocks; a
+    pair that agrees in one of those is counted elsewhere.
+    """
+
+    def __init__(self, x: np.ndarray, n: np.ndarray, apart: np.ndarray | Sequence[np.uint64] = ()):
+        self.x, self.n, self.apart = x, n.astype(np.float64), apart
+        self.near, self.label = np.zeros(len(x)), np.arange(len(x))
+        self.compared = 0
+
+    def block(self, a: np.ndarray, b: np.ndarray, same: bool = False) -> None:
+        for s in range(0, len(a), 1024):
+            for t in range(s if same else 0, len(b), 1024):
+                self._tile(a[s : s + 1024], b[t : t + 1024], same and s == t)
+
+    def _tile(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        self.compared += len(a) * len(b)
+        z = self.x[a][:, None] ^ self.x[b][None, :]
+        near = np.bitwise_count(z) <= RADIUS
+        if same:
+            near = np.triu(near, 1)
+        found = np.count_nonzero(near)
+        if not found:
+            return
+        if found * 16 <= near.size:
+            i, j = np.nonzero(near)
+            own = np.ones(len(i), bool)
+            for m in self.apart:
+                own &= (z[i, j] & m) != 0
+            np.add.at(self.near, a[i[own]], self.n[b[j[own]]])
+            np.add.at(self.near, b[j[own]], self.n[a[i[own]]])
+        else:
+            own = near.copy()
+            for m in self.apart:
+                own &= (z & m) != 0
+            own = own.astype(np.float64)
+            self.near[a] += own @ self.n[b]
+            self.near[b] += self.n[a] @ own
+            i, j = np.nonzero(near & (self.label[a][:, None] != self.label[b][None, :]))
+        self._connect(a[i], b[j])
+
+    def _connect(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            p, q = self.label[i], self.label[j]
+            differ = p != q
+            if not differ.any():
+                return
+            i, j, p, q = i[differ], j[differ], p[differ], q[differ]
+            np.minimum.at(self.label, np.maximum(p, q), np.minimum(p, q))
+            while not np.array_equal(self.label, up := self.label[self.label]):
+                self.label = up
+
+
+def search_tree(links: Links, a: np.ndarray, b: np.ndarray | None = None) -> None:
+    """Compares all pairs of rows of a (or of one of a and one of b) that a vantage-point tree can't tell apart.
 
     A set is split at the median distance from its first point. A pair whose distances from that point differ by
     more than RADIUS is apart by the triangle inequality, so of the two sides only the points near the boundary
     meet, and they are split again in the same way.
     """
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    stack: list[tuple[np.ndarray, np.ndarray | None]] = [(np.arange(len(x)), None)]
+    x = links.x
+    stack: list[tuple[np.ndarray, np.ndarray | None]] = [(a, b)]
     while stack:
         a, b = stack.pop()
         if b is None:
             if len(a) <= LEAF:
-                _brute(a, a, found, x)
+                links.block(a, a, True)
                 continue
             d = np.bitwise_count(x[a] ^ x[a[0]]).astype(np.int64)
             mid = int(np.median(d))
@@ -166,129 +226,157 @@ def near_within(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if inner.all():
                 inner = d < mid
             if not inner.any():  # all at one distance from it
-                for s in range(0, len(a), 1024):
-                    for t in range(s, len(a), 1024):
-                        _brute(a[s : s + 1024], a[t : t + 1024], found, x)
+                links.block(a, a, True)
                 continue
             top, low = int(d[inner].max()), int(d[~inner].min())
             stack += [(a[inner], None), (a[~inner], None), (a[inner & (d >= low - RADIUS)], a[~inner & (d <= top + RADIUS)])]
             continue
         if not len(a) or not len(b):
             continue
-        if len(a) * len(b) <= LEAF * LEAF * 16:
-            _brute(a, b, found, x)
+        if len(a) * len(b) <= 4 * LEAF * LEAF:
+            links.block(a, b)
             continue
         da, db = (np.bitwise_count(x[s] ^ x[a[0]]).astype(np.int64) for s in (a, b))
         mid = int(np.median(da))
         ia, ib = da <= mid, db <= mid
         if ia.all() or not ia.any():
-            for s in range(0, len(a), 1024):
-                for t in range(0, len(b), 1024):
-                    _brute(a[s : s + 1024], b[t : t + 1024], found, x)
+            links.block(a[(da >= db.min() - RADIUS) & (da <= db.max() + RADIUS)], b[(db >= da.min() - RADIUS) & (db <= da.max() + RADIUS)])
             continue
         stack += [(a[ia], b[ib]), (a[~ia], b[~ib]), (a[ia & (da > mid - RADIUS)], b[~ib & (db <= mid + RADIUS)]), (a[~ia & (da <= mid + RADIUS)], b[ib & (db > mid - RADIUS)])]
-    if not found:
-        return (np.zeros(0, np.int64),) * 2
-    i, j = (np.concatenate(f) for f in zip(*found, strict=True))
-    pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1)[i != j], axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def links(x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with one key (rows are in order of key) within RADIUS. Small groups meet by shifts, all at once."""
-    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1) != 0) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(key)))
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    small = np.repeat(size <= LEAF, size)
-    for shift in range(1, int(size[size <= LEAF].max(initial=0))):
-        i = np.flatnonzero(small[:-shift] & (key[shift:] == key[:-shift]))
-        i = i[np.bitwise_count(x[i] ^ x[i + shift]) <= RADIUS]
-        out.append((i, i + shift))
-    for g in np.flatnonzero(size > LEAF):
-        i, j = near_within(x[first[g] : first[g] + size[g]])
-        out.append((first[g] + i, first[g] + j))
-    if not out:
-        return (np.zeros(0, np.int64),) * 2
-    i, j = (np.concatenate(o) for o in zip(*out, strict=True))
-    return i, j
-
-
-def roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The least row connected with each of n rows."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        np.minimum.at(label, before[i], low)
-        np.minimum.at(label, before[j], low)
-        while not np.array_equal(label, label[label]):
-            label = label[label]
-        if np.array_equal(label, before):
-            return label
-
-
-def _spread(blocks: int, agree: int, buckets: int) -> Callable:
-    masks = block_masks(blocks)
-    combos = tables(blocks, agree)
+
+
+def _counts(blocks: int, agree: int) -> Callable:
+    """(table, key, points) of a task."""
+    masks, combos = block_masks(blocks), tables(blocks, agree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(parts)
+            for t, combo in enumerate(combos):
+                key, n = np.unique(keys_of(x, masks, combo), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["t", "key", "n"])
+
+        for batch in batches:
+            parts.append(np.asarray(batch.column("fp")).view(np.uint64))
+            size += len(parts[-1])
+            if size >= 1 << 20:
+                yield from flush()
+                parts, size = [], 0
+        if parts:
+            yield from flush()
+
+    return run
+
+
+def hot_shards(classes: DataFrame, blocks: int, agree: int, points: int, shard: int = SHARD) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
+    """(table -> its keys with too many points for one task, and how many slices each is cut into; the most points a slice).
+
+    No more than a million keys can have so many: that bounds what comes to the driver and goes to all tasks.
+    """
+    most = max(shard, points * len(tables(blocks, agree)) // 1_000_000)
+    found: dict[int, list[tuple[int, int]]] = {}
+    if points > most:
+        counted = classes.mapInArrow(_counts(blocks, agree), "t int, key long, n long").groupBy("t", "key").agg(F.sum("n").alias("n"))
+        for r in counted.where(F.col("n") > most).collect():
+            found.setdefault(r.t, []).append((r.key, -(-r.n // most)))
+    out = {}
+    for t, rows in found.items():
+        key, slices = np.array(rows, np.int64).T
+        order = np.argsort(key.view(np.uint64))
+        out[t] = np.ascontiguousarray(key.view(np.uint64)[order]), slices[order]
+    return out, most
+
+
+def _slice(x: np.ndarray, slices: np.ndarray | int) -> np.ndarray:
+    return (mix64(x ^ np.uint64(0x5DEECE66D)) % np.asarray(slices).astype(np.uint64)).astype(np.int64)
+
+
+def _spread(blocks: int, agree: int, buckets: int, handle) -> Callable:  # noqa: ANN001
+    """Points by bucket. A shard with too many is cut into slices by hash, and each pair of slices is a shard."""
+    masks, combos = block_masks(blocks), tables(blocks, agree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = handle.value
+        rows: list[tuple[int, bytes]] = []
+
+        def put(t: int, low: int, high: int, slices: int, key: np.ndarray, x: np.ndarray, n: np.ndarray) -> None:
+            salt = np.uint64((t * 1_000_003 + low * 8191 + high) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            bucket = (mix64(key ^ salt) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                i = order[s:e]
+                rows.append((int(bucket[i[0]]), np.concatenate([np.array([t, low, high, slices, len(i)], np.uint64), x[i], n[i]]).tobytes()))
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "blob"])
+
         for batch in batches:
             x, n = np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("n")).astype(np.uint64)
-            rows: list[tuple[int, bytes]] = []
             for t, combo in enumerate(combos):
-                bucket = (mix64((x & np.bitwise_or.reduce(masks[list(combo)])) + np.uint64(t)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-                for s, e in zip(edges[:-1], edges[1:], strict=True):
-                    i = order[s:e]
-                    rows.append((int(bucket[i[0]]), np.concatenate([np.array([t, len(i)], np.uint64), x[i], n[i]]).tobytes()))
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "blob"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "blob"])
+                key = keys_of(x, masks, combo)
+                cold = np.ones(len(x), bool)
+                if t in hot:
+                    known, slices = hot[t]
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    cold = known[at] != key
+                    for many in np.unique(slices[at[~cold]]).tolist():
+                        i = np.flatnonzero(~cold & (slices[at] == many))
+                        own = _slice(x[i], many)
+                        for low in range(many):
+                            for high in range(low, many):
+                                j = i[(own == low) | (own == high)]
+                                if len(j):
+                                    put(t, low, high, many, key[j], x[j], n[j])
+                i = np.flatnonzero(cold)
+                put(t, 0, 0, 1, key[i], x[i], n[i])
+                if len(rows) > 20_000:
+                    yield batch_of()
+                    rows.clear()
+        if rows:
+            yield batch_of()
 
     return run
 
 
 def _meet(blocks: int, agree: int) -> Callable:
-    """A bucket's links: (fp, partners counted with their copies, a connected fingerprint or null)."""
-    masks = block_masks(blocks)
-    combos = tables(blocks, agree)
-
-    def first_agreeing(z: np.ndarray) -> np.ndarray:
-        """The table of the first blocks in which pairs agree: a pair meets in several, and counts in that one."""
-        same = (z[:, None] & masks) == 0
-        rank = np.cumsum(same, 1)
-        bits = (same & (rank <= agree)) @ (1 << np.arange(blocks))
-        of = {sum(1 << b for b in c): t for t, c in enumerate(combos)}
-        return np.array([of[b] for b in bits.tolist()], np.int64)
+    """A bucket's links: (fp, partners counted with their copies, a connected fingerprint or null).
+
+    A pair meets in several shards; it counts in that of the first blocks in which it agrees.
+    """
+    masks, combos = block_masks(blocks), tables(blocks, agree)
 
     def run(table: pa.Table) -> pa.Table:
-        parts: dict[int, list[np.ndarray]] = {}
+        parts: dict[tuple[int, ...], list[np.ndarray]] = {}
         for b in table.column("blob").to_pylist():
             a = np.frombuffer(b, np.uint64)
-            parts.setdefault(int(a[0]), []).append(a[2:].reshape(2, int(a[1])))
+            parts.setdefault(tuple(a[:4].tolist()), []).append(a[5:].reshape(2, int(a[4])))
         fps, counts, peers = [], [], []
-        for t, p in parts.items():
+        for (t, low, high, slices), p in parts.items():
             x, n = np.concatenate(p, 1)
-            key = x & np.bitwise_or.reduce(masks[list(combos[t])])
+            key = keys_of(x, masks, combos[t])
             order = np.lexsort((x, key))
             x, n, key = x[order], n[order].astype(np.int64), key[order]
-            i, j = links(x, key)
-            if not len(i):
-                continue
-            root = roots(i, j, len(x))
-            moved = np.flatnonzero(root != np.arange(len(x)))
-            own = first_agreeing(x[i] ^ x[j]) == t
-            i, j = i[own], j[own]
-            near = np.bincount(i, n[j], len(x)) + np.bincount(j, n[i], len(x))
-            some = np.flatnonzero(near)
-            fps += [x[some], x[moved]]
-            counts += [near[some].astype(np.int64), np.zeros(len(moved), np.int64)]
-            peers += [np.ma.masked_all(len(some), np.int64), np.ma.array(x[root[moved]].view(np.int64), mask=False)]
+            own = _slice(x, slices) if low != high else None
+            apart = [masks[s] for s in range(max(combos[t], default=0)) if s not in combos[t]]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            for s, e in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                if e - s < 2:
+                    continue
+                links = Links(x[s:e], n[s:e], apart)
+                rows = np.arange(e - s)
+                if own is None:
+                    search_tree(links, rows)
+                else:
+                    search_tree(links, rows[own[s:e] == low], rows[own[s:e] == high])
+                some, moved = np.flatnonzero(links.near), np.flatnonzero(links.label != rows)
+                if len(some) or len(moved):
+                    fps += [x[s + some], x[s + moved]]
+                    counts += [links.near[some].astype(np.int64), np.zeros(len(moved), np.int64)]
+                    peers += [np.ma.masked_all(len(some), np.int64), np.ma.array(x[s + links.label[moved]].view(np.int64), mask=False)]
         if not fps:
             return pa.table([pa.array([], pa.int64())] * 3, ["fp", "near", "peer"])
         peer = np.ma.concatenate(peers)
@@ -297,6 +385,15 @@ def _meet(blocks: int, agree: int) -> Callable:
     return run
 
 
+def near_points(classes: DataFrame, points: int, blocks: int, agree: int, shard: int = SHARD) -> DataFrame:
+    """(fp, near, peer) of classes (fp, n): counts of other documents linked, and edges of a spanning forest."""
+    spark = classes.sparkSession
+    hot, _ = hot_shards(classes.select("fp", "n"), blocks, agree, points, shard)
+    buckets = max(shuffle_partitions(spark), points * len(tables(blocks, agree)) // 500_000)
+    met = classes.select("fp", "n").mapInArrow(_spread(blocks, agree, buckets, spark.sparkContext.broadcast(hot)), "bucket int, blob binary")
+    return met.groupBy("bucket").applyInArrow(_meet(blocks, agree), "fp long, near long, peer long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) of every node of edges (u, v): the least connected node, by rounds of large and small stars.
 
@@ -326,23 +423,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, n_near, component_id of every document.
 
-    Documents with one fingerprint are one point from here on. A pair within RADIUS bits differs in at most that
-    many of the blocks that the bits are cut into, so it agrees in the rest: points are sharded by each choice of
-    so many blocks, and a linked pair meets in a shard. There small groups are compared directly and large ones by
-    a vantage-point tree. Shards give counts and spanning trees, never all pairs; components follow from those.
+    Documents with one fingerprint are one point from here on; up to WHOLE points are one vantage-point tree. A pair
+    within RADIUS bits differs in at most that many of the blocks that the bits are cut into, so it agrees in the
+    rest: more points are sharded by each choice of so many blocks, and a linked pair meets in a shard, in a
+    vantage-point tree. Shards with very many points are cut into slices of which each pair is a task. Shards give
+    counts and spanning trees, never all pairs; components follow from those.
 
-    Null text, and text without a word, has fingerprint zero and is linked like any other. Rows that repeat an id
+    Texts are taken whole, a block of documents at a time and a longer one by itself. Only the id and the text are
+    read: other columns may have any names. Null text, and text without a word, has fingerprint zero and is linked like any other. Rows that repeat an id
     are documents of their own. A null id gives no component its name; a component of null ids alone has null.
     No rows: none.
     """
     rows = cut(fingerprints(docs, id_col, text_col))
-    spark = rows.sparkSession
     classes = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
     points = classes.count()
     blocks, agree = layout(points)
-    buckets = max(shuffle_partitions(spark), points * len(tables(blocks, agree)) // 1_000_000)
-    met = classes.select("fp", "n").mapInArrow(_spread(blocks, agree, buckets), "bucket int, blob binary")
-    met = cut(met.groupBy("bucket").applyInArrow(_meet(blocks, agree), "fp long, near long, peer long"))
+    met = cut(near_points(classes, points, blocks, agree))
     near = met.groupBy("fp").agg(F.sum("near").alias("near"))
     tree = components(met.where("peer IS NOT NULL").select(F.col("fp").alias("u"), F.col("peer").alias("v")))
     placed = classes.join(near, "fp", "left").join(tree, F.col("fp") == F.col("u"), "left")

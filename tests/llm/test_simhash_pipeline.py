@@ -71,36 +71,66 @@ def test_one_of_each_group_stays(spark):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, [(3, "A  b c"), (7, "other words here"), (7, "quite different again now"), (9, "")]))
 
 
-@pytest.mark.parametrize("blocks", [8, 10, 12])
-def test_layouts_find_every_pair_once(spark, blocks, monkeypatch):
+@pytest.mark.parametrize(("blocks", "shard"), [(1, 10**6), (1, 50), (7, 20), (8, 10**6), (10, 10**6)])
+def test_layouts_find_every_pair_once(spark, blocks, shard):
     rng = np.random.default_rng(blocks)
     x = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     for i in range(0, 300, 2):
-        for b in rng.choice(64, int(rng.integers(0, 9)), replace=False):
-            x[i + 1] = x[i] ^ (np.uint64(1) << np.uint64(b)) if b == 0 else x[i + 1]
         flips = rng.choice(64, int(rng.integers(1, 9)), replace=False)
         x[i + 1] = x[i] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64))
-    x = np.unique(x)
+    x = np.unique(np.concatenate([x, x[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
     n = np.arange(1, len(x) + 1)
-    agree = blocks - 6
     frames = spark.createDataFrame([(int(v), int(k)) for v, k in zip(x.view(np.int64), n, strict=True)], "fp long, n long")
-    met = frames.mapInArrow(simhash._spread(blocks, agree, 5), "bucket int, blob binary").groupBy("bucket").applyInArrow(simhash._meet(blocks, agree), "fp long, near long, peer long")
-    got = defaultdict(int)
-    for r in met.collect():
+    got, edges = defaultdict(int), []
+    for r in simhash.near_points(frames, len(x), blocks, blocks - 6 if blocks > 1 else 0, shard).collect():
         got[r.fp] += r.near
+        edges += [(r.fp, r.peer)] if r.peer is not None else []
     near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 6
     want = {int(v): int(n[near[i]].sum() - n[i]) for i, v in enumerate(x.view(np.int64))}
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    label = {int(v): int(v) for v in x.view(np.int64)}
+    while any(label[u] != label[v] for u, v in edges):
+        for u, v in edges:
+            label[u] = label[v] = min(label[u], label[v])
+    parts = defaultdict(set)
+    for u in label:
+        parts[label[u]].add(u)
+    reach = near.copy()
+    while not np.array_equal(reach, more := reach @ reach):
+        reach = more
+    assert {frozenset(p) for p in parts.values()} == {frozenset(x.view(np.int64)[row].tolist()) for row in reach}
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 1 << 30), st.integers(2, 24), st.integers(1, 700))
+@given(st.integers(0, 1 << 30), st.integers(2, 24), st.integers(1, 900))
 def test_vantage_point_tree(seed, bits, n):
     rng = np.random.default_rng(seed)
     x = np.unique(rng.integers(0, 1 << bits, n, dtype=np.uint64) * np.uint64(0x0001_0010_0100_1001))
-    i, j = simhash.near_within(x)
-    near = np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 6, 1)
-    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(a.tolist() for a in np.nonzero(near)), strict=True))
+    links = simhash.Links(x, np.ones(len(x), np.int64))
+    simhash.search_tree(links, np.arange(len(x)))
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 6
+    assert links.near.tolist() == (near.sum(1) - 1).tolist()
+    reach = near.copy()
+    while not np.array_equal(reach, more := reach @ reach):
+        reach = more
+    assert links.label.tolist() == reach.argmax(1).tolist()
+    half = rng.random(len(x)) < 0.5
+    cross = simhash.Links(x, np.ones(len(x), np.int64))
+    simhash.search_tree(cross, np.flatnonzero(half), np.flatnonzero(~half))
+    assert cross.near.tolist() == (near & (half[:, None] != half[None, :])).sum(1).tolist()
+
+
+def test_tree_prunes_and_dense_sets_fit():
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    links = simhash.Links(x, np.ones(len(x), np.int64))
+    simhash.search_tree(links, np.arange(len(x)))
+    assert links.compared < 0.75 * len(x) ** 2 / 2
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    dense = np.unique(np.concatenate([np.bitwise_or.reduce(bits[np.argsort(rng.random((6000, 64)), 1)[:, :3]], 1)]))
+    links = simhash.Links(dense, np.ones(len(dense), np.int64))
+    simhash.search_tree(links, np.arange(len(dense)))
+    assert (links.near == len(dense) - 1).all() and (links.label == 0).all()
 
 
 def test_components_of_a_path(spark):
