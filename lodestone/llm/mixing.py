@@ -11,6 +11,10 @@ from .anchors import ordered, unordered
 from .common import WORD, cut, lookup_join
 
 
+#: A prime above any shard's number of blocks, by which their order is permuted.
+STRIDE = 2147483647
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -61,6 +65,38 @@ def sainte_lague(parties: DataFrame, party: Sequence[str], votes: str, seats: Co
     return ranked.groupBy(*group, *party).agg((F.first("__low") + F.count(F.when(won, F.lit(1)))).alias("seats"))
 
 
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], repeats: int, block: int, shard_words: int, least_shard: int, seed: int) -> DataFrame:
+    """doc_id, size, source_size, target, copies, picks: whole copies that the mix takes of a document, and the word
+    ranges (lo, hi) of it that it takes once more."""
+    seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), seeded.alias("seeded")))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("size"))
+    targets = cut(source_targets(sources, weights, repeats))
+    blocks = F.floor(F.first("all_size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / block + 0.5)
+    won = sainte_lague(targets, ["source_rank"], "target", blocks, order=["source_rank"])
+    shards_of = F.greatest(F.ceil(F.col("size") / shard_words), F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(F.col("size") / least_shard))))
+    plan = cut(targets.join(won, "source_rank").select("source", "source_rank", F.col("size").alias("source_size"), "target", F.col("seats").alias("source_blocks"), shards_of.alias("shards")))
+    rows = lookup_join(sized, plan, ["source"], F.xxhash64("doc_id"))
+    nothing = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    empty = rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("copies"), nothing.alias("picks"))
+    rows = rows.where("size > 0").withColumn("shard", F.pmod(F.conv(F.substring("seeded", 1, 8), 16, 10).cast("long"), F.col("shards")))
+    shards = rows.groupBy("source_rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
+    seats = sainte_lague(shards, ["shard"], "shard_size", F.col("source_blocks"), group=["source_rank"], order=["shard"])
+    quotas = shards.join(seats, ["source_rank", "shard"]).withColumn("quota", F.least(F.col("seats") * block, repeats * F.col("shard_size")))
+    # block j of a shard's line of words has place (STRIDE * j + turn) mod blocks in the seeded order; the last is short
+    turn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "source_rank", "shard")), 1, 8), 16, 10).cast("long")
+    quotas = quotas.withColumn("blocks", F.expr(f"(shard_size + {block - 1}) div {block}")).withColumn("turn", turn).withColumn("short", F.expr(f"blocks * {block} - shard_size"))
+    quotas = quotas.withColumn("short_place", F.expr(f"({STRIDE} * (blocks - 1) + turn) % blocks"))
+    quotas = quotas.select(F.col("source_rank").alias("q_source"), F.col("shard").alias("q_shard"), "blocks", "turn", "short", "short_place", F.expr("quota div shard_size").alias("copies"), F.expr("quota % shard_size").alias("once"))
+    laid = rows.withColumn("before", F.sum("size").over(Window.partitionBy("source_rank", "shard").orderBy("seeded", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    laid = laid.join(quotas, (F.col("source_rank") == F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
+    place = f"({STRIDE} * j + turn) % blocks"
+    room = f"least({block}, once - ({block} * ({place}) - if({place} > short_place, short, 0)))"
+    taken = f"struct(greatest(before, {block} * j) - before AS lo, least(before + size, {block} * j + {room}) - before AS hi)"
+    picks = F.expr(f"filter(transform(sequence(before div {block}, (before + size - 1) div {block}), j -> {taken}), p -> p.hi > p.lo)")
+    return empty.union(laid.select("doc_id", "size", "source_size", "target", "copies", F.when(F.col("once") > 0, picks).otherwise(nothing).alias("picks")))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -69,59 +105,42 @@ def mix_sources(
     weights: Sequence[int] = (1, 2, 3),
     repeats: int = 3,
     block: int = 16,
-    shard_words: int = 1 << 24,
+    shard_words: int = 1 << 22,
+    least_shard: int = 1 << 12,
     seed: int = 42,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row.
 
     Blocks of `block` words go to sources by Sainte-Laguë over their targets, then within each source to its
-    shards (documents by seeded hash, about `shard_words` words each, so a hot source has many) over their words.
-    A shard lays out its documents in seeded order, again and again, and takes its quota of blocks from the front;
-    a document is so taken whole up to `repeats` times, and at the end in part. Reruns give the same rows.
+    shards (documents by seeded hash, of at most about `shard_words` words, and up to 8 of at least `least_shard`)
+    over their words. A shard's documents are one line of words, cut into blocks; it takes all of them as often as its
+    quota allows, and blocks in a seeded order for the rest, the last in part. Reruns give the same rows.
 
     Null text has size 0 and so has text of white space only; such rows take 0. A null source is one source, the
-    last. A null id is an id like any other. Rows that repeat an id count each for themselves. No rows: none.
+    last. A null id is an id like any other. Rows that repeat an id count each for themselves; ties of the seeded
+    order go by id, then size. Texts of any length are counted whole. Other columns may have any names. No rows: none.
     With fewer words in all than half a block nothing is taken.
     """
-    seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), seeded.alias("seeded")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("size"))
-    targets = cut(source_targets(sources, weights, repeats))
-    blocks = F.floor(F.first("all_size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / block + 0.5)
-    won = sainte_lague(targets, ["source_rank"], "target", blocks, order=["source_rank"])
-    plan = cut(
-        targets.join(won, "source_rank").select(
-            "source", F.col("size").alias("source_size"), "target", F.col("seats").alias("source_blocks"), F.greatest(F.lit(1), F.ceil(F.col("size") / shard_words)).alias("shards")
-        )
-    )
-    rows = lookup_join(sized, plan, ["source"], F.xxhash64("doc_id"))
-    rows = rows.withColumn("shard", F.pmod(F.conv(F.substring("seeded", 1, 8), 16, 10).cast("long"), F.col("shards")))
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
-    quotas = shards.join(
-        sainte_lague(shards, ["shard"], "shard_size", F.col("source_blocks"), group=["source"], order=["shard"]).select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "seats"),
-        F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")),
-    ).select("q_source", "q_shard", "shard_size", F.least(F.col("seats") * block, repeats * F.col("shard_size")).alias("quota"))
-    laid = rows.withColumn("before", F.sum("size").over(Window.partitionBy("source", "shard").orderBy("seeded", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    laid = laid.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
-    rest = F.expr("quota % shard_size") - F.col("before")
-    taken = F.expr("quota div shard_size") * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return laid.select("doc_id", "size", "source_size", "target", F.when(F.col("shard_size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"))
-
-
-def mix_texts(docs: DataFrame, **how: object) -> DataFrame:
-    """The mix as documents: each one's text as often as it is taken, the last time cut after its last word taken.
+    mixed = _mix(docs, id_col, text_col, source_col, weights, repeats, block, shard_words, least_shard, seed)
+    taken = F.col("copies") * F.col("size") + F.expr("aggregate(picks, 0L, (s, p) -> s + p.hi - p.lo)")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix_texts(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), repeats: int = 3, block: int = 16, shard_words: int = 1 << 22, least_shard: int = 1 << 12, seed: int = 42) -> DataFrame:
+    """The mix as documents: each one's text as often as it is taken whole, and once with the words of its blocks taken
+    besides.
 
     Repeats are rows of their own under the same id; n_chars is renewed. Rows that share an id or have none are
     documents of their own.
     """
     rows = ordered(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    mixed = mix_sources(rows.select("uid", "text", F.col("row._source").alias("source")), "uid", **how)
-    counts = mixed.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    mixed = _mix(rows.select("uid", "text", F.col("row._source").alias("source")), "uid", "text", "source", weights, repeats, block, shard_words, least_shard, seed)
+    counts = mixed.where("copies > 0 OR size(picks) > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"), F.col("picks").alias("__picks"))
     rows = rows.join(counts, F.col("uid") == F.col("__id"))
-    rows = rows.withColumn("__take", F.explode(F.expr("transform(sequence(0, (__taken - 1) div __size), k -> least(__size, __taken - k * __size))")))
+    rows = rows.withColumn("__copy", F.explode(F.expr("sequence(if(size(__picks) > 0, 0L, 1L), __copies)")))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    part = F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("__take") < F.col("__size"), part).otherwise(F.col("text")))
+    part = F.expr("array_join(flatten(transform(__picks, p -> slice(__words, cast(p.lo as int) + 1, cast(p.hi - p.lo as int)))), '')")
+    rows = rows.withColumn("__words", F.when(F.col("__copy") == 0, words)).withColumn("text", F.when(F.col("__copy") == 0, part).otherwise(F.col("text")))
     return unordered(rows, docs, n_chars=F.length("text").cast("long"))
 
 
@@ -150,20 +169,26 @@ sure AS (SELECT *, sum(low) OVER () AS sure_seats FROM bounds),
 cand AS (SELECT *, unnest(range(low, high)) AS k FROM sure),
 rnk AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1)::DOUBLE DESC, source_rank, k) AS r FROM cand),
 won AS (SELECT source_rank, min(low) + count(*) FILTER (WHERE r <= blocks - sure_seats AND target > 0) AS seats FROM rnk GROUP BY source_rank),
-plan AS (SELECT tgt.*, seats AS source_blocks, greatest(1, ceil(size / 16777216.0))::BIGINT AS shards FROM tgt JOIN won USING (source_rank)),
-placed AS (SELECT s.*, p.size AS source_size, p.target, p.source_blocks, ('0x' || substr(s.seeded, 1, 8))::BIGINT % p.shards AS shard
+plan AS (SELECT tgt.*, seats AS source_blocks, greatest(ceil(size / 4194304.0), least(8, greatest(1, ceil(size / 4096.0))))::BIGINT AS shards FROM tgt JOIN won USING (source_rank)),
+found AS (SELECT s.*, p.size AS source_size, p.target, p.source_rank, p.source_blocks, ('0x' || substr(s.seeded, 1, 8))::BIGINT % p.shards AS shard
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
-sh AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, min(source_blocks) AS source_blocks FROM placed GROUP BY ALL),
-shq AS (SELECT *, CASE WHEN sum(shard_size) OVER w > 0 THEN shard_size::DOUBLE / sum(shard_size::DOUBLE) OVER w ELSE 0.0 END AS share, count(*) OVER w AS n FROM sh WINDOW w AS (PARTITION BY source)),
+placed AS (SELECT * FROM found WHERE size > 0),
+sh AS (SELECT source_rank, shard, sum(size)::BIGINT AS shard_size, min(source_blocks) AS source_blocks FROM placed GROUP BY ALL),
+shq AS (SELECT *, shard_size::DOUBLE / sum(shard_size::DOUBLE) OVER w AS share, count(*) OVER w AS n FROM sh WINDOW w AS (PARTITION BY source_rank)),
 shn AS (SELECT *, 2 + ceil(share * n / 2)::BIGINT AS width, floor(share * source_blocks + 0.5)::BIGINT AS near_seats FROM shq),
 shb AS (SELECT *, greatest(0, near_seats - width) AS low, near_seats + width AS high FROM shn),
-shs AS (SELECT *, sum(low) OVER (PARTITION BY source) AS sure_seats FROM shb),
+shs AS (SELECT *, sum(low) OVER (PARTITION BY source_rank) AS sure_seats FROM shb),
 shc AS (SELECT *, unnest(range(low, high)) AS k FROM shs),
-shr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_size::DOUBLE / (2 * k + 1)::DOUBLE DESC, shard, k) AS r FROM shc),
-shw AS (SELECT source, shard, min(shard_size) AS shard_size, least(16 * (min(low) + count(*) FILTER (WHERE r <= source_blocks - sure_seats AND shard_size > 0)), 3 * min(shard_size)) AS quota FROM shr GROUP BY source, shard),
-laid AS (SELECT p.*, sum(size) OVER (PARTITION BY source, shard ORDER BY seeded, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before_words FROM placed p)
-SELECT l.doc_id, l.size, l.source_size, l.target, CASE WHEN q.shard_size > 0
-  THEN (q.quota // q.shard_size) * l.size + greatest(0, least(q.quota % q.shard_size - l.before_words, l.size)) ELSE 0 END::BIGINT AS taken
-FROM laid l JOIN shw q ON l.source IS NOT DISTINCT FROM q.source AND l.shard = q.shard
+shr AS (SELECT *, row_number() OVER (PARTITION BY source_rank ORDER BY shard_size::DOUBLE / (2 * k + 1)::DOUBLE DESC, shard, k) AS r FROM shc),
+shw AS (SELECT source_rank, shard, min(shard_size) AS shard_size, least(16 * (min(low) + count(*) FILTER (WHERE r <= source_blocks - sure_seats)), 3 * min(shard_size)) AS quota FROM shr GROUP BY source_rank, shard),
+line AS (SELECT *, (shard_size + 15) // 16 AS blocks, ('0x' || substr(md5('42:' || source_rank::VARCHAR || ':' || shard::VARCHAR), 1, 8))::BIGINT AS turn FROM shw),
+shp AS (SELECT *, blocks * 16 - shard_size AS short, (2147483647 * (blocks - 1) + turn) % blocks AS short_place, quota // shard_size AS copies, quota % shard_size AS once FROM line),
+laid AS (SELECT p.*, (sum(size) OVER (PARTITION BY source_rank, shard ORDER BY seeded, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before_words FROM placed p),
+block AS (SELECT l.*, q.*, unnest(range(before_words // 16, (before_words + size - 1) // 16 + 1)) AS j FROM laid l JOIN shp q ON l.source_rank = q.source_rank AND l.shard = q.shard),
+rank AS (SELECT *, (2147483647 * j + turn) % blocks AS place FROM block),
+room AS (SELECT *, least(16, once - (16 * place - CASE WHEN place > short_place THEN short ELSE 0 END)) AS room FROM rank)
+SELECT doc_id, size, source_size, target, (min(copies) * size + sum(greatest(0, least(before_words + size, 16 * j + room) - greatest(before_words, 16 * j))))::BIGINT AS taken
+FROM room GROUP BY doc_id, seeded, size, source_size, target, source_rank, shard, before_words
+UNION ALL SELECT doc_id, size, source_size, target, 0 FROM found WHERE size = 0
 """
 }

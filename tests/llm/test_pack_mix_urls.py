@@ -128,7 +128,7 @@ def test_mix(spark, hot):
     rng = np.random.default_rng(5)
     docs = [(i, " ".join(["w"] * int(rng.integers(0, 90))), "en", "b" if hot and i % 2 else [None, "a", "b", "é", "z"][i % 5]) for i in range(400)] + [(1000, None, "en", "q"), (1001, "one", "en", "r")]
     df = documents(spark, docs)
-    got = mixing.mix_sources(df, block=4, shard_words=500).collect()
+    got = mixing.mix_sources(df, block=4, shard_words=500, least_shard=100).collect()
     size = {d[0]: len(re.findall(mixing.WORD, d[1] or "")) for d in docs}
     source = {d[0]: d[3] for d in docs}
     sizes, taken = defaultdict(int), defaultdict(int)
@@ -141,14 +141,23 @@ def test_mix(spark, hot):
         taken[source[r.doc_id]] += r.taken
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 2 * 4, (s, taken[s], want[s])
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(df.repartition(7), block=4, shard_words=500).collect()))
-    mixed = mixing.mix_texts(df, block=4, shard_words=500).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sources(df.repartition(7), block=4, shard_words=500, least_shard=100).collect()))
+    mixed = mixing.mix_texts(df, block=4, shard_words=500, least_shard=100).collect()
     words = defaultdict(int)
     for r in mixed:
         words[r.doc_id] += len(re.findall(mixing.WORD, r.text))
     assert {k: v for k, v in words.items() if v} == {r.doc_id: r.taken for r in got if r.taken}
 
 
+def test_mixed_blocks_are_spread(spark):
+    """Of a source that is taken in part, blocks of many documents are drawn, not a front of them."""
+    docs = [(i, " ".join([f"w{i}"] * 160), "en", "a" if i < 40 else "b") for i in range(80)]
+    got = {r.doc_id: r.taken for r in mixing.mix_sources(documents(spark, docs)).collect()}
+    assert sum(got.values()) == 80 * 160
+    part = [got[i] % 160 for i in range(40)]
+    assert sum(0 < t < 160 for t in part) >= 10 and all(t % 16 == 0 for t in part)
+
+
 def test_sainte_lague_is_highest_quotients(spark):
     rng = np.random.default_rng(2)
     for seats in (0, 1, 7, 100, 1003):
