@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: 256 different colours: three bits of red and green, two of blue. A sample is the index of its colour.
+COLOURS = np.array([((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85) for i in range(256)], np.uint8)
+#: The index that repeats what the canvas shows, where the samples leave it free; no text in UTF-8 has this byte.
+CLEAR = 255
 WIDTH, ROWS = 64, 1024
+_RED, _GREEN, _BLUE = (np.zeros(256, np.uint8) for _ in range(3))
+for _i, (_r, _g, _b) in enumerate(COLOURS):
+    _RED[_r], _GREEN[_g], _BLUE[_b] = _i & 0xE0, _i & 0x1C, _i & 3
 
 
 class GifError(ValueError):
@@ -88,38 +95,36 @@ def lzw_encode(data: bytes, low: int = 8) -> bytes:
 
 
 def lzw_decode(stream: bytes, low: int, size: int) -> bytes:
-    """The first `size` samples of a code stream; GifError if it ends or errs before. Any width and clear policy."""
+    """The first `size` samples of a code stream; GifError if it ends or errs before. Any width and clear policy.
+
+    The places of codes are known up to the next clear code; those of one table are read at a time, and past a full
+    table as many again, so that time stays in proportion to the stream.
+    """
     clear, stop = 1 << low, (1 << low) + 1
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.uint32)
     total = len(stream) * 8
     base = [bytes((i,)) for i in range(clear)] + [b"", b""]
-    widths = _widths(_FULL + 2, low)
-    ends = np.cumsum(widths)
+    filling = np.cumsum(_widths(_FULL + 2, low))
+    beyond = 12 * np.arange(1, _FULL + 1)
     out: list[bytes] = []
     done, bit = 0, 0
+    table, prev, read = base.copy(), b"", 0
+    full = _FULL - len(table)
     while done < size:
-        # all codes up to the next clear have known places; past a full table each takes 12 bits
-        room = total - bit
-        n = int(np.searchsorted(ends, room, "right"))
-        if n == len(ends) and room > ends[-1]:
-            n += (room - int(ends[-1])) // 12
-            local = np.concatenate([ends, ends[-1] + 12 * np.arange(1, n - len(ends) + 1)])
-        else:
-            local = ends[:n]
+        ends = beyond if read else filling
+        n = int(np.searchsorted(ends, total - bit, "right"))
         if n == 0:
             raise GifError("the code stream ends early")
-        start = bit + np.concatenate([[0], local[:-1]])
-        wide = np.diff(np.concatenate([[0], local]))
+        local = ends[:n]
+        wide = np.diff(local, prepend=0)
+        start = bit + local - wide
         at = start >> 3
         word = raw[at] | raw[at + 1] << 8 | raw[at + 2] << 16
         found = (word >> (start & 7).astype(np.uint32)) & ((1 << wide) - 1).astype(np.uint32)
         end = np.flatnonzero((found == clear) | (found == stop))
         upto = int(end[0]) if len(end) else n
-        table = base.copy()
         push, emit = table.append, out.append
-        prev = b""
-        full = _FULL - len(table)
-        for k, c in enumerate(found[:upto].tolist()):
+        for k, c in enumerate(found[:upto].tolist(), read):
             if c < len(table):
                 entry = table[c]
             elif prev and c == len(table) and k <= full:
@@ -133,9 +138,14 @@ def lzw_decode(stream: bytes, low: int, size: int) -> bytes:
             prev = entry
         if done >= size:
             break
-        if upto == n or found[upto] == stop:
-            raise GifError("the code stream ends early")
-        bit += int(local[upto])
+        if upto < n:
+            if found[upto] == stop:
+                raise GifError("the code stream ends early")
+            table, prev, read = base.copy(), b"", 0
+            bit += int(local[upto])
+        else:
+            read += n
+            bit += int(local[-1])
     return b"".join(out)[:size]
 
 
@@ -246,24 +256,42 @@ def decode(data: bytes) -> list[Frame]:
 
 
 def pack(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms: int = 100) -> bytes:
-    """A payload of a positive multiple of `width` bytes as a grey animation, `rows` rows a frame."""
+    """A payload of a positive multiple of `width` bytes as a colour animation, `rows` rows a frame.
+
+    A frame of which half or more is what the canvas shows leaves that transparent, if the payload has no CLEAR.
+    """
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
     frames = [image[i : i + rows] for i in range(0, len(image), rows)]
-    return encode(frames, GREY, [delay_ms] * len(frames))
+    transparent = CLEAR if len(frames) > 1 and not (image == CLEAR).any() else None
+    if transparent is not None:
+        for k in range(len(frames) - 1, 0, -1):
+            same = frames[k] == frames[k - 1][: len(frames[k])]
+            if 2 * np.count_nonzero(same) >= same.size:
+                frames[k] = np.where(same, np.uint8(CLEAR), frames[k])
+    return encode(frames, COLOURS.tobytes(), [delay_ms] * len(frames), 1, transparent)
+
+
+def samples(frame: Frame) -> np.ndarray:
+    """The samples of pack() that the canvas shows at the frame's place."""
+    h, w = frame.indices.shape
+    px = frame.rgb[frame.top : frame.top + h, frame.left : frame.left + w]
+    return _RED[px[..., 0]] | _GREEN[px[..., 1]] | _BLUE[px[..., 2]]
 
 
 def unpack(media: bytes) -> tuple[bytes, list[Frame]]:
-    """The payload of pack(), read from what the frames show, and the frames."""
+    """The payload of pack(), read from the colours that the canvas shows, and the frames."""
     frames = decode(media)
-    return b"".join(f.rgb[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1], 0].tobytes() for f in frames), frames
+    return b"".join(samples(f).tobytes() for f in frames), frames
 
 
-def histogram(frame: Frame, bins: int = 8) -> np.ndarray:
-    """Counts of the frame's own visible pixels by bin of luminance."""
+def histogram(frame: Frame, levels: int = 4) -> np.ndarray:
+    """Counts of the visible pixels at the frame's place by colour: `levels` levels of red, of green and of blue."""
     h, w = frame.indices.shape
-    px = frame.rgb[frame.top : frame.top + h, frame.left : frame.left + w]
-    grey = px[..., 0] if (frame.palette == frame.palette[:, :1]).all() else ((px.astype(np.uint32) @ np.array([299, 587, 114], np.uint32)) // 1000).astype(np.uint8)
-    return np.bincount(grey[frame.alpha[frame.top : frame.top + h, frame.left : frame.left + w]], minlength=256).reshape(bins, -1).sum(1)
+    place = np.s_[frame.top : frame.top + h, frame.left : frame.left + w]
+    level = (np.arange(256) * levels >> 8).astype(np.int64)
+    px = frame.rgb[place]
+    of = level[px[..., 0]] * (levels * levels) + level[px[..., 1]] * levels + level[px[..., 2]]
+    return np.bincount(of[frame.alpha[place]], minlength=levels**3)
 
 
 def payload_of(text: bytes) -> bytes:
@@ -274,7 +302,7 @@ def _digest(text: bytes) -> tuple:
     media = pack(payload_of(text))
     payload, frames = unpack(media)
     bins = sum(histogram(f) for f in frames)
-    feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};luma=" + ",".join(map(str, bins.tolist()))
+    feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};rgb=" + ",".join(map(str, bins.tolist()))
     return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
@@ -284,8 +312,9 @@ _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text stored as a GIF, read back and digested, in one pass without a shuffle.
 
-    Null text is empty text, whose payload is 64 zero bytes. Equal texts give equal values. Null and repeated ids
-    are kept, a row each. One document's frames are held at a time, about 10 times its bytes. No rows: none.
+    The feature has the number of frames, how long they show and the colour histogram of all. Null text is empty text,
+    whose payload is 64 zero bytes. Equal texts give equal values. Null and repeated ids are kept, a row each; other
+    columns may have any names. One document's frames are held at a time, about 10 times its bytes. No rows: none.
     """
     prepare(docs.sparkSession)
 
@@ -312,7 +341,7 @@ def encode_column(docs: DataFrame, column: str, out: str = "media") -> DataFrame
 
 
 def explode_frames(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row a frame: id, frame (from 0), start_ms, delay_ms, width, height, pixels (RGB), histogram (8 bins), error.
+    """One row a frame: id, frame (from 0), start_ms, delay_ms, width, height, pixels (RGB), histogram (64 colours), error.
 
     Null media give no row; media that can't be decoded one row with `error` and nulls.
     """

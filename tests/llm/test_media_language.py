@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -55,6 +56,107 @@ def test_transparency_disposal_and_palettes():
             gif.decode(media[:cut_at])
 
 
+def plain_decoder(data):
+    """(canvas colours by frame, delays in ms), code by code and pixel by pixel; what it doesn't know fails."""
+    assert data[:6] == b"GIF89a"
+    width, height, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
+    n = 2 << (flags & 7)
+    palette = [tuple(data[13 + 3 * i : 16 + 3 * i]) for i in range(n)]
+    at = 13 + 3 * n
+    canvas, shown, delays, delay, clear_index = {}, [], [], 0, None
+
+    def blocks(at):
+        out = b""
+        while data[at]:
+            out += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        return out, at + 1
+
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            label = data[at + 1]
+            body, at = blocks(at + 2)
+            if label == 0xF9:
+                assert body[0] >> 2 & 7 in (0, 1)
+                delay, clear_index = 10 * int.from_bytes(body[1:3], "little"), body[3] if body[0] & 1 else None
+            continue
+        left, top, w, h = (int.from_bytes(data[at + k : at + k + 2], "little") for k in (1, 3, 5, 7))
+        assert data[at] == 0x2C and data[at + 9] == 0
+        low = data[at + 10]
+        stream, at = blocks(at + 11)
+        bits, pos, size, table, prev, out = int.from_bytes(stream, "little"), 0, low + 1, None, None, []
+        while True:
+            code, pos = bits >> pos & (1 << size) - 1, pos + size
+            if code == 1 << low:
+                table, size, prev = [[i] for i in range(1 << low)] + [None, None], low + 1, None
+                continue
+            if code == (1 << low) + 1:
+                break
+            entry = table[code] if code < len(table) else [*prev, prev[0]]
+            if prev is not None and len(table) < 4096:
+                table.append([*prev, entry[0]])
+            if len(table) == 1 << size and size < 12:
+                size += 1
+            out += entry
+            prev = entry
+        assert len(out) == w * h
+        for k, i in enumerate(out):
+            if i != clear_index:
+                canvas[top + k // w, left + k % w] = palette[i]
+        shown.append([canvas[top + k // w, left + k % w] for k in range(w * h)])
+        delays.append(delay)
+    assert all(y < height and x < width for y, x in canvas)
+    return shown, delays
+
+
+@pytest.mark.parametrize("payload", [b"\0" * 64, bytes(range(256)) * 3, b"the same line of 64 characters, again and again, and once more!\n" * 60, bytes(range(250)) * 64])
+def test_another_decoder_reads_what_is_stored(payload):
+    media = gif.pack(payload, rows=20)
+    shown, delays = plain_decoder(media)
+    colour = {tuple(c): i for i, c in enumerate(gif.COLOURS.tolist())}
+    assert len(colour) == 256
+    assert bytes(colour[c] for f in shown for c in f) == payload == gif.unpack(media)[0]
+    assert delays == [100] * len(shown) == [f.delay_ms for f in gif.unpack(media)[1]]
+    for f, own in zip(shown, gif.unpack(media)[1], strict=True):
+        want = np.zeros(64, int)
+        for r, g, b in f:
+            want[r // 64 * 16 + g // 64 * 4 + b // 64] += 1
+        assert gif.histogram(own).tolist() == want.tolist()
+
+
+def test_histograms_tell_colours_of_one_luminance():
+    palette = bytes([255, 0, 0, 0, 130, 0, 0, 0, 0, 0, 0, 0])
+    red, green = (gif.decode(gif.encode([np.full((4, 4), i, np.uint8)], palette))[0] for i in (0, 1))
+    assert gif.histogram(red).tolist() != gif.histogram(green).tolist()
+
+
+def test_repeated_frames_are_transparent():
+    line = b"the same line of 64 characters, again and again, and once more!\n"
+    media = gif.pack(line * 3000)
+    assert any(f.transparent == gif.CLEAR and (f.indices == gif.CLEAR).all() for f in gif.parse(media)[3])
+    assert gif.unpack(media)[0] == line * 3000
+
+
+def test_decoding_is_linear():
+    data = np.random.default_rng(1).integers(0, 256, 1 << 21, dtype=np.uint8).tobytes()
+    stream = gif.lzw_encode(data)
+    took = time.process_time()
+    assert gif.lzw_decode(stream, 8, len(data)) == data
+    assert time.process_time() - took < 10  # a quadratic reading takes minutes
+
+
+def test_query_digests_what_is_stored(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in gif.QUERY["op4_gif_media"](spark, sf).collect():
+        raw = docs[r.doc_id].encode()
+        media = gif.pack(gif.payload_of(raw))
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes, r.media_sha256) == (len(raw), len(gif.payload_of(raw)), len(media), hashlib.sha256(media).hexdigest())
+        bins = np.zeros(64, int)
+        for v in gif.payload_of(raw):
+            bins[(v >> 6) * 16 + (v >> 3 & 3) * 4 + (v & 3)] += 1
+        assert r.feature == f"frames={-(-len(gif.payload_of(raw)) // 65536)};ms={100 * -(-len(gif.payload_of(raw)) // 65536)};rgb=" + ",".join(map(str, bins))
+
+
 def test_digests(spark):
     got = gif.media_digests(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)
