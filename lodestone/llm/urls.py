@@ -12,6 +12,18 @@ from .common import cut, lookup_join, lower_az
 #: (action, host, path) of the production rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
+#: Suffixes of two labels under which names are registered; elsewhere the suffix is the last label.
+SUFFIXES = tuple(
+    f"{second}.{country}"
+    for country, seconds in {
+        "uk": "co org me ltd plc net sch ac gov nhs police", "au": "com net org edu gov asn id", "nz": "co net org school ac govt geek", "za": "co org net web gov ac",
+        "jp": "co ne or go ac ad ed gr lg", "kr": "co ne or re pe go ac", "in": "co net org firm gen ind ac edu gov", "cn": "com net org gov edu ac", "hk": "com net org edu gov idv", "tw": "com net org edu gov idv",
+        "sg": "com net org edu gov per", "my": "com net org edu gov", "th": "co in ac go or net", "id": "co or web ac sch go", "il": "co org net ac gov muni", "tr": "com net org edu gov bel gen", "br": "com net org gov edu art blog",
+        "ar": "com net org gob edu", "mx": "com net org gob edu", "co": "com net org gov edu nom", "pe": "com net org gob edu", "ua": "com net org edu gov in", "pl": "com net org edu gov waw", "at": "co or ac gv", "es": "com nom org gob edu",
+    }.items()
+    for second in seconds.split()
+)
+
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -32,6 +44,15 @@ def _first_fitting(host: Column, path: Column, rules: Sequence[tuple[str, str, s
     return found
 
 
+def name_levels(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host without its port: the suffix and one label more, and the last label, or two
+    where those are one of `suffixes`."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    two = F.substring_index(name, ".", -2)
+    listed = two.isin(list(suffixes))
+    return F.when(listed, F.substring_index(name, ".", -3)).otherwise(two), F.when(listed, two).otherwise(F.substring_index(name, ".", -1))
+
+
 def shrinkage(groups: DataFrame, key: str) -> Column:
     """Prior strength of a level by moments: 1/rho - 1 for the intra-class correlation rho of (n, bad) by key."""
     n, b = F.col("n").cast("double"), F.col("bad").cast("double")
@@ -48,13 +69,15 @@ def shrinkage(groups: DataFrame, key: str) -> Column:
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """(host, bad 0/1, null unlabelled, one row a page) -> host, mean and sd of the posterior share of bad pages.
 
-    A host without labelled pages has the prior of its nearest level that has some: its domain, else its suffix, else
-    all, with the strength that a host's prior has. No labelled pages: no rows. A host's outcomes are shrunk to its registered domain's (last two labels), those to its suffix's (last label),
-    those to all. Each level's prior is Beta(strength * mean above, strength * (1 - mean above)), the strength by
-    moments of that level. Counts shrink to one row a host before anything else is done with them.
+    A host's outcomes are shrunk to its registered domain's, those to its suffix's, those to all. Each level's prior is
+    Beta(strength * mean above, strength * (1 - mean above)), the strength by moments of that level. A host without
+    labelled pages has the prior of its nearest level that has some: its domain, else its suffix, else all, with the
+    strength that a host's prior has. Counts shrink to one row a host before anything else is done with them. No
+    labelled pages: no rows.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-    hosts = cut(hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)))
+    domain, suffix = name_levels(F.col("host"))
+    hosts = cut(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
     labelled = hosts.where("n > 0")
     if labelled.isEmpty():
         return labelled.select("host", "domain", "suffix", F.lit(0.0).alias("mean"), F.lit(0.0).alias("sd"))
@@ -76,10 +99,11 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Where a rule fits, the longest decides. Elsewhere the reputation does: a host is blocked if the lower bound
     mean - z * sd of its posterior share of bad pages is above `threshold`, which for a host without labelled pages
-    is its domain's, suffix's or all pages' prior; without any labelled page all are allowed. `bad` labels pages (1 bad, 0 good, null unlabelled); by default the rules' own verdicts do.
+    is its domain's, suffix's or all pages' prior; without any labelled page all are allowed. `bad` labels pages (1 bad,
+    0 good, null unlabelled); by default the rules' own verdicts do.
 
-    A null url or one without `://` has an empty host and path; the empty host is a host like any other. Null or
-    repeated ids are kept, a row each. No pages: no rows.
+    A null url or one without `://` has an empty host and path; the empty host is a host like any other. Urls are parsed
+    whole. Null or repeated ids are kept, a row each; other columns may have any names. No pages: no rows.
     """
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), *([bad.cast("int").alias("bad")] if bad is not None else []))
@@ -113,14 +137,17 @@ ruled AS (SELECT *, CASE
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM parsed),
 acted AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS action FROM ruled),
-hosts AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE action = 'block') AS bad,
-    array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM acted WHERE action IS NOT NULL GROUP BY host),
+counted AS (SELECT host, count(action) AS n, count(*) FILTER (WHERE action = 'block') AS bad, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels FROM acted GROUP BY host),
+two AS (SELECT *, array_to_string(labels[-2:], '.') IN ({", ".join(f"'{s}'" for s in SUFFIXES)}) AS listed FROM counted),
+every AS (SELECT host, n, bad, array_to_string(CASE WHEN listed THEN labels[-3:] ELSE labels[-2:] END, '.') AS domain, array_to_string(CASE WHEN listed THEN labels[-2:] ELSE labels[-1:] END, '.') AS suffix FROM two),
+hosts AS (SELECT * FROM every WHERE n > 0),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 ks AS (SELECT {_k("suffixes")} AS ks, {_k("domains")} AS kd, {_k("hosts")} AS kh, (SELECT sum(bad)::DOUBLE / sum(n) FROM suffixes) AS m),
 s AS (SELECT suffix, (bad + ks * m) / (n + ks) AS up FROM suffixes, ks),
 d AS (SELECT domain, (bad + kd * up) / (n + kd) AS up FROM domains JOIN s USING (suffix), ks),
-h AS (SELECT host, kh * up + bad AS a, kh * (1 - up) + n - bad AS b FROM hosts JOIN d USING (domain), ks),
+above AS (SELECT host, n, bad, kh, coalesce(d.up, s.up, m) AS up FROM every LEFT JOIN d USING (domain) LEFT JOIN s ON s.suffix = every.suffix CROSS JOIN ks),
+h AS (SELECT host, kh * up + bad AS a, kh * (1 - up) + n - bad AS b FROM above),
 bounds AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM h)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM acted LEFT JOIN bounds USING (host)

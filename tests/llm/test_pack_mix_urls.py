@@ -229,3 +229,25 @@ def test_reputation_of_hosts_without_labels(spark):
     assert verdicts(bad + good)[:2] == ["block", "allow"]
     assert verdicts(bad + good + worse + good * 3) == ["block", "allow", "block", "allow"]
     assert verdicts([]) == ["allow"] * 4
+
+
+def test_levels_of_names(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "a.b.com", "com", "", "a.b.com:8080", "x.y.gov.au:1"]
+    domain, suffix = urls.name_levels(urls.F.col("h"))
+    got = [tuple(r) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(domain, suffix).collect()]
+    assert got == [("b.co.uk", "co.uk")] * 2 + [("co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", ""), ("b.com", "com"), ("y.gov.au", "gov.au")]
+
+
+def test_sql_judges_hosts_without_labels(spark, tmp_path):
+    """The SQL of the query blocks what the query blocks where rules label nearly all of a suffix as bad."""
+    import duckdb
+
+    pages = [f"http://h{i % 7}.d{i % 3}.com/de/{i}" for i in range(300)] + [f"http://ok{i % 9}.fine.org/{i}" for i in range(200)] + ["http://new.d1.com/x", "http://other.com/x", "http://a.b.net/", "http://h1.d1.com:80/x", None, "http://a.co.uk/"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    got = sorted((tuple(r[c] for c in columns) for r in urls.QUERY["op9_filter_urls"](spark, str(tmp_path)).collect()), key=lambda r: r[0])
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({urls.ORACLE['op9_filter_urls']}) ORDER BY page_id").fetchall()
+    assert got == want
+    assert [r[4] for r in got[-6:]] == ["block", "block", "allow", "block", "allow", "allow"]
