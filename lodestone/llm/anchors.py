@@ -12,7 +12,9 @@ is a segment. Then
 3. the covered units come back to their documents.
 
 An anchor with very many different segments is split by the place of the anchor in the window and by what such
-windows must share, so that no group of near copies comes to one task.
+windows must share. Where that is shared by very many too, as around a footer, windows are sent by their own content,
+one of each from a task, so that no group of near copies comes to one task. An anchor that a task alone sees in very
+many segments is not sent to its bucket at all.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK, Spans, as_bytes, blocks, byte_values, cut, mix64, plan_bytes, prepare, word_hashes, word_spans
+from .common import BLOCK, Spans, as_bytes, blocks, byte_values, cut, lookup_join, mix64, plan_bytes, prepare, word_hashes, word_spans
 
 PLACE = np.uint64((1 << 24) - 1)
 #: Different segments of one anchor beyond which they are split further.
 HOT = 512
+#: Parts with one key beyond which each window goes by its own content.
+CROWD = 4096
 #: Text bytes after which a task sends what it has gathered.
 FLUSH = 16 << 20
 _CODEC = pa.Codec("zstd", 1)
@@ -172,21 +176,30 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _scan(w: Windows, buckets: int) -> Callable:
-    """Map side: the segments of a task by bucket, one of each content; the rest as spans that are repeats."""
+    """Map side, by bucket: the segments of a task, one of each content (kind 0); spans that are repeats (1); segments
+    of anchors that have too many here (2), and those anchors (3)."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         uid, at, n, h, *more = (np.concatenate(p) for p in zip(*parts, strict=True))
         order, first = _classes(uid, at, h, more[0], w)
         stay, gone = order[first], order[~first]
+        new = np.ones(len(stay), bool)
+        new[1:] = h[stay[1:]] != h[stay[:-1]]
+        of = np.cumsum(new) - 1
+        many = np.bincount(of)[of] > HOT if len(stay) else new
+        place = mix64(uid.astype(np.uint64))
         rows: list[tuple[int, int, bytes]] = []
-        for which, key, kind in ((stay, h, 0), (gone, mix64(uid.astype(np.uint64)), 1)):
+        anchors = h[stay[new & many]]
+        for b in np.unique(anchors % np.uint64(buckets)):
+            rows.append((int(b), 3, (anchors[anchors % np.uint64(buckets) == b] >> np.uint64(16)).tobytes()))
+        for which, key, kind in ((stay[~many], h, 0), (gone, place, 1), (stay[many], place, 2)):
             bucket = (key[which] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             which, bucket = which[by], bucket[by]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 i = which[s:e]
-                rows.append((int(bucket[s]), kind, _pack(uid[i], at[i], n[i], () if kind else [x[i] for x in (h, *more)])))
+                rows.append((int(bucket[s]), kind, _pack(uid[i], at[i], n[i], () if kind == 1 else [x[i] for x in (h, *more)])))
         if rows:
             b, k, x = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], ["bucket", "kind", "blob"])
@@ -239,9 +252,12 @@ def _reduce(w: Windows) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_pylist()
         blobs = table.column("blob").to_pylist()
-        gone = [_unpack(b) for b, k in zip(blobs, kind, strict=True) if k]
+        gone = [_unpack(b) for b, k in zip(blobs, kind, strict=True) if k == 1]
         out: list[pa.Table] = []
-        here = [_unpack(b) for b, k in zip(blobs, kind, strict=True) if not k]
+        here, crowded = ([_unpack(b) for b, k in zip(blobs, kind, strict=True) if k == which] for which in (0, 2))
+        marked = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, np.uint64) for b, k in zip(blobs, kind, strict=True) if k == 3)])
+        for uid, at, n, h, *_ in crowded:
+            out.append(_found(uid, at, at + n, h, np.ones(len(uid), bool)))
         if here:
             uid, at, n, h, seg, left, right = (np.concatenate(p) for p in zip(*here, strict=True))
             order, first = _classes(uid, at, h, seg, w)
@@ -263,13 +279,15 @@ def _reduce(w: Windows) -> Callable:
                 at_edge = np.flatnonzero(edge)
                 kinds = np.add.reduceat(fresh.astype(np.int64), at_edge[:-1]) if len(by) else np.zeros(0, np.int64)
                 keep[by] |= (np.repeat(kinds, np.diff(at_edge)) > 1) & (side[by] != 0)
+            wide = np.isin(ho, marked)
+            keep |= wide
             group = (np.cumsum(new) - 1)[keep]
             i = order[keep]
-            out.append(_found(uid[i], at[i], at[i] + n[i], h[i], np.bincount(group)[group] > HOT if len(i) else np.zeros(0, bool)))
+            out.append(_found(uid[i], at[i], at[i] + n[i], h[i], (np.bincount(group)[group] > HOT) | wide[keep] if len(i) else np.zeros(0, bool)))
         if gone:
             uid, at, n = (np.concatenate(p) for p in zip(*gone, strict=True))
             out.append(_found(*_spans(uid, at, at + n + w.length - 1)))
-        return pa.concat_tables(out)
+        return pa.concat_tables(out) if out else _found(*(np.zeros(0, np.int64),) * 3)
 
     return run
 
@@ -343,6 +361,54 @@ def _split(w: Windows, part: np.ndarray, starts: np.ndarray | None, ends: np.nda
         x = y
 
 
+def _singles(w: Windows, buckets: int) -> Callable:
+    """Parts as single windows by their content, one of each from a task; the others as spans (units null)."""
+
+    def flush(parts: list[tuple[np.ndarray, ...]], units: list[bytes]) -> Iterator[pa.RecordBatch]:
+        uid, at, key, row, s, e = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order, first = _classes(uid, at, key, key, w)
+        for some in np.array_split(order[first], max(1, len(order) >> 12)):
+            if len(some):
+                cells = [units[r][a:b] for r, a, b in zip(row[some].tolist(), s[some].tolist(), e[some].tolist(), strict=True)]
+                k = key[some]
+                yield _fetched(list(zip((k % np.uint64(buckets)).tolist(), (k >> np.uint64(1)).tolist(), uid[some].tolist(), at[some].tolist(), [1] * len(some), cells, strict=True)))
+        gone = order[~first]
+        if len(gone):
+            doc, lo, hi = _spans(uid[gone], at[gone], at[gone] + w.length)
+            bucket = mix64(doc.astype(np.uint64)) % np.uint64(buckets)
+            yield _fetched(list(zip(bucket.tolist(), [0] * len(doc), doc.tolist(), lo.tolist(), (hi - lo).tolist(), [None] * len(doc), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        units: list[bytes] = []
+        size = 0
+        for batch in batches:
+            own = batch.column("units").to_pylist()
+            uid, at, n = (np.asarray(batch.column(c)).astype(np.int64) for c in ("uid", "at", "n"))
+            buf = np.frombuffer(b"".join(own), np.uint8)
+            bounds = np.concatenate([[0], np.cumsum([len(u) for u in own])])
+            if w.words:
+                starts, ends, first = word_spans(buf, bounds)
+                values = word_hashes(buf, starts, ends)
+            else:
+                starts, first, values = np.arange(len(buf)), bounds, byte_values(buf)
+                ends = starts + 1
+            row = np.repeat(np.arange(len(own)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            x = first[row] + step
+            key = Spans(values).grams(w.length)[x]
+            parts.append((uid[row], at[row] + step, key, row + len(units), starts[x] - bounds[row], ends[x + w.length - 1] - bounds[row]))
+            units += own
+            size += len(buf)
+            if size >= FLUSH:
+                yield from flush(parts, units)
+                parts, units, size = [], [], 0
+        if parts:
+            yield from flush(parts, units)
+
+    return run
+
+
 Kernel = Callable[[Windows, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -365,13 +431,8 @@ def unordered(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     return rows.select(*[columns.get(c, own[c]).alias(c) for c in docs.columns])
 
 
-def repeats(docs: DataFrame, w: Windows, kernel: Kernel) -> DataFrame:
-    """What `ordered` gave with `spans`, an array of (lo, hi): the units that repeated windows cover.
-
-    The documents are sent by uid once: both joins below take the same exchange of them, whole rows in both.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
+def candidates(docs: DataFrame, w: Windows) -> tuple[DataFrame, DataFrame]:
+    """(units of segments that may have windows in common, by bucket; spans that are repeats already)."""
     size = plan_bytes(docs)
     buckets = max(64, -(-size // (16 << 20)))
     found = docs.select("uid", "text").mapInArrow(_scan(w, buckets), "bucket int, kind int, blob binary")
@@ -381,13 +442,33 @@ def repeats(docs: DataFrame, w: Windows, kernel: Kernel) -> DataFrame:
     shards = max(16, -(-units * (8 if w.words else 1) // (1 << 20)))
     wanted = wanted.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("lo", "hi", "anchor", "hot")).alias("wanted"))
     fetched = docs.join(wanted.hint("shuffle_hash"), F.col("uid") == F.col("__uid"), "left").drop("__uid").mapInArrow(_fetch(w, shards), _FETCHED)
+    fetched = cut(fetched)
+    crowded = cut(fetched.groupBy("anchor").agg(F.count(F.lit(1)).alias("parts")).where(F.col("parts") > CROWD))
+    if not crowded.isEmpty():
+        marked = lookup_join(fetched, crowded, ["anchor"], F.xxhash64("uid", "at"))
+        names = fetched.columns
+        fetched = marked.where("parts IS NULL").select(*names).union(marked.where("parts IS NOT NULL").select(*names).mapInArrow(_singles(w, shards), _FETCHED))
+    return fetched, found.where("anchor IS NULL").select("uid", "lo", "hi")
 
-    def run(table: pa.Table) -> pa.Table:
-        a = [np.asarray(table.column(c)) for c in ("anchor", "uid", "at", "n")]
-        return _found(*_spans(*kernel(w, *a, table.column("units").to_pylist())))
 
-    more = fetched.groupBy("bucket").applyInArrow(run, _FOUND)
-    spans = found.where("anchor IS NULL").select("uid", "lo", "hi").union(more.select("uid", "lo", "hi"))
+def repeats(docs: DataFrame, w: Windows, kernel: Kernel) -> DataFrame:
+    """What `ordered` gave with `spans`, an array of (lo, hi): the units that repeated windows cover.
+
+    The documents are sent by uid once: both joins with them take the same exchange of them, whole rows in both.
+    """
+    prepare(docs.sparkSession)
+    fetched, spans = candidates(docs, w)
+
+    def run(table: pa.Table) -> pa.Table:
+        done = table.filter(table.column("units").is_null())
+        table = table.filter(table.column("units").is_valid())
+        lo = np.asarray(done.column("at"))
+        spans = [(np.asarray(done.column("uid")), lo, lo + np.asarray(done.column("n")))]
+        if len(table):
+            spans.append(kernel(w, *(np.asarray(table.column(c)) for c in ("anchor", "uid", "at", "n")), table.column("units").to_pylist()))
+        return _found(*_spans(*(np.concatenate(x) for x in zip(*spans, strict=True))))
+
+    spans = spans.union(fetched.groupBy("bucket").applyInArrow(run, _FOUND).select("uid", "lo", "hi"))
     spans = spans.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return docs.join(spans.hint("shuffle_hash"), F.col("uid") == F.col("__uid"), "left").drop("__uid")
 

@@ -59,9 +59,10 @@ def test_table(spark, sf):
     both(spark, docs)
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_near_copies_and_shared_passages(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "crowd"), [(512, 4096), (1, 4096), (1, 1), (0, 0)])
+def test_near_copies_and_shared_passages(spark, hot, crowd, monkeypatch):
     monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(anchors, "CROWD", crowd)
     monkeypatch.setattr(anchors, "FLUSH", 1 << 16)
     rng = np.random.default_rng(4)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 5, rng.integers(1, 7)))
@@ -85,6 +86,22 @@ def test_odd(spark):
     assert suffixes.dedup_bytes(documents(spark, [])).count() == substrings.dedup_words(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("footer", [97, 150])
+def test_footer_of_many_documents(spark, footer, monkeypatch):
+    """A passage that all documents share between texts of their own doesn't bring them to one task."""
+    monkeypatch.setattr(anchors, "CROWD", 50)
+    rng = np.random.default_rng(2)
+    letters = lambda k: "".join(chr(97 + c) for c in rng.integers(0, 26, k))
+    shared = letters(footer)
+    docs = [(i, letters(90) + shared + letters(90)) for i in range(1500)]
+    got = suffixes.dedup_bytes(documents(spark, docs)).collect()
+    assert key((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == key(brute_bytes(docs))
+    w = suffixes.byte_windows(100)
+    rows = anchors.ordered(documents(spark, docs))
+    counted = anchors.candidates(rows, w)[0].where("units IS NOT NULL").groupBy("anchor").count()
+    assert counted.agg({"count": "max"}).first()[0] <= 50
+
+
 @pytest.mark.parametrize("hot", [512, 0])
 def test_structured_words(spark, hot, monkeypatch):
     monkeypatch.setattr(anchors, "HOT", hot)
