@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from lodestone.plans.parser import parse
 from lodestone.plans.syntax import Scope
 from lodestone.sources import dictionaries
 from lodestone.sources.collection import Collection
+from lodestone.sources.index import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Collection:
-    return Collection(table(spark, sf_dir, "documents"), "doc_id", ("text",), ("lang", "source"))
+    """With its index, which the first query of a session writes."""
+    return kept(Collection(table(spark, sf_dir, "documents"), "doc_id", ("text",), ("lang", "source")), f"{sf_dir}/documents.parquet")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> Collection:
@@ -390,8 +393,8 @@ jc AS (SELECT class, term, count(*) AS c FROM tf JOIN lab USING (doc) GROUP BY A
 
 
 def _labelled(spark: SparkSession, sf: str) -> Collection:
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return Collection(rows, "doc_id", ("text",), ("lang", "source"))
+    docs = documents(spark, sf)
+    return replace(docs, df=docs.df.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left"))
 
 
 def nb_sql(amount: str, classes: str = "true") -> str:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.collection import Collection
+from lodestone.sources.shared import written
 
 #: Classes up to which a model scores every class for every document.
 MAX_CLASSES = 10_000
+#: Pairs of class and term, about 60 bytes each, up to which a model goes to every executor.
+BROADCAST_PAIRS = 200_000
 
 
 def facet_subset(df: DataFrame, column: str, value: object) -> DataFrame:
@@ -120,7 +124,7 @@ class NaiveBayesModel:
             raise ValueError(f"over {MAX_CLASSES} classes")
         if not rows:
             return collection.df.select(collection.key, F.lit(None).cast("string").alias("class"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-        freq = collection.tf(p.fields).groupBy(collection.key, "field", "term").agg(F.sum("freq").alias("freq"))
+        freq = collection.tf(p.fields).select(collection.key, "field", "term", "freq")
         amount = F.lit(1.0) if p.binary else F.log(F.col("freq") + 1.0) if p.log_tf else F.col("freq").cast("double")
         freq = freq.withColumn("amount", amount).where(F.col("amount") > 0)
         times = F.col("amount") if p.multinomial else F.lit(1.0)
@@ -128,7 +132,8 @@ class NaiveBayesModel:
         base = freq.groupBy(collection.key).agg(F.sum(times).alias("terms"), F.sum(inside).alias("inside"))
         every = F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(float(r["p"])).alias("p")) for r in rows])
         base = base.withColumn("c", F.explode(every)).select(collection.key, F.col("c.class").alias("class"), (F.log("c.p") + F.col("inside") + F.col("terms") * F.log(F.lit(self.unseen) / F.col("c.p"))).alias("base"))
-        seen = freq.join(self.joints, ["field", "term"]).groupBy(collection.key, "class").agg(F.sum(times * F.log(F.col("joint") / F.lit(self.unseen))).alias("more"))
+        joints = F.broadcast(self.joints) if self.joints.count() <= BROADCAST_PAIRS else self.joints
+        seen = freq.join(joints, ["field", "term"]).groupBy(collection.key, "class").agg(F.sum(times * F.log(F.col("joint") / F.lit(self.unseen))).alias("more"))
         scored = base.join(seen, [collection.key, "class"], "left").select(collection.key, "class", F.round(F.col("base") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
         if not p.include_existing and class_col:
             own = collection.df.select(collection.key, F.col(class_col).cast("string").alias("class"))
@@ -139,6 +144,28 @@ class NaiveBayesModel:
     def save(self, path: str) -> None:
         self.priors.write.mode("overwrite").parquet(f"{path}/priors")
         self.joints.write.mode("overwrite").parquet(f"{path}/joints")
+        self.priors.sparkSession.range(1).select(F.lit(float(self.unseen)).alias("unseen")).write.mode("overwrite").parquet(f"{path}/unseen")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, params: NaiveBayes | None = None) -> NaiveBayesModel:
+        """AGG10: what save() wrote, to predict with these parameters."""
+        unseen = spark.read.parquet(f"{path}/unseen").first().unseen
+        return NaiveBayesModel(spark.read.parquet(f"{path}/priors"), spark.read.parquet(f"{path}/joints"), unseen, params or NaiveBayes())
+
+
+@dataclass
+class ModelCache:
+    """AGG10: models by name, made again when one is asked for that is older than max_age seconds, or on demand."""
+
+    max_age: float = 3600.0
+    clock: Callable[[], float] = time.monotonic
+    _held: dict[str, tuple[float, object]] = field(default_factory=dict, repr=False)
+
+    def get(self, name: str, make: Callable[[], object], refresh: bool = False) -> object:
+        held, now = self._held.get(name), self.clock()
+        if refresh or held is None or now - held[0] > self.max_age:
+            self._held[name] = held = (now, make())
+        return held[1]
 
 
 @dataclass(frozen=True)
@@ -160,9 +187,8 @@ class NaiveBayes:
         docs = docs.where(F.col(class_col).isNotNull())
         own = Collection(docs, collection.key, collection.text, collection.keyword, collection.payload)
         priors = docs.groupBy(F.col(class_col).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-        terms = own.tokens(self.fields).select(collection.key, "field", "term").distinct()
-        labelled = terms.join(docs.select(collection.key, F.col(class_col).cast("string").alias("class")), collection.key)
-        joints = labelled.groupBy("class", "field", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_count)
+        labelled = own.tf(self.fields, also=(class_col,)).withColumn("class", F.col(class_col).cast("string"))
+        joints = written(labelled.groupBy("class", "field", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_count))
         a = F.lit(self.alpha)
         total = priors.agg(F.sum(F.col("n") + a).alias("t")).first().t or 0.0
         joint_total = joints.agg(F.sum(F.col("n") + a).alias("t")).first().t or 0.0

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.sources.collection import Collection
+from lodestone.sources.shared import written
 
 Objective = Callable[[Column, Column], Column]
 
@@ -27,7 +28,8 @@ def label_features(collection: Collection, positive: DataFrame, negative: DataFr
     own = Collection(sets.select(*collection.df.columns), key, collection.text, collection.keyword, collection.payload)
     pairs = own.tokens(fields).select(key, "field", "term").distinct().join(labels, key)
     counts = pairs.groupBy("field", "term").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    dfs = collection.tf(fields, counts).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    counts = written(counts)
+    dfs = collection.df_table(fields, counts).select("field", "term", "df").where(F.col("df") >= min_df)
     feature = F.concat(F.col("field"), F.lit(':"'), F.col("term"), F.lit('"'))
     return counts.join(dfs, ["field", "term"]).select("field", "term", feature.alias("feature"), "pos", "neg")
 

@@ -85,7 +85,8 @@ def profile_terms(collection: Collection, own: DataFrame, p: TermParams, boosts:
     tf = own.groupBy("field", "term").agg(F.sum(F.coalesce("payload", F.lit(1.0))).alias("tf")).where(F.trim("term") != "")
     if p.min_tf > 0:
         tf = tf.where(F.col("tf") >= p.min_tf)
-    dfs = collection.tf(fields, tf).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    tf, _ = local_terms(tf)
+    dfs = collection.df_table(fields, tf).select("field", "term", "df")
     terms = tf.join(dfs, ["field", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     n = collection.n_docs
     if p.min_df > 0:

@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 from lodestone.functions.analysis import analyze
 from lodestone.plans.parser import QueryParseError, parse
 from lodestone.plans.syntax import Binary, InField, Node, Not, Phrase, Term
-from lodestone.sources.collection import Collection
+from lodestone.sources.collection import MAX_LOCAL, Collection
 
 from .similarity import CLASSIC, Similarity
 
 #: Decimals that scores are rounded to, so that equal documents tie and ties go by key.
 DECIMALS = 6
-#: Terms up to which a query's terms are made literal.
-MAX_LOCAL = 10_000
 
 
 def terms_frame(collection: Collection, terms: Sequence[tuple[str, str, float]]) -> DataFrame:
@@ -70,13 +68,13 @@ def local_terms(terms: DataFrame) -> tuple[DataFrame, set[str] | None]:
 
 
 def weigh(collection: Collection, terms: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
-    """(postings with each term's weight, one row of query statistics): one pass over the collection, cut down to the
-    terms. Document frequencies come with the terms (column df) or from the same pass."""
+    """(postings with each term's weight, one row of query statistics): one pass over the collection or its postings, cut
+    down to the terms. Document frequencies come with the terms (column df) or from the table of terms."""
     terms, fields = local_terms(terms)
     fields = sorted(fields) if fields is not None else [r["field"] for r in terms.select("field").distinct().collect()]
     tf = collection.tf(fields or list(collection.fields)[:1], terms)
     if "df" not in terms.columns:
-        terms = terms.join(tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), ["field", "term"], "left")
+        terms, _ = local_terms(terms.join(collection.df_table(fields or list(collection.fields)[:1], terms).select("field", "term", "df"), ["field", "term"], "left"))
     weighted = terms.select("field", "term", "boost", similarity.idf(F.coalesce("df", F.lit(0)), collection.n_docs).alias("idf"))
     stats = weighted.agg(F.coalesce(F.sum(F.pow(F.col("idf") * F.col("boost"), 2)), F.lit(0.0)).alias("squares"), F.count(F.lit(1)).alias("n_terms"), F.count_distinct("term").alias("n_words"))
     part = similarity.tf(F.col("freq")) * F.col("idf") * F.col("idf") * F.col("boost") * similarity.norm(F.col("len")) * similarity.payload(F.col("payload"))
@@ -146,7 +144,7 @@ def must_match(collection: Collection, seeds: DataFrame, same: Sequence[str], di
         if not fields:
             continue
         own = Collection(seeds, collection.key, collection.text, collection.keyword, collection.payload).tokens(fields).select("field", "term").distinct()
-        hits = collection.tokens(fields).select(collection.key, "field", "term").distinct().join(own, ["field", "term"], "left_semi")
+        hits = collection.tf(fields, own).select(collection.key, "field", "term").distinct()
         if wanted:
             n = own.count()
             if n:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.analysis import analyze, drop_noise
 from lodestone.plans.syntax import Scope
 
+#: Terms up to which a request's terms are made literal.
+MAX_LOCAL = 10_000
 #: Tables between these sizes (the larger times the cores) are spread over the cores before they are analysed.
 MIN_BYTES, SPLIT_BYTES = 1 << 20, 64 << 20
 
@@ -40,14 +42,17 @@ class Collection:
     def scope(self) -> Scope:
         return Scope(self.text, self.keyword, self.text)
 
+    def source_bytes(self) -> int:
+        """Catalyst's estimate of the bytes that df is made from."""
+        leaves = self.df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
     def spread(self) -> DataFrame:
         """df, over all cores where its files are too small to be split among them; a large table is read as it lies."""
         if self._spread is None:
-            spark = self.df.sparkSession
-            leaves = self.df._jdf.queryExecution().optimizedPlan().collectLeaves()
-            size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-            cores = spark.sparkContext.defaultParallelism
-            self._spread = self.df.repartition(cores) if cores > 1 and MIN_BYTES < size < cores * SPLIT_BYTES and not self.df.isStreaming else self.df
+            cores = self.df.sparkSession.sparkContext.defaultParallelism
+            small = cores > 1 and not self.df.isStreaming and MIN_BYTES < self.source_bytes() < cores * SPLIT_BYTES
+            self._spread = self.df.repartition(cores) if small else self.df
         return self._spread
 
     @property
@@ -67,31 +72,51 @@ class Collection:
         terms = F.array_compact(F.array(c.cast("string"))) if name in self.keyword else analyze(c, limit)
         return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(None).cast("double").alias("payload")))
 
-    def tokens(self, fields: Sequence[str], rows: Column | None = None, limit: int | None = None, min_length: int = 0, max_length: int = 0, stop_words: Sequence[str] = ()) -> DataFrame:
-        """(key, field, len, term, payload), a row a token; only the key and the fields named are read."""
-        source = self.df.where(rows) if rows is not None else self.spread()
+    def tokens(self, fields: Sequence[str], rows: Column | None = None, limit: int | None = None, min_length: int = 0, max_length: int = 0, stop_words: Sequence[str] = (), terms: Mapping[str, Sequence[str]] | None = None, source: DataFrame | None = None, also: Sequence[str] = ()) -> DataFrame:
+        """(key, also, field, len, term, payload), a row a token; only the key, the fields named and the columns `also`
+        are read. With `terms`, only those of each field."""
+        source = source if source is not None else self.df.where(rows) if rows is not None else self.spread()
         parts = []
         for name in fields:
             t = self.field_tokens(name, limit)
             # analysed below the explode: what stands beside it is evaluated for every token
-            one = source.select(F.col(self.key), t.alias("ts")).select(self.key, F.lit(name).alias("field"), F.size("ts").alias("len"), F.explode("ts").alias("t"))
-            parts.append(one.select(self.key, "field", "len", F.col("t.term").alias("term"), F.col("t.payload").alias("payload")))
+            one = source.select(self.key, *also, t.alias("ts"))
+            wanted = F.col("ts") if terms is None else F.filter("ts", lambda x: x["term"].isin(list(terms.get(name, ()))))  # noqa: B023
+            one = one.select(self.key, *also, F.lit(name).alias("field"), F.size("ts").alias("len"), F.explode(wanted).alias("t"))
+            parts.append(one.select(self.key, *also, "field", "len", F.col("t.term").alias("term"), F.col("t.payload").alias("payload")))
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
         noise = drop_noise(F.array("term"), min_length, max_length, stop_words)
         return out.where(F.size(noise) > 0) if min_length or max_length or stop_words else out
 
-    def tf(self, fields: Sequence[str], only: DataFrame | None = None, **how: object) -> DataFrame:
-        """AGG1: (key, field, len, term, freq, payload): token counts and mean payloads; of the (field, term) in `only`."""
-        tokens = self.tokens(fields, **how)
-        if only is not None:
-            tokens = tokens.join(only.select("field", "term").distinct(), ["field", "term"], "left_semi")
-        return tokens.groupBy(self.key, "field", "len", "term").agg(F.count(F.lit(1)).alias("freq"), F.avg("payload").alias("payload"))
-
-    def df_table(self, fields: Sequence[str]) -> DataFrame:
-        """AGG2: (field, term, df, total): documents and tokens of every term."""
-        return self.tf(fields).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("freq").alias("total"))
+    def local_pairs(self, only: DataFrame, *more: Column) -> list | None:
+        """The distinct (field, term, more...) of `only`; None if they are over MAX_LOCAL."""
+        rows = only.select("field", "term").distinct().select("field", "term", *more).limit(MAX_LOCAL + 1).collect()
+        return rows if len(rows) <= MAX_LOCAL else None
+
+    def tf(self, fields: Sequence[str], only: DataFrame | None = None, also: Sequence[str] = (), **how: object) -> DataFrame:
+        """AGG1: (key, also, field, len, term, freq, payload): token counts and mean payloads; of the (field, term) in `only`.
+
+        A few terms are picked out of each document's tokens before those become rows. All terms are counted where
+        their documents are, which are sent by key for that: one exchange of texts and none of tokens.
+        """
+        pairs = None if only is None else self.local_pairs(only)
+        if pairs is not None:
+            by: dict[str, list[str]] = {}
+            for r in pairs:
+                by.setdefault(r["field"], []).append(r["term"])
+            tokens = self.tokens(fields, terms=by, also=also, **how)
+        else:
+            columns = list(dict.fromkeys([self.key, *also, *fields]))
+            tokens = self.tokens(fields, source=self.df.select(*columns).repartition(self.key), also=also, **how)
+            if only is not None:
+                tokens = tokens.join(only.select("field", "term").distinct(), ["field", "term"], "left_semi")
+        return tokens.groupBy(self.key, *also, "field", "len", "term").agg(F.count(F.lit(1)).alias("freq"), F.avg("payload").alias("payload"))
+
+    def df_table(self, fields: Sequence[str], only: DataFrame | None = None) -> DataFrame:
+        """AGG2: (field, term, df, total): documents and tokens of every term, or of those in `only`."""
+        return self.tf(fields, only).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("freq").alias("total"))
 
     def match(self, predicate: Column) -> DataFrame:
         return self.df.where(predicate)
