@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +19,7 @@ from lodestone.plans.syntax import Scope
 from lodestone.sources import dictionaries
 from lodestone.sources.collection import Collection
 from lodestone.sources.index import kept
+from lodestone.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,10 +92,14 @@ SELECT doc AS doc_id, round(scored.score * {boost}, 6) AS score FROM scored {joi
 
 
 def recommend(params: M.RecommendParams | None = None) -> Callable:
-    return lambda spark, sf: M.MoreLikeThese(documents(spark, sf), params).from_docs([1, 2]).response
+    return lambda spark, sf: M.MoreLikeThese(documents(spark, sf), params or P()).from_docs([1, 2]).response
+
+
+def P(**how: object) -> M.RecommendParams:  # noqa: N802
+    """Seeds are read whole."""
+    return M.RecommendParams(**{"max_tokens": None, **how})
 
 
-P = M.RecommendParams
 for _name, _params, _sql in (
     ("mlt_docs", P(), {}),
     ("mlt_logtf", P(log_tf=True), {"weight": "ln(tf + 1) * idf"}),
@@ -109,6 +112,7 @@ for _name, _params, _sql in (
     ("mlt_mintf", P(min_tf=2), {"where": "tf >= 2"}),
     ("mlt_top_terms", P(max_terms=5), {"top": 5}),
     ("mlt_mm", P(mm=20), {"mm": 20}),
+    ("mlt_mm_percent", P(mm="5<-80% 50<12%"), {"mm": "(SELECT floor(count(*) * 12 / 100.0) FROM chosen)"}),
     ("mlt_filter", P(fq=("lang:en",)), {"docs": "dd.lang = 'en'"}),
 ):
     query(_name, recommend_sql(**_sql))(recommend(_params))
@@ -135,7 +139,7 @@ q AS (SELECT term, score AS boost FROM chosen), {classic("q", "tf")}
 SELECT doc AS doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 10""",
 )
 def mlt_text(spark: SparkSession, sf: str) -> DataFrame:
-    return M.MoreLikeThese(documents(spark, sf)).from_text(_TEXT).response
+    return M.MoreLikeThese(documents(spark, sf), P()).from_text(_TEXT).response
 
 
 @query(
@@ -144,7 +148,7 @@ def mlt_text(spark: SparkSession, sf: str) -> DataFrame:
 SELECT 'text' AS field, term, tf, df, round(idf, 6) AS idf, round(weight, 6) AS weight, round(score, 6) AS score FROM chosen""",
 )
 def mlt_interesting_terms(spark: SparkSession, sf: str) -> DataFrame:
-    m = M.MoreLikeThese(documents(spark, sf))
+    m = M.MoreLikeThese(documents(spark, sf), P())
     return m.interesting_terms(m.seeds([1, 2])).select("field", "term", "tf", "df", *[F.round(c, 6).alias(c) for c in ("idf", "weight", "score")])
 
 
@@ -189,13 +193,13 @@ q2 AS (SELECT term, score AS boost FROM chosen), {classic("q2", "tf").replace("q
 SELECT s.doc AS doc_id, round(s.score + coalesce(e.score, 0), 6) AS score FROM scored s LEFT JOIN scored2 e USING (doc) ORDER BY score DESC, doc_id LIMIT 10""",
 )
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
-    return M.BlindFeedback(documents(spark, sf)).run("license released").response
+    return M.BlindFeedback(documents(spark, sf), M.FeedbackParams(max_tokens=None)).run("license released").response
 
 
 @query("facets_of_answer", recommend_sql().replace("SELECT doc AS doc_id, round(scored.score * 1, 6) AS score FROM scored", "SELECT lang AS value, count(*) AS count FROM documents WHERE doc_id IN (SELECT doc_id FROM (SELECT doc AS doc_id, round(scored.score * 1, 6) AS score FROM scored") + ")) AND lang IS NOT NULL GROUP BY lang")
 def facets_of_answer(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    return M.MoreLikeThese(docs).from_docs([1, 2]).facets(docs, ["lang"])["lang"]
+    return M.MoreLikeThese(docs, P()).from_docs([1, 2]).facets(docs, ["lang"])["lang"]
 
 
 # --- boolean retrieval and parsing
@@ -210,6 +214,7 @@ for _name, _text, _where in (
     ("bool_phrase", '"mit license" and lang:en', f"{has('text', 'mit license')} AND coalesce(lang = 'en', false)"),
     ("bool_field", "lang:fr OR (source:src1 AND lang:de)", "lang = 'fr' OR (source = 'src1' AND lang = 'de')"),
     ("bool_match_all", "*:* AND lang:es", "lang = 'es'"),
+    ("bool_prefix", "licens* AND source:src1*", f"len(list_filter({toks('text')}, lambda x: starts_with(x, 'licens'))) > 0 AND coalesce(starts_with(source, 'src1'), false)"),
     ("bool_repaired", "(license and released", f"{has('text', 'license')} AND {has('text', 'released')}"),
 ):
 
@@ -407,6 +412,14 @@ k AS (SELECT s.* FROM s LEFT JOIN (SELECT doc_id AS doc, quality::VARCHAR AS own
 SELECT doc AS doc_id, class, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, class)::INTEGER AS rank FROM k) WHERE rank <= 1"""
 
 
+@query("nb_saved", nb_sql("freq::DOUBLE"))
+def nb_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of a model that was saved and loaded again."""
+    c, path = _labelled(spark, sf), shared_path(spark, "model")
+    facets.NaiveBayes().fit(c, "quality").save(path)
+    return facets.NaiveBayesModel.load(spark, path).transform(c).select("doc_id", "class", "score", "rank")
+
+
 def nb(**how: object) -> Callable:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         c = _labelled(spark, sf)
@@ -514,9 +527,15 @@ def type_erase(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.size(erased).alias("n"), F.size(F.filter(erased, lambda t: t["type"].isNotNull())).alias("typed"))
 
 
-@query("noise_filter", f"SELECT doc_id, len(list_filter({toks('text')}[:5000], lambda x: length(x) BETWEEN 3 AND 9 AND x <> 'the'))::INTEGER AS n FROM documents")
+@query("noise_filter", f"SELECT doc_id, len(list_filter({toks('text')}, lambda x: length(x) BETWEEN 3 AND 9 AND x <> 'the'))::INTEGER AS n FROM documents")
 def noise_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.size(A.drop_noise(A.analyze(F.col("text"), 5000), 3, 9, ("the",))).alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.size(A.drop_noise(A.analyze(F.col("text")), 3, 9, ("the",))).alias("n"))
+
+
+@query("token_cap", f"SELECT doc_id, array_to_string({toks('text')}[:40], ' ') AS head FROM documents WHERE text IS NOT NULL")
+def token_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """TOK7: the cap is the feature."""
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(A.analyze(F.col("text"), 40), " ").alias("head"))
 
 
 @query("token_offsets", f"SELECT p_partkey, t AS term, strpos(lower(p_name), t)::INTEGER - 1 AS start FROM (SELECT p_partkey, p_name, unnest({toks('p_name')}) AS t FROM part)")
@@ -532,21 +551,25 @@ def dictionary_highfreq(spark: SparkSession, sf: str) -> DataFrame:
     return dictionaries.frequent_terms(documents(spark, sf), "text", 0.05)
 
 
-def _shared_files(spark: SparkSession, files: dict[str, str]) -> list[str]:
-    root = Path(tempfile.mkdtemp(prefix="dictionary-"))
-    for name, text in files.items():
-        (root / name).write_text(text, encoding="utf-8")
-    return [str(root / n) for n in files]
+def _text_files(lines: DataFrame) -> str:
+    path = shared_path(lines.sparkSession, "dictionary")
+    lines.write.text(path)
+    return path
 
 
-@query("dictionary_files", "SELECT * FROM (VALUES ('apache hadoop', 12::BIGINT), ('java', 1::BIGINT), ('sql', 3::BIGINT), ('spark', 7::BIGINT)) v(phrase, weight)")
+@query("dictionary_files", "SELECT p_name || ' ' || p_partkey::VARCHAR AS phrase, CASE WHEN p_size % 2 = 0 THEN floor(p_retailprice)::BIGINT ELSE 1 END AS weight FROM part UNION ALL SELECT s_name, 1 FROM supplier")
 def dictionary_files(spark: SparkSession, sf: str) -> DataFrame:
-    return dictionaries.read_dictionary(spark, _shared_files(spark, {"a.txt": "apache hadoop\t12\njava\nsql\t3.7\n", "b.txt": "spark\t7\n\n"}))
+    """Two files of lines with and without weights, fractions among them, and blank lines."""
+    own = table(spark, sf, "part")
+    phrase = F.concat("p_name", F.lit(" "), "p_partkey")
+    lines = own.select(F.when(F.col("p_size") % 2 == 0, F.concat(phrase, F.lit("\t"), F.col("p_retailprice").cast("decimal(18,2)").cast("string"))).otherwise(phrase).alias("value"))
+    return dictionaries.read_dictionary(spark, [_text_files(lines), _text_files(table(spark, sf, "supplier").select("s_name").union(spark.createDataFrame([("  ",)], "s string")))])
 
 
-@query("dictionary_typos", "SELECT * FROM (VALUES ('javva', 'java'), ('jaava', 'java'), ('sqll', 'sql')) v(typo, correction)")
+@query("dictionary_typos", "SELECT lower(p_name) || ' ' || p_partkey::VARCHAR || x AS typo, p_name AS correction FROM part, (VALUES ('x'), ('y')) v(x)")
 def dictionary_typos(spark: SparkSession, sf: str) -> DataFrame:
-    return dictionaries.read_typos(spark, _shared_files(spark, {"t.txt": "Javva, jaava => java\nsqll=>sql\nno arrow\n"})[0])
+    name = F.concat(F.upper("p_name"), F.lit(" "), "p_partkey")
+    return dictionaries.read_typos(spark, _text_files(table(spark, sf, "part").select(F.concat(name, F.lit("X, "), name, F.lit("y => "), "p_name"))))
 
 
 def _names(spark: SparkSession, sf: str) -> suggest.SuggestIndex:
@@ -614,17 +637,51 @@ def spell_typos(spark: SparkSession, sf: str) -> DataFrame:
     return _spell(spark, sf, spark.createDataFrame([("zzzzqqq", "the"), ("the", "of")], "typo string, correction string"))
 
 
-@query("collate", "SELECT 1 AS rank, 'license the' AS collation")
+def _checker(spark: SparkSession, docs: Collection, **how: object) -> spell.SpellChecker:
+    return spell.SpellChecker(dictionaries.frequent_terms(docs, "text"), docs.n_docs, None, spell.SpellParams(**how))
+
+
+_RANKED = spell_sql().replace("SELECT a.token, a.of AS orig_freq", "@").split("@")[0]
+
+
+@query("collate", f"""{_RANKED} SELECT row_number() OVER (ORDER BY a.rank + b.rank, a.rank)::INTEGER AS rank, a.word || ' the ' || b.word AS collation
+  FROM (SELECT * FROM r WHERE token = 'licnese' AND rank <= 5) a, (SELECT * FROM r WHERE token = 'relesed' AND rank <= 5) b ORDER BY 1 LIMIT 3""")
 def collate(spark: SparkSession, sf: str) -> DataFrame:
-    words = spark.createDataFrame([("license", 9), ("the", 90), ("lichens", 1)], "phrase string, weight long")
-    _, _, found = spell.SpellChecker(words, 100).check("licnese the")
+    _, _, found = _checker(spark, documents(spark, sf), collations=3).check("licnese the relesed")
     return spark.createDataFrame([(k + 1, text) for k, (text, _) in enumerate(found)], "rank int, collation string")
 
 
-@query("shard_merge", "SELECT * FROM (VALUES ('a', 'x', 5::BIGINT, 1), ('a', 'y', 2::BIGINT, 2)) v(token, word, freq, rank)")
+def _halves(spark: SparkSession, sf: str) -> list[Collection]:
+    """The documents as two indexes, each on its own."""
+    rows = table(spark, sf, "documents")
+    return [Collection(rows.where(F.col("doc_id") % 2 == k), "doc_id", ("text",)) for k in (0, 1)]
+
+
+@query(
+    "shard_merge",
+    f"""WITH {postings("documents", "doc_id", "text")}, voc AS (SELECT doc % 2 AS half, term, count(*) AS df FROM tf GROUP BY ALL),
+near AS (SELECT token, half, term AS word, df AS freq, round(1.0::DOUBLE - levenshtein(token, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g'))::DOUBLE / least(length(token), length(term)), 6) AS score
+  FROM voc, (VALUES ('licnese'), ('relesed')) v(token) WHERE token NOT IN (SELECT term FROM voc) AND substr(token, 1, 1) = substr(term, 1, 1) AND abs(length(term) - length(token)) <= 2 AND levenshtein(token, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g')) <= 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY token, half ORDER BY score DESC, freq DESC, word) AS r FROM near WHERE score >= 0.5)
+SELECT token, word, sum(freq)::BIGINT AS freq, row_number() OVER (PARTITION BY token ORDER BY sum(freq) DESC, word)::INTEGER AS rank FROM best WHERE r <= 5 GROUP BY token, word QUALIFY rank <= 5""",
+)
 def shard_merge(spark: SparkSession, sf: str) -> DataFrame:
-    one = spark.createDataFrame([("a", "x", 2), ("a", "y", 2)], "token string, word string, freq long")
-    return spell.merge_shards([one, spark.createDataFrame([("a", "x", 3)], "token string, word string, freq long")])
+    tokens = spark.createDataFrame([("licnese",), ("relesed",)], "token string")
+    return spell.merge_shards([_checker(spark, c).suggestions(tokens).select("token", F.explode("suggestions").alias("s")).select("token", "s.word", "s.freq") for c in _halves(spark, sf)])
+
+
+@query(
+    "collation_merge",
+    "SELECT c AS collation, max(rank)::INTEGER AS rank, sum(hits)::BIGINT AS hits FROM (SELECT o_orderstatus AS c, count(*) AS hits, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY count(*) DESC, o_orderstatus) AS rank FROM orders GROUP BY o_orderkey % 2, o_orderstatus) GROUP BY 1 ORDER BY 2, 3 DESC, 1 LIMIT 2",
+)
+def collation_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Statuses of orders stand for collations, their orders for hits."""
+    rows = table(spark, sf, "orders")
+    parts = []
+    for k in (0, 1):
+        counts = facets.facet_counts(rows.where(F.col("o_orderkey") % 2 == k), "o_orderstatus").collect()
+        parts.append(spark.createDataFrame([(r["value"], i + 1, r["count"]) for i, r in enumerate(counts)], "collation string, rank int, hits long"))
+    return spell.merge_collations(parts, 2)
 
 
 @query("bool_relevance_scope", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#12' AND (" + has("p_name", "small") + " OR " + has("p_name", "large") + ")")

@@ -46,7 +46,10 @@ def pivot_counts(df: DataFrame, fields: Sequence[str], min_count: int = 1, limit
         counts = kept.where(F.col(path[-1]).isNotNull()).groupBy(*path).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
         if limit >= 0:
             order = (F.col("count").desc(), path[-1])
-            counts = counts.withColumn("__n", F.row_number().over((Window.partitionBy(*path[:-1]) if k > 1 else Window.partitionBy(F.lit(0))).orderBy(*order))).where(F.col("__n") <= limit).drop("__n")
+            if k == 1:
+                counts = counts.orderBy(*order).limit(limit)
+            else:
+                counts = counts.withColumn("__n", F.row_number().over(Window.partitionBy(*path[:-1]).orderBy(*order))).where(F.col("__n") <= limit).drop("__n")
         if k < len(fields) and (limit >= 0 or min_count > 1):
             kept = kept.join(counts.select(*path), path, "left_semi")
         levels.append(counts.select(F.lit(k).alias("level"), *path, *[F.lit(None).cast("string").alias(f) for f in fields[k:]], "count"))

@@ -38,7 +38,7 @@ class TermParams:
 
 @dataclass(frozen=True)
 class RecommendParams(TermParams):
-    mm: int = 1
+    mm: int | str = 1
     same: tuple[str, ...] = ()
     different: tuple[str, ...] = ()
     boost_fn: Column | None = None

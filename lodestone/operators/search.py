@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.analysis import analyze
 from lodestone.plans.parser import QueryParseError, parse
-from lodestone.plans.syntax import Binary, InField, Node, Not, Phrase, Term
+from lodestone.plans.syntax import Binary, InField, Node, Not, Phrase, Term, is_prefix
 from lodestone.sources.collection import MAX_LOCAL, Collection
 
 from .similarity import CLASSIC, Similarity
@@ -43,7 +44,7 @@ def query_terms(collection: Collection, query: str, qf: Mapping[str, float] | No
     qf = dict(qf or dict.fromkeys(collection.text, 1.0))
     found: list[tuple[str, str, float]] = []
     for name, value in leaves(parse(query).tree):
-        if value == "*:*" or name == "*":
+        if value == "*:*" or name == "*" or is_prefix(value):  # they select, but don't score
             continue
         value, _, boost = value.partition("^") if name is None else (value, "", "")
         for f in [name] if name else qf:
@@ -53,8 +54,6 @@ def query_terms(collection: Collection, query: str, qf: Mapping[str, float] | No
 
 
 def _words(text: str) -> list[str]:
-    import re
-
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
@@ -67,6 +66,24 @@ def local_terms(terms: DataFrame) -> tuple[DataFrame, set[str] | None]:
     return terms.sparkSession.createDataFrame(rows, terms.schema), {r["field"] for r in rows}
 
 
+def required(spec: int | str, n: int) -> int:
+    """how many of n optional terms a document needs: `3`, `-1` (all but one), `75%`, `-25%`, or conditions like
+    `2<75% 5<-1`, of which the last whose number is below n holds; with none all are needed."""
+    text = str(spec).strip()
+    if "<" in text:
+        need = n
+        for bound, rest in sorted((int(c.split("<", 1)[0]), c.split("<", 1)[1]) for c in re.sub(r"\s*<\s*", "<", text).split()):
+            if n > bound:
+                need = required(rest, n)
+        return need
+    if text.endswith("%"):
+        share = float(text[:-1])
+        need = int(n * share / 100) if share >= 0 else n - int(n * -share / 100)
+    else:
+        need = int(text) if int(text) >= 0 else n + int(text)
+    return max(0, min(n, need))
+
+
 def weigh(collection: Collection, terms: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
     """(postings with each term's weight, one row of query statistics): one pass over the collection or its postings, cut
     down to the terms. Document frequencies come with the terms (column df) or from the table of terms."""
@@ -81,11 +98,13 @@ def weigh(collection: Collection, terms: DataFrame, similarity: Similarity) -> t
     return tf.join(weighted, ["field", "term"]).select(collection.key, "field", "term", part.alias("part")), stats
 
 
-def score_terms(collection: Collection, terms: DataFrame, similarity: Similarity = CLASSIC, mm: int = 1, dismax: bool = False, tie: float = 0.0) -> DataFrame:
-    """F2: (key, score, overlap) of documents with at least mm of the terms.
+def score_terms(collection: Collection, terms: DataFrame, similarity: Similarity = CLASSIC, mm: int | str = 1, dismax: bool = False, tie: float = 0.0) -> DataFrame:
+    """F2: (key, score, overlap) of documents with at least mm of the terms; a text is a specification as of required().
 
     With dismax (P4) a term counts once: its best field, and `tie` times the others. The statistics are one row.
     """
+    if isinstance(mm, str):
+        mm = required(mm, terms.select(*(["term"] if dismax else ["field", "term"])).distinct().count())
     postings, stats = weigh(collection, terms, similarity)
     if dismax:
         best = F.max("part") + F.lit(float(tie)) * (F.sum("part") - F.max("part"))
@@ -103,7 +122,7 @@ def top(scored: DataFrame, key: str, rows: int | None = 10, start: int = 0, sort
     return (out.offset(start) if start else out).limit(rows) if rows is not None else out
 
 
-def search(collection: Collection, query: str, qf: Mapping[str, float] | None = None, fq: Sequence[str | Column] = (), similarity: Similarity = CLASSIC, mm: int = 0, boost: Column | None = None, rows: int | None = 10, start: int = 0, sort: Sequence[Column] | None = None, dismax: bool = False, tie: float = 0.0) -> DataFrame:
+def search(collection: Collection, query: str, qf: Mapping[str, float] | None = None, fq: Sequence[str | Column] = (), similarity: Similarity = CLASSIC, mm: int | str = 0, boost: Column | None = None, rows: int | None = 10, start: int = 0, sort: Sequence[Column] | None = None, dismax: bool = False, tie: float = 0.0) -> DataFrame:
     """Documents that the query's boolean structure admits, scored by its terms.
 
     fq filters without scoring (F5); boost multiplies the score (P6). A query of match-all alone scores 1 (F11).
@@ -209,3 +228,27 @@ def per_field_rank(terms: DataFrame, n: int) -> DataFrame:
         return terms
     rank = F.row_number().over(Window.partitionBy("field").orderBy(F.col("rank_by").desc(), "term"))
     return terms.withColumn("__n", rank).where(F.col("__n") <= n).drop("__n")
+
+
+#: P1-P4 by name: parsers of (collection, query, ...) to scored documents.
+PARSERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_parser(name: str, parser: Callable[..., DataFrame]) -> None:
+    """Makes a parser known to run_query(); a name that is taken is replaced."""
+    PARSERS[name] = parser
+
+
+def run_query(collection: Collection, query: str, parser: str = "edismax", **how: object) -> DataFrame:
+    """Q17: the query by the parser of that name; unknown names are QueryParseErrors."""
+    if parser not in PARSERS:
+        raise QueryParseError(f"no parser {parser!r}; there are {', '.join(sorted(PARSERS))}")
+    return PARSERS[parser](collection, query, **how)
+
+
+def _payload_query(collection: Collection, query: str, qf: Mapping[str, float] | None = None, rows: int | None = 10) -> DataFrame:
+    return average_payload(collection, query_terms(collection, query, qf, analyzed=False), rows)
+
+
+for _name, _parser in (("edismax", search), ("payloadEdismax", _payload_query), ("vector", lambda c, q, field, **how: vector_search(c, field, q, **how)), ("queryboost", lambda c, q, **how: boosted_terms(c, q, **how))):
+    register_parser(_name, _parser)

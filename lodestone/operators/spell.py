@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import product
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +25,10 @@ class SpellParams:
     accuracy: float = 0.5
     threshold: float = 0.0
     transpositions: bool = False
-    by: str = "score"
+    #: A name in DISTANCES, or (token, word) -> Column of edits; None: by `transpositions`.
+    distance: str | Callable[[Column, Column], Column] | None = None
+    #: "score", "freq", or columns to sort by (of token, word, freq, score).
+    by: str | Sequence[Column] = "score"
     mode: str = "not_in_index"
     max_results: int = 0
     collations: int = 1
@@ -55,6 +58,13 @@ def osa_distance(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+#: Edit distances by name: (token, word, most edits) -> Column, negative where it is beyond.
+DISTANCES: dict[str, Callable[[Column, Column, int], Column]] = {
+    "levenshtein": lambda a, b, most: F.levenshtein(a, b, most),
+    "transpositions": lambda a, b, most: osa_distance(a, b),
+}
+
+
 def query_tokens(query: str) -> list[tuple[str, int, int]]:
     """TOK9 for one query: (token, start, end)."""
     return [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", query)]
@@ -81,7 +91,9 @@ class SpellChecker:
         words = self.vocabulary.where(F.col("weight") >= p.threshold * (self.n_docs if p.threshold < 1 else 1))
         words = words.select(F.col("phrase").alias("word"), F.col("weight").alias("freq"), F.length("phrase").alias("n"), F.substring("phrase", 1, max(1, p.min_prefix)).alias("head") if p.min_prefix else F.lit("").alias("head"))
         near = asked.join(words, ["n", "head"]).where(F.col("word") != F.col("token"))
-        distance = osa_distance(F.col("token"), F.col("word")) if p.transpositions else F.levenshtein("token", "word", p.max_edits)
+        kind = p.distance or ("transpositions" if p.transpositions else "levenshtein")
+        a, b = F.col("token"), F.col("word")
+        distance = kind(a, b) if callable(kind) else DISTANCES[kind](a, b, p.max_edits)
         near = near.withColumn("d", distance).where((F.col("d") >= 0) & (F.col("d") <= p.max_edits))
         score = F.round(1.0 - F.col("d") / F.least(F.length("token"), F.length("word")), 6)
         return near.withColumn("score", score).where((F.col("score") >= p.accuracy) & (F.col("freq") > (F.col("orig_freq") if p.mode == "more_popular" else F.lit(0)))).select("token", "orig_freq", "word", "freq", "score")
@@ -106,7 +118,7 @@ class SpellChecker:
         ranked = ranked.groupBy("token", "orig_freq", "word").agg(F.max("freq").alias("freq"), F.min("tier").alias("tier"), F.max("score").alias("score"))
         if p.mode == "not_in_index" and not p.alternative_count:
             ranked = ranked.where("orig_freq = 0 OR tier = 0")
-        order = [F.col("score").desc(), F.col("freq").desc()] if p.by == "score" else [F.col("freq").desc(), F.col("score").desc()]
+        order = {"score": [F.col("score").desc(), F.col("freq").desc()], "freq": [F.col("freq").desc(), F.col("score").desc()]}[p.by] if isinstance(p.by, str) else list(p.by)
         rank = F.row_number().over(Window.partitionBy("token").orderBy("tier", *order, "word"))
         most = F.when(F.col("orig_freq") > 0, F.lit(p.alternative_count or p.count)).otherwise(F.lit(p.count))
         best = ranked.withColumn("rank", rank).where(F.col("rank") <= most)
@@ -136,24 +148,43 @@ class SpellChecker:
         rows = [(r.start, r.end, [s.word for s in r.suggestions]) for r in found.collect() if r.suggestions]
         if not rows:
             return []
-        ranked = []
-        for n, pick in enumerate(product(*[list(enumerate(words)) for *_, words in rows])):
-            if n >= p.collation_evaluations:
-                break
-            ranked.append((sum(k for k, _ in pick), n, [w for _, w in pick]))
         out: list[tuple[str, int]] = []
-        for tried, (_, _, words) in enumerate(sorted(ranked)):
+        for tried, picks in enumerate(best_first([len(words) for *_, words in rows], p.collation_evaluations)):
             if len(out) >= p.collations or (p.collation_tries and tried >= p.collation_tries):
                 break
             text = query
-            for (start, end, _), word in sorted(zip(rows, words, strict=True), reverse=True):
-                text = text[:start] + word + text[end:]
+            for (start, end, words), k in sorted(zip(rows, picks, strict=True), key=lambda x: -x[0][0]):
+                text = text[:start] + words[k] + text[end:]
             hits = search(collection, text, mm=1, rows=None).count() if collection is not None and p.collation_tries else -1
             if hits:
                 out.append((text, hits))
         return out
 
 
+def best_first(sizes: Sequence[int], most: int) -> Iterator[tuple[int, ...]]:
+    """Choices of one index for each size, by their sum and then in order; the first `most` of them."""
+    heap, seen = [(0, (0,) * len(sizes))], {(0,) * len(sizes)}
+    for _ in range(most):
+        if not heap:
+            return
+        total, pick = heappop(heap)
+        yield pick
+        for i, k in enumerate(pick):
+            if k + 1 < sizes[i] and (more := (*pick[:i], k + 1, *pick[i + 1 :])) not in seen:
+                seen.add(more)
+                heappush(heap, (total + 1, more))
+
+
+def merge_collations(parts: Sequence[DataFrame], count: int = 1) -> DataFrame:
+    """SPL10: collations (collation, rank, hits) of several indexes as one: hits added, the greatest rank kept; those
+    of the least rank come first, then those with most hits."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    summed = every.groupBy("collation").agg(F.max("rank").alias("rank"), F.sum("hits").alias("hits"))
+    return summed.orderBy("rank", F.col("hits").desc(), "collation").limit(count)
+
+
 def merge_shards(parts: Sequence[DataFrame], count: int = 5) -> DataFrame:
     """SPL10: suggestions (token, word, freq) of several indexes as one: frequencies added, the most frequent kept."""
     every = parts[0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.analysis import first_token
@@ -54,15 +54,13 @@ class SuggestIndex:
         order = [F.col("sum").desc()] if more_popular else []
         return best.orderBy(*order, "low").limit(count).select(F.col("best.phrase").alias("suggestion"), F.col("best.weight").alias("weight"))
 
-    def suggest_many(self, prefixes: DataFrame, count: int = 5, length: int = 3) -> DataFrame:
-        """J7 in bulk: (prefix, phrase, weight) by an equi-join on the first `length` characters; shorter prefixes meet
-        phrases at their own length."""
-        asked = prefixes.select("prefix").distinct().withColumn("n", F.least(F.length("prefix"), F.lit(length)))
-        asked = asked.where("n > 0").withColumn("head", F.expr("substring(prefix, 1, n)"))
-        heads = self.phrases.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(length)))).where(F.length("phrase") >= F.col("n")).withColumn("head", F.expr("substring(phrase, 1, n)"))
-        from pyspark.sql import Window
-
-        hits = asked.join(heads, ["n", "head"]).where("startswith(phrase, prefix)")
+    def suggest_many(self, prefixes: DataFrame, count: int = 5) -> DataFrame:
+        """J7 in bulk: (prefix, phrase, weight, rank) by an equi-join of each phrase's own prefixes, of the lengths that
+        are asked for. A phrase is sent once a length; a prefix's phrases are cut to `count` before they are."""
+        asked = prefixes.select("prefix").distinct().where("prefix <> ''")
+        lengths = sorted(r["n"] for r in asked.select(F.length("prefix").alias("n")).distinct().collect())
+        heads = self.phrases.withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).where(F.length("phrase") >= F.col("n"))
+        hits = asked.join(heads.select(F.expr("substring(phrase, 1, n)").alias("prefix"), "phrase", "weight"), "prefix")
         rank = F.row_number().over(Window.partitionBy("prefix").orderBy(F.col("weight").desc(), "phrase"))
         return hits.withColumn("rank", rank).where(F.col("rank") <= count).select("prefix", "phrase", "weight", "rank")
 

@@ -27,6 +27,14 @@ class Scope:
             raise ValueError(f"unknown field {name}")
         return (name,)
 
+    def starts(self, prefix: str, name: str | None) -> Column:
+        """Whether any of the fields has a keyword, or a token, that starts with the prefix."""
+        found = F.lit(False)
+        for f in self.fields(name):
+            own = F.col(f).cast("string").startswith(prefix) if f in self.keyword else F.exists(analyze(F.col(f)), lambda t: t.startswith(prefix.lower()))
+            found = found | F.coalesce(own, F.lit(False))
+        return found
+
     def holds(self, phrase: str, name: str | None) -> Column:
         """Whether any of the fields has the phrase: an equal keyword, or its tokens in a row."""
         found = F.lit(False)
@@ -35,6 +43,11 @@ class Scope:
         return found
 
 
+def is_prefix(value: str) -> bool:
+    """`java*`, but not `*` alone."""
+    return len(value) > 1 and value.endswith("*") and "*" not in value[:-1]
+
+
 class Node:
     def render(self) -> str:
         raise NotImplementedError
@@ -51,6 +64,8 @@ class Term(Node):
         return self.value
 
     def predicate(self, scope: Scope, name: str | None = None) -> Column:
+        if is_prefix(self.value):
+            return scope.starts(self.value[:-1], name)
         return F.lit(True) if self.value == MATCH_ALL else scope.holds(self.value, name)
 
 
