@@ -134,14 +134,14 @@ def brute_topk(rows, every=50, k=5):
 
 @pytest.mark.parametrize("shard", [64, 16384])
 def test_topk(spark, monkeypatch, shard):
-    monkeypatch.setattr(balltree, "SHARD_ROWS", shard)
     monkeypatch.setattr(balltree, "QUERY_ROWS", 4)
+    monkeypatch.setattr(balltree, "NEAR", 3)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(700)]
     rows += [(700 + i, rows[i % 9][1]) for i in range(60)]
     rows += [(1000, None), (1001, [1.0, None] + [0.0] * 6), (1050, [float("nan")] * 8), (1100, [float("inf")] * 8), (None, [1.0] * 8), (1150, []), (1200, [0.5] * 3), (1250, [1e30] * 8), (1251, [-1e30] * 8), (3, rows[3][1])]
     df = spark.createDataFrame([(i, x, "clash") for i, x in rows], "vec_id long, embedding array<float>, score string")
-    got = sorted(map(tuple, balltree.top_products(df, balltree.F.col("vec_id") % 50 == 0).collect()))
+    got = sorted(map(tuple, balltree.top_products(df, balltree.F.col("vec_id") % 50 == 0, shard_rows=shard).collect()))
     plain = [r for r in got if r[0] not in (1250,) and abs(r[3]) < 2**62]
     want = brute_topk([(i, x) for i, x in rows])
     assert [r[:3] for r in got if r[0] != 1250 and r[0] != 1251] and {r[0] for r in got} == {r[0] for r in want}
@@ -160,3 +160,39 @@ def test_ball_tree_holds_its_points():
         assert np.sqrt(((rows - n.centre) ** 2).sum(1)).max() <= n.radius + 1e-9
         stack += n.children
     assert sorted(order.tolist()) == list(range(1000))
+
+
+def clustered(n, groups, dim=16, seed=4):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(groups, dim))
+    return np.floor(256 * (middle[rng.integers(0, groups, n)] + 0.05 * rng.normal(size=(n, dim)))).astype(np.int64)
+
+
+def test_branch_and_bound_evaluates_few_products_of_clustered_vectors():
+    x = clustered(3000, 40)
+    ids = np.arange(len(x))
+    top = balltree.search(x, ids, x[::50], ids[::50], 5, np.full(60, balltree._LOW))
+    assert top.products < 0.5 * 60 * len(x)
+    s = x[::50] @ x.T
+    s[np.arange(60), ids[::50]] = balltree._LOW + 1
+    best = np.argsort(-s, 1, kind="stable")[:, :5]
+    assert (top.id == best).all() and (top.score == np.take_along_axis(s, best, 1)).all()
+
+
+def test_few_shards_are_asked_of_clustered_vectors(spark):
+    """The third stage sends queries only to balls whose bound reaches their floors; results stay exact."""
+    x = clustered(3000, 12)
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, balltree.top_products(df, balltree.F.col("vec_id") % 50 == 0, shard_rows=100).collect()))
+    assert got == brute_topk([(i, (v / 256).tolist()) for i, v in enumerate(x)])
+    centres = balltree.centres_of(x.astype(float), 30)
+    own = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    far = np.sqrt(((x - centres[own]) ** 2).sum(1))
+    balls = balltree.Balls(centres, np.array([far[own == c].max(initial=0) for c in range(30)]), np.array([-(-(own == c).sum() // 100) for c in range(30)]))
+    q = x[::50].astype(float)
+    floor = np.sort(q @ x.T, 1)[:, -6].astype(np.int64)
+    sent = [set(zip(*(a.tolist() for a in balls.targets(q, np.arange(60), floor, stage)), strict=True)) for stage in range(3)]
+    assert not sent[0] & sent[1] and not sent[1] & sent[2]
+    assert sum(map(len, sent)) < 0.4 * 60 * balls.shards.sum()
+    every = [balls.targets(q, np.arange(60), np.full(60, balltree._LOW), stage) for stage in range(3)]
+    assert sum(len(e[0]) for e in every) == 60 * balls.shards.sum()
