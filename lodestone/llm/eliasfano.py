@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import shutil
 import struct
 import uuid
 from collections.abc import Sequence
@@ -30,10 +32,65 @@ def write_arrays(path: str, arrays: Sequence[np.ndarray]) -> None:
     os.replace(temporary, path)
 
 
-def map_arrays(path: str) -> list[np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
+#: Files of a level, each of the arrays of a range of shards.
+MOST_BUNDLES = 64
+
+
+def bundle_count(bits: int) -> int:
+    return min(MOST_BUNDLES, 1 << bits)
+
+
+def _shards(bits: int, bundle: int) -> range:
+    each = (1 << bits) // bundle_count(bits)
+    return range(bundle * each, (bundle + 1) * each)
+
+
+def bundle_files(name: str, bits: int, bundle: int) -> None:
+    """Put the files `name`-shard of a bundle's shards into one, behind a table of where each begins; then remove them.
+
+    Whoever finds the bundle made by an earlier attempt only removes what is left.
+    """
+    target = f"{name}-bundle{bundle:03d}"
+    shards = _shards(bits, bundle)
+    own = [f"{name}-{s:06d}" for s in shards]
+    if not os.path.exists(target):
+        temporary = f"{target}.{uuid.uuid4().hex}"
+        with open(temporary, "wb") as f:
+            sizes = [os.path.getsize(p) if os.path.exists(p) else 0 for p in own]
+            starts = np.cumsum([8 * (len(own) + 1), *sizes]).astype("<i8")
+            f.write(starts.tobytes())
+            for p, n in zip(own, sizes, strict=True):
+                if n:
+                    with open(p, "rb") as part:
+                        shutil.copyfileobj(part, f, 1 << 20)
+        with contextlib.suppress(FileExistsError):  # an attempt that removes parts has made the bundle
+            os.link(temporary, target)
+        os.remove(temporary)
+    for p in own:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(p)
+
+
+class Bundles:
+    """The arrays of a level's shards in its mapped bundles."""
+
+    def __init__(self, name: str, bits: int):
+        self.name, self.bits, self.each = name, bits, (1 << bits) // bundle_count(bits)
+        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def arrays(self, shard: int) -> list[np.ndarray] | None:
+        b = shard // self.each
+        if b not in self.open:
+            raw = np.memmap(f"{self.name}-bundle{b:03d}", np.uint8, "r")
+            self.open[b] = raw, raw[: 8 * (self.each + 1)].view("<i8")
+        raw, starts = self.open[b]
+        lo, hi = (int(starts[shard % self.each + k]) for k in (0, 1))
+        return map_arrays(raw[lo:hi]) if hi > lo else None
+
+
+def map_arrays(raw: np.ndarray) -> list[np.ndarray]:
     if raw[:4].tobytes() != _MAGIC:
-        raise ValueError(f"{path} is no file of arrays")
+        raise ValueError("these are no arrays")
     (n,) = struct.unpack("<I", raw[4:8].tobytes())
     at, out = 8 + 16 * n, []
     for k in range(n):

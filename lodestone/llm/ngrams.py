@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .anchors import _planes, _unplanes
 from .common import plan_bytes, prepare, shared_dir, word_hashes, words_by_block
-from .eliasfano import EliasFano, map_arrays, write_arrays
+from .eliasfano import Bundles, EliasFano, bundle_count, bundle_files, write_arrays
 
 ORDER, MIN_COUNT, DISCOUNT, ADD = 3, 1, 0.75, 0.1
 #: Bytes of input for each shard of a model, and tokens that a task gathers before it sends their counts.
@@ -119,7 +119,8 @@ class Level:
 
 @dataclass(frozen=True)
 class Model:
-    """Where a model lies and its totals. Shard s has the n-grams whose first word's hash begins with s."""
+    """Where a model lies and its totals. Shard s of level 1 has the words whose hash begins with s; those of the other
+    levels have equal ranges of contexts, so that what follows a frequent word is spread over many."""
 
     path: str
     bits: int
@@ -134,44 +135,54 @@ class Model:
         """Numbers of words, START's among them."""
         return int(self.offsets[0][-1])
 
+    def bounds(self, level: int) -> np.ndarray:
+        """Where the contexts of each shard of a level begin: entries of the level before, by number."""
+        shards = 1 << self.bits
+        return np.array([int(self.offsets[level - 2][-1]) * s // shards for s in range(shards + 1)], np.int64)
+
 
 class Reader:
-    """The mapped shards of a model."""
+    """The mapped bundles of a model; a shard's arrays are looked at when they are first needed."""
 
     def __init__(self, model: Model, levels: int):
         self.model = model
-        shards = range(1 << model.bits)
-        name = lambda s, k: f"{model.path}/level{k}-{s:06d}"
-        read = lambda s, k: map_arrays(name(s, k)) if os.path.exists(name(s, k)) else None
-        ones = [read(s, 1) for s in shards]
-        self.vocabulary = [a and EliasFano(a[:5]) for a in ones]
-        self.counts = [a and a[5] for a in ones]
-        self.levels = [[(a := read(s, k)) and Level(a) for s in shards] for k in range(2, levels + 1)]
+        self.bundles = {k: Bundles(f"{model.path}/level{k}", model.bits) for k in range(1, levels + 1)}
+        self.bounds = {k: model.bounds(k) for k in range(2, levels + 1)}
+        self.held: dict[tuple[int, int], object] = {}
+
+    def shard(self, level: int, s: int):  # noqa: ANN201
+        """(vocabulary, counts) of level 1, a Level of the others, None where there is nothing."""
+        if (level, s) not in self.held:
+            a = self.bundles[level].arrays(s)
+            self.held[level, s] = None if a is None else (EliasFano(a[:5]), a[5]) if level == 1 else Level(a)
+        return self.held[level, s]
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word number or -1, count) of ascending hashes."""
         out, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         shift = 63 - self.model.bits
         edges = np.append(np.searchsorted(hashes, np.arange(1 << self.model.bits) << shift), len(hashes))
-        for s, v in enumerate(self.vocabulary):
+        for s in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[s], edges[s + 1]
-            if a == b or v is None:
+            if (found := self.shard(1, s)) is None:
                 continue
+            v, counts = found
             i = v.index(hashes[a:b] - (s << shift))
             hit = np.flatnonzero(i >= 0)
             out[a + hit] = i[hit] + self.model.offsets[0][s]
-            count[a + hit] = self.counts[s][i[hit]]
+            count[a + hit] = counts[i[hit]]
         return out, count
 
     def step(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(entry or -1, its discounted share, weight of the shorter context) for ascending contexts >= 0."""
         out, alpha, back = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-        edges = np.searchsorted(context, self.model.offsets[level - 2])
-        for s, table in enumerate(self.levels[level - 2]):
+        bounds = self.bounds[level]
+        edges = np.searchsorted(context, bounds)
+        for s in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[s], edges[s + 1]
-            if a == b or table is None:
+            if (table := self.shard(level, s)) is None:
                 continue
-            local = context[a:b] - self.model.offsets[level - 2][s]
+            local = context[a:b] - bounds[s]
             i = table.find(local, word[a:b])
             hit = np.flatnonzero(i >= 0)
             alpha[a + hit] = _VALUES[table.codes[i[hit]]]
@@ -275,10 +286,10 @@ def _count_grams(model: Model, level: int) -> Callable:
                 *_, entry = descend(r, k, entry, word, place)
             rows, context = contexts(r, level, entry, place)
             keys, n = np.unique(joint_keys(r, context, word[rows]), return_counts=True)
-            offsets = model.offsets[level - 2]
-            edges = np.searchsorted((keys // wide).astype(np.int64), offsets)
+            bounds = model.bounds(level)
+            edges = np.searchsorted((keys // wide).astype(np.int64), bounds)
             some = np.flatnonzero(np.diff(edges))
-            blobs = [_pack(keys[edges[s] : edges[s + 1]] - np.uint64(offsets[s]) * wide, n[edges[s] : edges[s + 1]]) for s in some]
+            blobs = [_pack(keys[edges[s] : edges[s + 1]] - np.uint64(bounds[s]) * wide, n[edges[s] : edges[s + 1]]) for s in some]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
         for batch in batches:
@@ -300,9 +311,9 @@ def _write_grams(model: Model, level: int, min_count: int, discount: float) -> C
         keys, n = _merge(*(np.concatenate(x) for x in zip(*(_unpack(b) for b in table.column("blob").to_pylist()), strict=True)))
         wide = np.uint64(model.size + 1)
         context, word = (keys // wide).astype(np.int64), (keys % wide).astype(np.int64) - 1
-        offsets = model.offsets[level - 2]
+        bounds = model.bounds(level)
         keep = np.flatnonzero(n >= min_count)
-        write_arrays(f"{model.path}/level{level}-{shard:06d}", Level.arrays(int(offsets[shard + 1] - offsets[shard]), context, word, n, keep, discount))
+        write_arrays(f"{model.path}/level{level}-{shard:06d}", Level.arrays(int(bounds[shard + 1] - bounds[shard]), context, word, n, keep, discount))
         return pa.table([pa.array([shard], pa.int32()), pa.array([len(keep)]), pa.array([int(n.sum())])], ["shard", "entries", "tokens"])
 
     return run
@@ -320,12 +331,27 @@ def _offsets(written: DataFrame, shards: int) -> tuple[np.ndarray, int]:
     return np.concatenate([[0], np.cumsum(sizes)]), sum(x["tokens"] for x in rows)
 
 
+def _bundle(texts: DataFrame, path: str, level: int, bits: int) -> None:
+    """Put a level's shards into at most MOST_BUNDLES files, in parallel."""
+    spark = texts.sparkSession
+    n = bundle_count(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                bundle_files(f"{path}/level{level}", bits, b)
+            yield batch
+
+    spark.range(0, n, 1, min(n, 256)).mapInArrow(run, "id long").agg(F.count(F.lit(1))).collect()
+
+
 def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT, shard_bytes: int = SHARD_BYTES) -> Model:
     """Count n-grams of column `text` (null: empty) level by level and write the model's shards to the shared folder.
 
     Level 1 has every word. Level n has the n-grams seen at least `min_count` times whose context is in level n - 1,
     with absolutely discounted shares; what the discount and the rare ones leave goes to the shorter context.
-    Counts are combined in each task and sent to the shard of the first word. Words are told apart by 63-bit hashes.
+    Counts are combined in each task and sent to the shard of their context. Words are told apart by 63-bit hashes.
+    Files appear whole or not at all, so that tasks may run again. The driver holds a number for each shard and level.
     """
     spark = texts.sparkSession
     prepare(spark)
@@ -334,10 +360,12 @@ def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disc
     bits = max(4, (max(1, plan_bytes(texts) // shard_bytes)).bit_length())
     counted = texts.select("text").mapInArrow(_count_words(bits), "shard int, blob binary")
     offsets, n = _offsets(counted.groupBy("shard").applyInArrow(_write_words(path, bits), _WRITTEN), 1 << bits)
+    _bundle(texts, path, 1, bits)
     model = Model(path, bits, order, max(0, int(offsets[-1]) - 1), n, (offsets,))
     for level in range(2, order + 1):
         counted = texts.select("text").mapInArrow(_count_grams(model, level), "shard int, blob binary")
         offsets, _ = _offsets(counted.groupBy("shard").applyInArrow(_write_grams(model, level, min_count, discount), _WRITTEN), 1 << bits)
+        _bundle(texts, path, level, bits)
         model = Model(path, bits, order, model.words, n, (*model.offsets, offsets))
     return model
 
@@ -396,7 +424,12 @@ def held_out(id_col: str = "doc_id", folds: int = 10) -> Column:
 
 
 def score_documents(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """Train on the documents that aren't held out and score all."""
+    """Train on the documents that aren't held out and score all: what score() gives, and held_out.
+
+    Texts are read whole, a block of documents at a time and a longer one by itself; null and empty ones are the end
+    alone. Null ids are learned from and not held out; rows that repeat an id count each. Other columns may have any
+    names. No rows: none. Without any training text every token has the base's one probability.
+    """
     scored = score(docs, train(docs.where(~held_out()).select("text"), min_count=min_count))
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -28,6 +28,22 @@ def test_elias_fano_is_compact():
     assert sum(a.nbytes for a in eliasfano.EliasFano.arrays(v)) * 8 / len(v) < 40 - np.log2(100_000) + 6
 
 
+def test_bundles_survive_attempts(tmp_path):
+    name, bits = str(tmp_path / "level2"), 8
+    want = {s: [np.arange(s, dtype=np.int64), np.array([s], np.uint16)] for s in range(0, 256, 3)}
+    for s, a in want.items():
+        eliasfano.write_arrays(f"{name}-{s:06d}", a)
+    for b in range(eliasfano.bundle_count(bits)):
+        eliasfano.bundle_files(name, bits, b)
+        eliasfano.bundle_files(name, bits, b)
+    assert len(list(tmp_path.iterdir())) == 64
+    bundles = eliasfano.Bundles(name, bits)
+    for s in range(256):
+        got = bundles.arrays(s)
+        assert (got is None) == (s not in want)
+        assert got is None or all((g == w).all() and len(g) == len(w) for g, w in zip(got, want[s], strict=True))
+
+
 def brute_lm(docs, order=3, min_count=1):
     """Dictionaries, no quantisation."""
     text = {}
