@@ -165,8 +165,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     """doc_id, lang_pred, score, rejected of every text.
 
     A text that is null or has no letter is `und`, scored 0 and rejected, and so is any if the model knows no
-    language. Another is rejected if its calibrated score is below the model's threshold. Null and repeated ids
-    are kept, a row each.
+    language. Another is rejected if its calibrated score is below the model's threshold. Equal scores go to the language
+    that sorts first. Null and repeated ids are kept, a row each; texts of any length are read whole. No rows: none.
     """
     prepare(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model)
@@ -209,7 +209,12 @@ def fold(id_col: str = "doc_id", folds: int = 3) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the labelled documents outside the held-out third and predict every document."""
+    """Learn from the labelled documents outside the held-out third and predict every document: what predict() gives, and
+    held_out.
+
+    Texts of any length are read whole. A document without an id is neither held out nor learned from; repeated rows
+    count each. Equal scores go to the language that sorts first. Other columns may have any names. No rows: none.
+    """
     held = F.coalesce(fold() == 1, F.lit(False))
     model = train(docs, F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3)) != 1)
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")

@@ -66,7 +66,8 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A word goes if a window of `window` words of its document that covers it is also in a document with a smaller
     id. Windows are judged on the input; repeats within one document stay. Null text has no words and, like empty
     text, the hash of nothing. Rows with null or repeated ids are documents of their own in order of (id, text),
-    null ids last. No rows: none.
+    null ids last; of equal windows those of the first document stay. A text of any length is judged whole, a long one
+    hashed in overlapping parts. Only the id and the text are read: other columns may have any names. No rows: none.
     """
     w = Windows(window, max(1, window * 2 // 5), True, False)
     rows = digests(w, repeats(ordered(docs, id_col, text_col), w, extend))

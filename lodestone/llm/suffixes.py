@@ -216,7 +216,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A byte goes if a string of `window` bytes that covers it also starts earlier: in a document with a smaller id,
     or earlier in its own. Strings are judged on the input. Null text is empty; texts shorter than a window keep
     all. Rows with null or repeated ids are documents of their own in order of (id, text), null ids last, so of
-    two equal long rows the second loses everything. No rows: none.
+    two equal long rows the second loses everything; of equal strings the earliest start stays. A text of any length is
+    judged whole, a long one hashed in overlapping parts. Only the id and the text are read: other columns may have any
+    names. No rows: none.
     """
     w = byte_windows(window)
     return digests(w, repeats(ordered(docs, id_col, text_col), w, equal_windows)).withColumnRenamed("n_units", "n_bytes")

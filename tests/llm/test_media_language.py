@@ -218,3 +218,72 @@ def test_keep_identified_without_labels_or_ids(spark):
     model = langid.train(nameless, langid.F.lit(True))
     assert sorted(model.langs) == ["de", "en"]
     assert {r.lang for r in langid.keep_identified(nameless, model).collect()} == {"de", "en"}
+
+
+def brute_features(text):
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    counts = np.zeros(4096)
+    for k in (1, 2, 3, 4):
+        for i in range(len(raw) - k + 1):
+            code = raw[i] + 977 * k
+            for c in raw[i + 1 : i + k]:
+                code = (code * 0x01000193 + c) % 2**32
+            counts[code * 0x9E3779B1 % 2**32 >> 20] += 1
+    return counts / max(1, counts.sum())
+
+
+def test_features_against_brute_force():
+    texts = ["", "a", "AbC", "Łódź und Köln", "the cat " * 9, "字", "x" * 300]
+    joined = [t.encode() for t in texts]
+    got = langid.features(np.frombuffer(b"".join(joined), np.uint8), np.concatenate([[0], np.cumsum([len(j) for j in joined])]))
+    assert np.allclose(got, [brute_features(t) for t in texts], atol=1e-6)
+
+
+def brute_fit(x, labels, dim, steps, batch, rate, seed):
+    """One example at a time, in double precision: embeddings averaged by shares, a softmax over them, plain SGD."""
+    langs = sorted(set(labels))
+    y = [langs.index(v) for v in labels]
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(y))
+    held, train = order[: len(y) // 4], order[len(y) // 4 :]
+    scale = np.minimum(1 / np.sqrt(np.maximum((x[train] ** 2).mean(0), 1e-9)), 1000) / 64
+    e, w, b = rng.normal(0, 0.1, (4096, dim)), np.zeros((dim, len(langs))), np.zeros(len(langs))
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    epochs = max(1, steps * batch // len(train))
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs) + 0.01
+        rng.shuffle(train)
+        for i in range(0, len(train), batch):
+            some = train[i : i + batch]
+            de, dw, db = np.zeros_like(e), np.zeros_like(w), np.zeros_like(b)
+            for r in some:
+                v = x[r] * scale
+                h = v @ e
+                g = softmax(h @ w + b)
+                g[y[r]] -= 1
+                dw += np.outer(h, g) / len(some)
+                db += g / len(some)
+                de += np.outer(v, w @ g) / len(some)
+            e, w, b = e - step * de, w - step * dw, b - step * db
+    z = [(x[r] * scale) @ e @ w + b for r in held]
+    loss = lambda t: np.mean([-np.log(softmax(v / t)[y[r]]) for v, r in zip(z, held, strict=True)])
+    t = min(np.geomspace(0.5, 8, 33), key=loss)
+    best = [softmax(v / t) for v in z]
+    right = [p.max() for p, r in zip(best, held, strict=True) if p.argmax() == y[r]]
+    return scale[:, None] * (e @ w), b, t, min(0.5, np.quantile(right, 0.001) * 0.9)
+
+
+def test_training_against_brute_force():
+    rng = np.random.default_rng(0)
+    words = {"en": ["the", "and", "over", "dog", "house"], "de": ["der", "und", "ueber", "hund", "haus"], "fr": ["le", "et", "sur", "chien", "maison"]}
+    labels = [lang for _ in range(20) for lang in words]
+    x = np.array([brute_features(" ".join(rng.choice(words[v], 12))) for v in labels], np.float32)
+    model = langid.fit(x, labels, dim=4, steps=12, batch=16, rate=0.5, seed=3)
+    weights, bias, temperature, threshold = brute_fit(x.astype(float), labels, 4, 12, 16, 0.5, 3)
+    assert model.langs == ["de", "en", "fr"]
+    assert np.allclose(model.weights, weights, atol=1e-3 * np.abs(weights).max()) and np.allclose(model.bias, bias, atol=1e-3)
+    assert model.temperature == pytest.approx(temperature) and model.threshold == pytest.approx(threshold, abs=1e-3)
+    z = (x @ weights + bias) / temperature
+    p = np.exp(z - z.max(1, keepdims=True))
+    best, score = model.scores(x)
+    assert (best == p.argmax(1)).all() and np.allclose(score, (p / p.sum(1, keepdims=True)).max(1), atol=1e-3)
