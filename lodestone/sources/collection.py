@@ -91,8 +91,9 @@ class Collection:
         return out.where(F.size(noise) > 0) if min_length or max_length or stop_words else out
 
     def local_pairs(self, only: DataFrame, *more: Column) -> list | None:
-        """The distinct (field, term, more...) of `only`; None if they are over MAX_LOCAL."""
-        rows = only.select("field", "term").distinct().select("field", "term", *more).limit(MAX_LOCAL + 1).collect()
+        """The (field, term, more...) of `only`, repeats included; None if they are over MAX_LOCAL. A literal table, as
+        local_terms() gives, is read without a job."""
+        rows = only.select("field", "term", *more).limit(MAX_LOCAL + 1).collect()
         return rows if len(rows) <= MAX_LOCAL else None
 
     def tf(self, fields: Sequence[str], only: DataFrame | None = None, also: Sequence[str] = (), **how: object) -> DataFrame:

@@ -83,7 +83,8 @@ class IndexedCollection(Collection):
         return self._pick(self._terms(), fields, only).select("field", "term", "df", "total")
 
 
-_kept: dict[tuple, str] = {}
+#: (session, source, its state) -> (path, documents, buckets) of an index.
+_kept: dict[tuple, tuple[str, int, int]] = {}
 
 
 def kept(collection: Collection, source: str) -> IndexedCollection:
@@ -95,7 +96,7 @@ def kept(collection: Collection, source: str) -> IndexedCollection:
     if now not in _kept:
         for old in [k for k in _kept if k[: len(name)] == name or k[0] != name[0]]:
             del _kept[old]
-        path = shared_path(spark, "index")
-        IndexedCollection.build(collection, path)
-        _kept[now] = path
-    return IndexedCollection.open(collection, _kept[now])
+        made = IndexedCollection.build(collection, shared_path(spark, "index"))
+        _kept[now] = made.path, made.n_docs, made.buckets
+    path, n, buckets = _kept[now]
+    return IndexedCollection(collection.df, collection.key, collection.text, collection.keyword, collection.payload, n, path=path, buckets=buckets)
