@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -19,7 +20,7 @@ from lodestone.plans.syntax import Scope
 from lodestone.sources import dictionaries
 from lodestone.sources.collection import Collection
 from lodestone.sources.index import kept
-from lodestone.sources.shared import shared_path
+from lodestone.sources.shared import is_folder, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,6 +143,44 @@ def mlt_text(spark: SparkSession, sf: str) -> DataFrame:
     return M.MoreLikeThese(documents(spark, sf), P()).from_text(_TEXT).response
 
 
+_HEAD = "license license for the release"
+
+
+@query(
+    "mlt_text_head",
+    f"""WITH {postings("documents", "doc_id", "text")},
+own AS (SELECT term, count(*)::DOUBLE AS tf FROM (SELECT unnest({toks(f"'{_TEXT} {_HEAD}'")}) AS term) GROUP BY term), {mlt_terms("")},
+q AS (SELECT term, score AS boost FROM chosen), {classic("q", "tf")}
+SELECT doc AS doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 10""",
+)
+def mlt_text_head(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC6: the head of a stream is text of its own fields."""
+    return M.MoreLikeThese(documents(spark, sf), P(head_fields=("text",))).from_text(_TEXT, _HEAD).response
+
+
+@query("mlt_required", recommend_sql())
+def mlt_required(spark: SparkSession, sf: str) -> DataFrame:
+    """seeds that must be there."""
+    return M.MoreLikeThese(documents(spark, sf), P()).from_docs([1, 2], required=True).response
+
+
+@query(
+    "mlt_terms_debug",
+    f"""WITH {postings("documents", "doc_id", "text")}, {mlt_terms("1, 2")}
+SELECT 'text' AS field, term, tf, df, round(idf, 6) AS idf, round(weight, 6) AS weight, 1.0::DOUBLE AS boost, round(score, 6) AS score FROM chosen""",
+)
+def mlt_terms_debug(spark: SparkSession, sf: str) -> DataFrame:
+    m = M.MoreLikeThese(documents(spark, sf), P())
+    every = M.list_terms(m.interesting_terms(m.seeds([1, 2])), "debug")
+    return every.select("field", "term", "tf", "df", "boost", *[F.round(c, 6).alias(c) for c in ("idf", "weight", "score")])
+
+
+@query("mlt_terms_list", f"WITH {postings('documents', 'doc_id', 'text')}, {mlt_terms('1, 2')} SELECT term FROM chosen")
+def mlt_terms_list(spark: SparkSession, sf: str) -> DataFrame:
+    m = M.MoreLikeThese(documents(spark, sf), P())
+    return M.list_terms(m.interesting_terms(m.seeds([1, 2])), "list")
+
+
 @query(
     "mlt_interesting_terms",
     f"""WITH {postings("documents", "doc_id", "text")}, {mlt_terms("1, 2")}
@@ -166,7 +205,8 @@ SELECT doc AS doc_id, round(sum(sqrt(freq::DOUBLE) * idf * idf * boost / sqrt(le
 FROM tf JOIN chosen USING (field, term), qs WHERE doc NOT IN (1, 2) GROUP BY doc ORDER BY score DESC, doc_id LIMIT 10""",
 )
 def mlt_multi_field_qf(spark: SparkSession, sf: str) -> DataFrame:
-    return M.MoreLikeThese(documents(spark, sf), P(fields=("text", "source"), qf={"text": 1.0, "source": 2.0})).from_docs([1, 2]).response
+    fields, boosts = tuple(dictionaries.parse_fields("text source")), dictionaries.parse_boosts("text source^2")
+    return M.MoreLikeThese(documents(spark, sf), P(fields=fields, qf=boosts)).from_docs([1, 2]).response
 
 
 @query(
@@ -313,8 +353,8 @@ parts AS (SELECT doc, term, max(p) + 0.1::DOUBLE * (sum(p) - max(p)) AS p FROM (
 SELECT doc AS p_partkey, round(sum(p) * (count(*)::DOUBLE / 3) / sqrt((SELECT sum((idf * boost) * (idf * boost)) FROM qi)), 6) AS score FROM parts GROUP BY doc ORDER BY score DESC, p_partkey LIMIT 20""",
 )
 def dismax_tie(spark: SparkSession, sf: str) -> DataFrame:
-    c = Collection(table(spark, sf, "part"), "p_partkey", ("p_name", "p_type"))
-    return search.search(c, "small large standard", qf={"p_name": 2.0, "p_type": 1.0}, mm=1, rows=20, dismax=True, tie=0.1)
+    c = Collection(table(spark, sf, "part"), "p_partkey", tuple(dictionaries.split_list("p_name, p_type")))
+    return search.search(c, "small large standard", qf=dictionaries.parse_boosts("p_name^2, p_type"), mm=1, rows=20, dismax=True, tie=0.1)
 
 
 @query(
@@ -588,6 +628,24 @@ def autocomplete(spark: SparkSession, sf: str) -> DataFrame:
     return _names(spark, sf).suggest("s", 5, True)
 
 
+@query("autocomplete_saved", ORACLES["autocomplete"])
+def autocomplete_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC11, SUG4: of an index that was saved and loaded again."""
+    path = shared_path(spark, "suggest")
+    _names(spark, sf).save(path)
+    return suggest.SuggestIndex.load(spark, path).suggest("s", 5, True)
+
+
+@query(
+    "autocomplete_normaliser",
+    f"""WITH {_PHRASES}, h AS (SELECT * FROM ph WHERE starts_with(phrase, 's') ORDER BY weight DESC, phrase LIMIT 50)
+SELECT upper(split_part(phrase, ' ', 2)) AS suggestion, sum(weight)::BIGINT AS weight FROM h GROUP BY 1 HAVING suggestion <> '' ORDER BY 1 LIMIT 5""",
+)
+def autocomplete_normaliser(spark: SparkSession, sf: str) -> DataFrame:
+    """SUG3: a normal form of one's own."""
+    return _names(spark, sf).suggest("s", 5, normalise=lambda p: F.upper(F.split_part(p, F.lit(" "), F.lit(2))))
+
+
 @query(
     "autocomplete_multicase",
     f"""WITH {_PHRASES}, v AS (SELECT * FROM (VALUES ('s'), ('S')) v(pre)),
@@ -670,6 +728,29 @@ def shard_merge(spark: SparkSession, sf: str) -> DataFrame:
     return spell.merge_shards([_checker(spark, c).suggestions(tokens).select("token", F.explode("suggestions").alias("s")).select("token", "s.word", "s.freq") for c in _halves(spark, sf)])
 
 
+@query("spell_registry", ORACLES["shard_merge"])
+def spell_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """SPL8, SPL9, SPL11: two dictionaries by name with parameters of their own, one of them refreshed."""
+    halves = _halves(spark, sf)
+    params = {"even.count": "5", "odd.count": "5", "odd.other": "1"}
+    own = {n: int(spell.SpellRegistry.own_params(params, n)["count"]) for n in ("even", "odd")}
+    registry = spell.SpellRegistry({"even": _checker(spark, halves[0], count=own["even"]), "odd": spell.SpellChecker(spark.createDataFrame([], "phrase string, weight long"), 0, None, spell.SpellParams(count=own["odd"]))})
+    registry.refresh("odd", dictionaries.frequent_terms(halves[1], "text"), halves[1].n_docs)
+    return registry.suggest(["even", "odd"], spark.createDataFrame([("licnese",), ("relesed",)], "token string"))
+
+
+@query(
+    "spell_check",
+    f"""{_RANKED}, asked_at AS (SELECT * FROM (VALUES ('licnese', 0, 7), ('the', 8, 11), ('relesed', 12, 19)) v(token, start, "end"))
+SELECT t.token, t.start, t."end", coalesce(df, 0) AS orig_freq, coalesce(string_agg(word || ':' || freq::VARCHAR, ' ' ORDER BY rank), '') AS suggestions
+FROM asked_at t LEFT JOIN voc ON term = t.token LEFT JOIN (SELECT * FROM r WHERE rank <= 5) r ON r.token = t.token GROUP BY ALL""",
+)
+def spell_check(spark: SparkSession, sf: str) -> DataFrame:
+    """SPL5: a whole query's tokens with their places."""
+    found, _, _ = _checker(spark, documents(spark, sf)).check("licnese the relesed")
+    return found.select("token", "start", "end", "orig_freq", F.array_join(F.transform("suggestions", lambda s: F.concat(s["word"], F.lit(":"), s["freq"].cast("string"))), " ").alias("suggestions"))
+
+
 @query(
     "collation_merge",
     "SELECT c AS collation, max(rank)::INTEGER AS rank, sum(hits)::BIGINT AS hits FROM (SELECT o_orderstatus AS c, count(*) AS hits, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY count(*) DESC, o_orderstatus) AS rank FROM orders GROUP BY o_orderkey % 2, o_orderstatus) GROUP BY 1 ORDER BY 2, 3 DESC, 1 LIMIT 2",
@@ -697,3 +778,31 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
 
     terms = spark.createDataFrame([("the", 1.5), ("license", 2.0)], "term string, boost double")
     return score_stream(table(spark, sf, "documents"), terms).select("doc_id", "score")
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of the table's files: of the folder that it is, or of the folder that it is in."""
+    path = f"{sf}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    return stream.parquet(path) if is_folder(spark, path) else stream.option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query("stream_windows", "SELECT date_trunc('hour', ts)::VARCHAR AS start, t AS term, count(*) AS count FROM (SELECT ts, unnest(list_filter(string_split_regex(lower(event_type), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM events) GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windowed counts of a stream of the events, run until it has read what is there."""
+    from lodestone.streaming.live import term_counts
+
+    name = f"windows_{uuid.uuid4().hex}"
+    counted = term_counts(_events(spark, sf), "ts", "event_type")
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "term", "count")
+
+
+@query("stream_rebuild", "SELECT event_type AS value, count(*) AS count FROM events WHERE event_type IS NOT NULL GROUP BY 1")
+def stream_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """Facets that follow their source: written again from every batch of a stream."""
+    from lodestone.streaming.live import rebuild_on_commit
+
+    root = shared_path(spark, "rebuild")
+    rebuild_on_commit(_events(spark, sf), lambda batch, n: facets.facet_counts(batch, "event_type").write.parquet(f"{root}/{n}"), shared_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(f"{root}/*").groupBy("value").agg(F.sum("count").alias("count"))

@@ -36,3 +36,8 @@ def source_state(spark: SparkSession, path: str) -> tuple[int, int]:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return int(files.getContentSummary(target).getLength()), int(files.getFileStatus(target).getModificationTime())
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory())

@@ -45,8 +45,8 @@ def _score_by_dictionary(stream: DataFrame, weights: dict[str, float], key: str,
 
 
 def term_counts(stream: DataFrame, time: str, text: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """(window, term, count) with a watermark."""
-    rows = stream.withWatermark(time, late).select(F.col(time), F.explode(analyze(F.col(text))).alias("term"))
+    """(window, term, count) with a watermark; times without a zone are taken in the session's."""
+    rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).select(F.col(time), F.explode(analyze(F.col(text))).alias("term"))
     return rows.groupBy(F.window(time, width).alias("window"), "term").agg(F.count(F.lit(1)).alias("count"))
 
 
