@@ -13,6 +13,7 @@ import numpy as np
 
 _MAGIC = b"EFT1"
 _U = np.uint64
+_BYTES, _HIGH = _U(0x0101010101010101), _U(0x8080808080808080)
 #: Place of the k-th set bit of each byte.
 _SELECT = np.zeros((256, 8), np.uint8)
 for _b in range(256):
@@ -117,13 +118,14 @@ def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, zeros: bool) -
     w = words[at]
     if zeros:
         w = ~w
-    rest = (k - before[at]).astype(np.int64)
-    byte = np.ascontiguousarray(w).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(byte), axis=1, dtype=np.uint8)
-    which = (upto <= rest[:, None]).sum(1)
-    row = np.arange(len(k))
-    rest -= np.where(which > 0, upto[row, np.maximum(which - 1, 0)], 0)
-    return at * 64 + which * 8 + _SELECT[byte[row, which], rest]
+    rest = k.astype(_U) - before[at].astype(_U)
+    # in each byte of `upto` the bits set up to it; bytes whose sums are at most `rest` come before the one that is sought
+    upto = w - ((w >> _U(1)) & _U(0x5555555555555555))
+    upto = (upto & _U(0x3333333333333333)) + ((upto >> _U(2)) & _U(0x3333333333333333))
+    upto = ((upto + (upto >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    which = np.bitwise_count(((rest * _BYTES | _HIGH) - upto) & _HIGH).astype(_U) << _U(3)
+    rest -= ((upto << _U(8)) >> which) & _U(255)
+    return at * 64 + which.astype(np.int64) + _SELECT[((w >> which) & _U(255)).astype(np.int64), rest.astype(np.int64)]
 
 
 class EliasFano:

@@ -228,7 +228,8 @@ def descend(r: Reader, level: int, entry: np.ndarray, word: np.ndarray, place: n
     rows, context = contexts(r, level, entry, place)
     keys, back = np.unique(joint_keys(r, context, word[rows]), return_inverse=True)
     wide = np.uint64(r.model.size + 1)
-    e, a, b = r.step(level, (keys // wide).astype(np.int64), (keys % wide).astype(np.int64) - 1)
+    of = keys // wide
+    e, a, b = r.step(level, of.astype(np.int64), (keys - of * wide).astype(np.int64) - 1)
     out = np.full(len(word), -1, np.int64)
     out[rows] = e[back]
     return rows, a[back], b[back], out
@@ -310,7 +311,8 @@ def _write_grams(model: Model, level: int, min_count: int, discount: float) -> C
         shard = table.column("shard")[0].as_py()
         keys, n = _merge(*(np.concatenate(x) for x in zip(*(_unpack(b) for b in table.column("blob").to_pylist()), strict=True)))
         wide = np.uint64(model.size + 1)
-        context, word = (keys // wide).astype(np.int64), (keys % wide).astype(np.int64) - 1
+        of = keys // wide
+        context, word = of.astype(np.int64), (keys - of * wide).astype(np.int64) - 1
         bounds = model.bounds(level)
         keep = np.flatnonzero(n >= min_count)
         write_arrays(f"{model.path}/level{level}-{shard:06d}", Level.arrays(int(bounds[shard + 1] - bounds[shard]), context, word, n, keep, discount))
