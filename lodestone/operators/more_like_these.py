@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.parser import parse
 from lodestone.sources.collection import Collection
+from lodestone.sources.shared import written
 
 from .facets import facet_counts
-from .search import DECIMALS, local_terms, must_match, per_field_rank, query_terms, require_matches, score_terms, search, terms_frame, top
+from .search import DECIMALS, local_terms, must_match, per_field_rank, query_terms, require_matches, score_terms, terms_frame, top
 from .similarity import CLASSIC, Similarity
 
 
@@ -192,17 +193,18 @@ class BlindFeedback:
 
     def run(self, query: str) -> Answer:
         c, p = self.collection, self.params
-        best = search(c, query, p.qf or None, similarity=p.similarity, mm=1, rows=p.max_docs)
+        # what the query admits and its scores are found once, for the seeds and for the answer
+        matched = written(c.df.where(parse(query).tree.predicate(c.scope)).select(c.key))
+        must = written(score_terms(c, terms_frame(c, query_terms(c, query, p.qf or None)), p.similarity, 1).drop("overlap"))
+        best = top(must.join(matched, c.key), c.key, p.max_docs)
         seeds = c.df.where(F.col(c.key).isin([r[0] for r in best.select(c.key).collect()]))
         picked = MoreLikeThese(c, RecommendParams(**{k: getattr(p, k) for k in TermParams.__dataclass_fields__}))
         terms, _ = local_terms(picked.interesting_terms(seeds))
-        must = score_terms(c, terms_frame(c, query_terms(c, query, p.qf or None)), p.similarity, 1).drop("overlap")
         should = score_terms(c, terms.select("field", "term", "df", F.col("score").alias("boost")), p.similarity, 1).select(c.key, F.col("score").alias("more"))
         docs = c.df
         for f in p.fq:
             docs = docs.where(parse(f).tree.predicate(c.scope) if isinstance(f, str) else f)
-        docs = docs.where(parse(query).tree.predicate(c.scope))
-        keys = docs.select(c.key, (p.boost_fn if p.boost_fn is not None else F.lit(1.0)).alias("__boost"))
+        keys = docs.select(c.key, (p.boost_fn if p.boost_fn is not None else F.lit(1.0)).alias("__boost")).join(matched, c.key, "left_semi")
         both = keys.join(must, c.key).join(should, c.key, "left")
         scored = both.select(c.key, ((F.col("score") + F.coalesce("more", F.lit(0.0))) * F.coalesce("__boost", F.lit(1.0))).alias("score"))
         return Answer(top(scored, c.key, p.rows), seeds, terms)
