@@ -139,8 +139,10 @@ def mix_texts(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), repeats: int
     rows = rows.join(counts, F.col("uid") == F.col("__id"))
     rows = rows.withColumn("__copy", F.explode(F.expr("sequence(if(size(__picks) > 0, 0L, 1L), __copies)")))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    part = F.expr("array_join(flatten(transform(__picks, p -> slice(__words, cast(p.lo as int) + 1, cast(p.hi - p.lo as int)))), '')")
-    rows = rows.withColumn("__words", F.when(F.col("__copy") == 0, words)).withColumn("text", F.when(F.col("__copy") == 0, part).otherwise(F.col("text")))
+    # the words are bound to a variable: beside it they would be found again for every pick
+    chosen = lambda ws: F.array_join(F.flatten(F.transform("__picks", lambda p: F.slice(ws, p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), "")
+    part = F.element_at(F.transform(F.array(words), chosen), 1)
+    rows = rows.withColumn("text", F.when(F.col("__copy") == 0, part).otherwise(F.col("text")))
     return unordered(rows, docs, n_chars=F.length("text").cast("long"))
 
 
