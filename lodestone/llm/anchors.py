@@ -38,6 +38,8 @@ HOT = 512
 CROWD = 4096
 #: Text bytes after which a task sends what it has gathered.
 FLUSH = 16 << 20
+#: Text bytes that are hashed at a time: their hashes stay in a core's cache.
+CACHED = 1 << 16
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -103,7 +105,7 @@ def segments(values: np.ndarray, bounds: np.ndarray, w: Windows) -> tuple[np.nda
 def _units(column: pa.Array, w: Windows) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, end document, unit values, bounds of the documents in them) block by block."""
     buf, offsets = as_bytes(column)
-    for lo, hi in blocks(offsets):
+    for lo, hi in blocks(offsets, CACHED):
         part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if w.words:
             starts, ends, first = word_spans(part, off)
@@ -292,6 +294,19 @@ def _reduce(w: Windows) -> Callable:
     return run
 
 
+_FETCHED = "bucket int, anchor long, uid long, at long, n int, units binary"
+_FETCHED_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+
+def _fetched(*columns: Sequence) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _FETCHED_KINDS, strict=True)], ["bucket", "anchor", "uid", "at", "n", "units"])
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ranges of these sizes, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _fetch(w: Windows, buckets: int) -> Callable:
     """Candidate segments with their units: (bucket, anchor, uid, first window, windows, bytes of the units)."""
 
@@ -305,60 +320,58 @@ def _fetch(w: Windows, buckets: int) -> Callable:
             wanted, uid = batch.column("wanted"), np.asarray(batch.column("uid"))
             buf, offsets = as_bytes(batch.column("text"))
             edges = np.asarray(wanted.offsets)
-            lo, hi, anchor, hot = (np.asarray(wanted.values.field(k)) for k in ("lo", "hi", "anchor", "hot"))
-            rows: list[tuple] = []
-            for d in range(len(uid)):
-                mine = slice(edges[d], edges[d + 1])
-                part = buf[offsets[d] : offsets[d + 1]]
-                starts = ends = None
-                if w.words:
-                    starts, ends, _ = word_spans(part, np.array([0, len(part)]))
-                raw = part.tobytes()
-                for a, b, h, hh in zip(lo[mine].tolist(), hi[mine].tolist(), anchor[mine].tolist(), hot[mine].tolist(), strict=True):
-                    for x, y, key in _split(w, part, starts, ends, a, b, h) if hh else ((a, b, h),):
-                        s, e = (int(starts[x]), int(ends[y + w.length - 2])) if w.words else (x, y + w.length - 1)
-                        rows.append((key % buckets, key, int(uid[d]), x, y - x, raw[s:e]))
-                if len(rows) > 4096:
-                    yield _fetched(rows)
-                    rows = []
-            if rows:
-                yield _fetched(rows)
+            doc = np.repeat(np.arange(len(uid)), np.diff(edges))
+            lo, hi, key, hot = (np.asarray(wanted.values.field(k))[edges[0] : edges[-1]] for k in ("lo", "hi", "anchor", "hot"))
+            if w.words:
+                starts, ends, first = word_spans(buf, offsets)
+                values = word_hashes(buf, starts, ends) if hot.any() else None
+            else:
+                starts, ends, first, values = None, None, offsets, None
+            raw = memoryview(np.ascontiguousarray(buf))
+            for a in range(0, len(lo), 4096):
+                rows = np.arange(a, min(a + 4096, len(lo)))
+                cold, warm = rows[~hot[rows]], rows[hot[rows]]
+                of, x, y, k = cold, lo[cold], hi[cold], key[cold]
+                if len(warm):
+                    at = _ranges(first[doc[warm]] + lo[warm], hi[warm] - lo[warm] + w.length - 1)
+                    row, px, py, pk = _split(w, values[at] if w.words else byte_values(buf[at]), hi[warm] - lo[warm], key[warm])
+                    of, x, y, k = (np.concatenate(c) for c in ((of, warm[row]), (x, lo[warm[row]] + px), (y, lo[warm[row]] + py), (k, pk)))
+                begin, end = first[doc[of]] + x, first[doc[of]] + y + w.length - 2
+                s, e = (starts[begin], ends[end]) if w.words else (begin, end + 1)
+                units = [bytes(raw[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+                yield _fetched(np.mod(k, buckets), k, uid[doc[of]], x, y - x, units)
 
     return run
 
 
-_FETCHED = "bucket int, anchor long, uid long, at long, n int, units binary"
-
-
-def _fetched(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "anchor", "uid", "at", "n", "units"])
-
-
-def _split(w: Windows, part: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None, lo: int, hi: int, anchor: int, width: int = 8) -> Iterator[tuple[int, int, int]]:
-    """Parts of a segment: windows whose anchor is at about the same place, keyed by the units that all those share.
+def _split(w: Windows, values: np.ndarray, n: np.ndarray, anchor: np.ndarray, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first window, end window, key) of parts of segments of n windows, whose units adjoin in `values`: windows
+    whose anchor is at about the same place, keyed by the units that all those share.
 
     Equal windows have the anchor at the same place, so they fall in the same range of places, and share the rest.
     """
-    if w.words:
-        own, stop = part[starts[lo] : ends[hi + w.length - 2]], starts[lo]
-        values = word_hashes(own, starts[lo : hi + w.length - 1] - stop, ends[lo : hi + w.length - 1] - stop)
-    else:
-        values = byte_values(part[lo : hi + w.length - 1])
-    at = segments(values, np.array([0, len(values)]), w)[2]
-    p = int(at[0])  # the anchor's distance from the first window
+    size = n + w.length - 1
+    base = np.cumsum(size) - size
     spans = Spans(values)
-    x = 0
-    while x < hi - lo:
-        place = p - x  # of the anchor in window x; falls by one a window
-        y = min(hi - lo, x + place % width + 1)
-        # the range of places is [floor, floor + width); windows in it all hold the units from the latest start on
-        floor = place // width * width
-        s, e = p - floor, p - (floor + width - 1) + w.length
-        shared = int(spans.spans(np.array([max(s, 0)]), np.array([min(e, len(values))]))[0])
-        key = int(mix64(np.array([(anchor * 31 + floor * 1_000_003 + shared) & ((1 << 64) - 1)], np.uint64))[0])
-        yield lo + x, lo + y, key >> 1
-        x = y
+    grams = spans.grams(w.gram)
+    # the anchor lies in all windows of its segment: the least hash among the places that do, the first of equals
+    room = w.places - n + 1
+    local = _ranges(n - 1, room)
+    least = np.minimum.reduceat((grams[_ranges(base + n - 1, room)] & ~PLACE) | local.astype(np.uint64), np.cumsum(room) - room)
+    p = (least & PLACE).astype(np.int64)  # the anchor's distance from the first window
+    # it falls by one a window: a range of places is [floor, floor + width)
+    head = p % width + 1
+    parts = 1 + -(-np.maximum(n - head, 0) // width)
+    row = np.repeat(np.arange(len(n)), parts)
+    k = _ranges(np.zeros(len(n), np.int64), parts)
+    x = np.where(k > 0, head[row] + (k - 1) * width, 0)
+    y = np.minimum(n[row], head[row] + k * width)
+    floor = (p[row] - x) // width * width
+    # windows of a range all hold the units from the latest start to the earliest end
+    s, e = np.maximum(p[row] - floor, 0), np.minimum(p[row] - floor - width + 1 + w.length, size[row])
+    shared = spans.spans(base[row] + s, base[row] + e)
+    key = mix64(anchor[row].astype(np.uint64) * np.uint64(31) + floor.astype(np.uint64) * np.uint64(1_000_003) + shared)
+    return row, x, y, (key >> np.uint64(1)).astype(np.int64)
 
 
 def _singles(w: Windows, buckets: int) -> Callable:
@@ -371,12 +384,12 @@ def _singles(w: Windows, buckets: int) -> Callable:
             if len(some):
                 cells = [units[r][a:b] for r, a, b in zip(row[some].tolist(), s[some].tolist(), e[some].tolist(), strict=True)]
                 k = key[some]
-                yield _fetched(list(zip((k % np.uint64(buckets)).tolist(), (k >> np.uint64(1)).tolist(), uid[some].tolist(), at[some].tolist(), [1] * len(some), cells, strict=True)))
+                yield _fetched((k % np.uint64(buckets)).astype(np.int64), (k >> np.uint64(1)).astype(np.int64), uid[some], at[some], np.ones(len(some), np.int32), cells)
         gone = order[~first]
         if len(gone):
             doc, lo, hi = _spans(uid[gone], at[gone], at[gone] + w.length)
-            bucket = mix64(doc.astype(np.uint64)) % np.uint64(buckets)
-            yield _fetched(list(zip(bucket.tolist(), [0] * len(doc), doc.tolist(), lo.tolist(), (hi - lo).tolist(), [None] * len(doc), strict=True)))
+            bucket = (mix64(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            yield _fetched(bucket, np.zeros(len(doc), np.int64), doc, lo, hi - lo, [None] * len(doc))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
