@@ -77,18 +77,19 @@ def fit(x: np.ndarray, labels: list[str], dim: int = 16, steps: int = 1000, batc
     order = rng.permutation(len(y))
     held = order[: len(y) // 4] if len(y) >= 40 else order
     train = order[len(y) // 4 :] if len(y) >= 40 else order
-    scale = 1 / np.sqrt(np.maximum((x[train] ** 2).mean(0), 1e-9))
+    squares = np.concatenate([(x[train, k : k + 256] ** 2).mean(0) for k in range(0, BUCKETS, 256)])
+    scale = 1 / np.sqrt(np.maximum(squares, 1e-9))
     scale = np.minimum(scale, 1 / np.sqrt(1e-6)).astype(np.float32)
     e = (rng.normal(0, 0.1, (BUCKETS, dim))).astype(np.float32)
     w, b = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    xs = x * scale / np.sqrt(BUCKETS)
     epochs = max(1, steps * batch // max(1, len(train)))
     for epoch in range(epochs):
         step = np.float32(rate * (1 - epoch / epochs) + 0.01)
         rng.shuffle(train)
         for i in range(0, len(train), batch):
             rows = train[i : i + batch]
-            h = xs[rows] @ e
+            xs = x[rows] * scale / np.sqrt(BUCKETS)
+            h = xs @ e
             z = h @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -97,7 +98,7 @@ def fit(x: np.ndarray, labels: list[str], dim: int = 16, steps: int = 1000, batc
             down = p @ w.T
             w -= step * (h.T @ p)
             b -= step * p.sum(0)
-            e -= step * (xs[rows].T @ down)
+            e -= step * (xs.T @ down)
     weights = (scale / np.float32(np.sqrt(BUCKETS)))[:, None] * (e @ w)
     z = x[held] @ weights + b
 
@@ -139,7 +140,9 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["share"], np.float32)
-    return fit(x, [r["lang"] for r in rows])
+    labels = [r["lang"] for r in rows]
+    del rows
+    return fit(x, labels)
 
 
 def _judge(model: LanguageModel, text: pa.Array, lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

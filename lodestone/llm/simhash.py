@@ -123,6 +123,8 @@ RADIUS = 6
 #: Points that are compared with each other without a tree; points of one shard that one task compares; points up to
 #: which one tree holds all.
 LEAF, SHARD, WHOLE = 128, 32_768, 16_384
+#: Edges up to which one task connects all.
+EDGES = 1_000_000
 
 
 def layout(n: int) -> tuple[int, int]:
@@ -194,15 +196,20 @@ class Links:
         self._connect(a[i], b[j])
 
     def _connect(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            p, q = self.label[i], self.label[j]
-            differ = p != q
-            if not differ.any():
-                return
-            i, j, p, q = i[differ], j[differ], p[differ], q[differ]
-            np.minimum.at(self.label, np.maximum(p, q), np.minimum(p, q))
-            while not np.array_equal(self.label, up := self.label[self.label]):
-                self.label = up
+        self.label = connect(self.label, i, j)
+
+
+def connect(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels of rows, each the least row that it is connected with, after rows i are linked with rows j."""
+    while True:
+        p, q = label[i], label[j]
+        differ = p != q
+        if not differ.any():
+            return label
+        i, j, p, q = i[differ], j[differ], p[differ], q[differ]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(label, up := label[label]):
+            label = up
 
 
 def search_tree(links: Links, a: np.ndarray, b: np.ndarray | None = None) -> None:
@@ -394,12 +401,27 @@ def near_points(classes: DataFrame, points: int, blocks: int, agree: int, shard:
     return met.groupBy("bucket").applyInArrow(_meet(blocks, agree), "fp long, near long, peer long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, root) of every node of edges (u, v): the least connected node, by rounds of large and small stars.
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, root) of every node but the roots, of all edges (u, v)."""
+    parts = [np.stack([np.asarray(b.column("u")), np.asarray(b.column("v"))]) for b in batches]
+    nodes, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *parts], 1), return_inverse=True)
+    i, j = at.reshape(2, -1)
+    label = connect(np.arange(len(nodes)), i, j)
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["u", "root"])
+
 
-    A large star links a node's greater neighbours to its least one, a small star the others to it; both keep the
-    components. Every round is written to the shared folder; it ends when a round changes nothing.
+def components(edges: DataFrame, whole: int = EDGES) -> DataFrame:
+    """(u, root) of every node of edges (u, v) but the roots: the least connected node.
+
+    Up to `whole` edges go to one task: rounds are some ten jobs each, whose plans and threads fill the driver however
+    few the edges. More are connected by rounds of large and small stars: a large star links a node's greater neighbours
+    to its least one, a small star the others to it; both keep the components. Every round is written to the shared
+    folder; it ends when a round changes nothing.
     """
+    if edges.count() <= whole:
+        return cut(edges.coalesce(1).mapInArrow(_connected, "u long, root long"))
+
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w"))
 
@@ -420,6 +442,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select("u", F.col("v").alias("root"))
 
 
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """(fingerprints of the documents, classes of equal ones, their links, their components' roots, number of classes)."""
+    rows = cut(fingerprints(docs, id_col, text_col))
+    classes = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
+    points = classes.count()
+    blocks, agree = layout(points)
+    met = cut(near_points(classes, points, blocks, agree))
+    return rows, classes, met, components(met.where("peer IS NOT NULL").select(F.col("fp").alias("u"), F.col("peer").alias("v"))), points
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, n_near, component_id of every document.
 
@@ -434,13 +466,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are documents of their own. A null id gives no component its name; a component of null ids alone has null.
     No rows: none.
     """
-    rows = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
-    points = classes.count()
-    blocks, agree = layout(points)
-    met = cut(near_points(classes, points, blocks, agree))
+    rows, classes, met, tree, points = linked(docs, id_col, text_col)
     near = met.groupBy("fp").agg(F.sum("near").alias("near"))
-    tree = components(met.where("peer IS NOT NULL").select(F.col("fp").alias("u"), F.col("peer").alias("v")))
     placed = classes.join(near, "fp", "left").join(tree, F.col("fp") == F.col("u"), "left")
     placed = cut(placed.select("fp", "n", "first", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("root", "fp").alias("root")))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("w"))
@@ -453,7 +480,8 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     """docs with the first document of each component only: the one of the least id, or of rows that share an id or
     have none the first in order of (id, text), null ids last."""
     rows = ordered(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    first = near_duplicates(rows, "uid").where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
+    _, classes, _, tree, _ = linked(rows, "uid")
+    first = classes.join(tree, F.col("fp") == F.col("u"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("__id")).select("__id")
     return unordered(rows.join(first, F.col("uid") == F.col("__id"), "left_semi"), docs)
 
 

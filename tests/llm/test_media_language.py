@@ -1,5 +1,6 @@
 import hashlib
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -287,3 +288,16 @@ def test_training_against_brute_force():
     p = np.exp(z - z.max(1, keepdims=True))
     best, score = model.scores(x)
     assert (best == p.argmax(1)).all() and np.allclose(score, (p / p.sum(1, keepdims=True)).max(1), atol=1e-3)
+
+
+def test_fit_holds_its_sample_once():
+    rng = np.random.default_rng(2)
+    labels = [f"l{k % 3}" for k in range(langid.SAMPLE)]
+    x = np.zeros((len(labels), langid.BUCKETS), np.float32)
+    for k in range(len(labels)):
+        x[k, rng.integers(k % 3 * 900, 2000 + k % 3 * 900, 60)] = 1 / 60
+    tracemalloc.start()
+    model = langid.fit(x, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.accuracy > 0.9 and peak < x.nbytes

@@ -140,6 +140,36 @@ def test_components_of_a_path(spark):
     assert got == {**dict.fromkeys(range(1, 60), 0), 101: 100, 103: 102}
 
 
+def jobs(spark, work):
+    """What work() gives, and how many jobs it starts."""
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextJobId()
+    return work(), scheduler.nextJobId() - before
+
+
+@pytest.mark.parametrize("whole", [simhash.EDGES, 0])
+def test_components_in_one_task_and_by_stars(spark, whole):
+    rng = np.random.default_rng(5)
+    edges = [(int(a) - 40, int(b) - 40) for a, b in rng.integers(0, 80, (45, 2))] + [(-(1 << 63), (1 << 63) - 1), (3, 3)] * 2
+    label = {v: v for e in edges for v in e}
+    while any(label[u] != label[v] for u, v in edges):
+        for u, v in edges:
+            label[u] = label[v] = min(label[u], label[v])
+    found = simhash.components(spark.createDataFrame(edges, "u long, v long"), whole).collect()
+    assert sorted((r.u, r.root) for r in found) == sorted((u, r) for u, r in label.items() if u != r)
+    assert simhash.components(spark.createDataFrame([], "u long, v long"), whole).count() == 0
+
+
+def test_few_links_take_few_jobs(spark):
+    path = [(k, k + 1) for k in range(200)]
+    found, n = jobs(spark, lambda: {r.u: r.root for r in simhash.components(spark.createDataFrame(path, "u long, v long")).collect()})
+    assert found == dict.fromkeys(range(1, 201), 0) and n <= 6
+    base = [f"w{k}" for k in range(300)]
+    docs = [(k, " ".join([*base[: k // 4], "x", *base[k // 4 :]])) for k in range(200)] + [(900 + k, f"other {k} words {k * k} here {k * 7}") for k in range(40)]
+    kept, n = jobs(spark, lambda: {r.doc_id for r in simhash.keep_representatives(documents(spark, docs)).collect()})
+    assert kept == {c for _, _, _, c in brute_near(docs)} and n <= 30
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     import corpus_pipeline as cp
 
