@@ -88,14 +88,17 @@ def weigh(collection: Collection, terms: DataFrame, similarity: Similarity) -> t
     """(postings with each term's weight, one row of query statistics): one pass over the collection or its postings, cut
     down to the terms. Document frequencies come with the terms (column df) or from the table of terms."""
     terms, fields = local_terms(terms)
-    fields = sorted(fields) if fields is not None else [r["field"] for r in terms.select("field").distinct().collect()]
+    few = fields is not None
+    fields = sorted(fields) if few else [r["field"] for r in terms.select("field").distinct().collect()]
     tf = collection.tf(fields or list(collection.fields)[:1], terms)
-    if "df" not in terms.columns:
+    if similarity.idf_kind != "none" and "df" not in terms.columns:
         terms, _ = local_terms(terms.join(collection.df_table(fields or list(collection.fields)[:1], terms).select("field", "term", "df"), ["field", "term"], "left"))
-    weighted = terms.select("field", "term", "boost", similarity.idf(F.coalesce("df", F.lit(0)), collection.n_docs).alias("idf"))
+    idf = F.lit(1.0) if similarity.idf_kind == "none" else similarity.idf(F.coalesce("df", F.lit(0)), collection.n_docs)
+    weighted = terms.select("field", "term", "boost", idf.alias("idf"))
     stats = weighted.agg(F.coalesce(F.sum(F.pow(F.col("idf") * F.col("boost"), 2)), F.lit(0.0)).alias("squares"), F.count(F.lit(1)).alias("n_terms"), F.count_distinct("term").alias("n_words"))
     part = similarity.tf(F.col("freq")) * F.col("idf") * F.col("idf") * F.col("boost") * similarity.norm(F.col("len")) * similarity.payload(F.col("payload"))
-    return tf.join(weighted, ["field", "term"]).select(collection.key, "field", "term", part.alias("part")), stats
+    literal = F.broadcast(weighted) if few else weighted  # else all postings of a frequent term go to one task
+    return tf.join(literal, ["field", "term"]).select(collection.key, "field", "term", part.alias("part")), stats
 
 
 def score_terms(collection: Collection, terms: DataFrame, similarity: Similarity = CLASSIC, mm: int | str = 1, dismax: bool = False, tie: float = 0.0) -> DataFrame:
@@ -177,7 +180,7 @@ def average_payload(collection: Collection, terms: Sequence[tuple[str, str, floa
     """P1: the sum of boost times the mean payload of each exact term; other fields' parts are their plain scores."""
     frame = terms_frame(collection, terms)
     tf = collection.tf(sorted({f for f, _, _ in terms}), frame)
-    scored = tf.join(frame, ["field", "term"]).groupBy(collection.key).agg(F.sum(F.col("boost") * F.coalesce("payload", F.lit(1.0))).alias("score"))
+    scored = tf.join(F.broadcast(frame), ["field", "term"]).groupBy(collection.key).agg(F.sum(F.col("boost") * F.coalesce("payload", F.lit(1.0))).alias("score"))
     return top(scored, collection.key, rows)
 
 

@@ -87,12 +87,24 @@ class IndexedCollection(Collection):
 _kept: dict[tuple, tuple[str, int, int]] = {}
 
 
+def _state(collection: Collection, source: str) -> tuple[tuple, tuple]:
+    """(name of an index in _kept, the same with the source's state now)."""
+    spark = collection.df.sparkSession
+    name = (spark.sparkContext.applicationId, source, collection.key, collection.text, collection.keyword, collection.payload)
+    return name, (*name, *source_state(spark, source))
+
+
+def held(collection: Collection, source: str) -> Collection:
+    """The collection with the index that kept() built of the source as it is now; without one, as it stands: a request
+    or two are read from the documents in less time than an index of them takes."""
+    return kept(collection, source) if _state(collection, source)[1] in _kept else collection
+
+
 def kept(collection: Collection, source: str) -> IndexedCollection:
     """The collection with an index in the shared folder, built when a session first asks for it and again when the
     source at this path has changed."""
     spark = collection.df.sparkSession
-    name = (spark.sparkContext.applicationId, source, collection.key, collection.text, collection.keyword, collection.payload)
-    now = (*name, *source_state(spark, source))
+    name, now = _state(collection, source)
     if now not in _kept:
         for old in [k for k in _kept if k[: len(name)] == name or k[0] != name[0]]:
             del _kept[old]
