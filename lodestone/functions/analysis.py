@@ -24,6 +24,11 @@ def drop_noise(tokens: Column, min_length: int = 0, max_length: int = 0, stop_wo
     return F.filter(tokens, keep)
 
 
+def has_letters(text: Column, phrase: str) -> Column:
+    """Whether the text has every token of the phrase somewhere in its letters: what can't hold it is not analysed."""
+    return F.forall(analyze(F.lit(phrase)), lambda t: F.contains(F.lower(text), t))
+
+
 def contains_phrase(tokens: Column, phrase: Column) -> Column:
     """Whether the phrase's tokens stand in a row. The tokens have no blank, so a padded search will do."""
     return (F.size(phrase) > 0) & F.contains(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(phrase, " "), F.lit(" ")))

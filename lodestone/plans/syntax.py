@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.analysis import analyze, contains_phrase
+from lodestone.functions.analysis import analyze, contains_phrase, has_letters
 
 MATCH_ALL = "*:*"
 
@@ -39,7 +39,8 @@ class Scope:
         """Whether any of the fields has the phrase: an equal keyword, or its tokens in a row."""
         found = F.lit(False)
         for f in self.fields(name):
-            found = found | F.coalesce(F.col(f).cast("string") == phrase if f in self.keyword else contains_phrase(analyze(F.col(f)), analyze(F.lit(phrase))), F.lit(False))
+            own = F.col(f).cast("string") == phrase if f in self.keyword else has_letters(F.col(f), phrase) & contains_phrase(analyze(F.col(f)), analyze(F.lit(phrase)))
+            found = found | F.coalesce(own, F.lit(False))
         return found
 
 

@@ -4,6 +4,7 @@ import pytest
 from lodestone import catalog
 from lodestone.operators import search
 from lodestone.operators.similarity import SIMILARITIES
+from lodestone.plans.parser import parse
 from lodestone.sources import index
 from lodestone.sources.collection import Collection
 
@@ -55,3 +56,10 @@ def test_postings_of_a_term_are_not_sent_to_one_task(docs):
     text = plan(scored)
     assert "hashpartitioning(field" not in text and "SortMergeJoin" not in text and text.count("hashpartitioning(doc_id") == 1
     assert {r.doc_id for r in scored.collect()} == {1, 2, 4, 7}
+
+
+def test_texts_without_the_letters_are_not_analysed(docs):
+    where = docs.df.where(parse('"ruby java" or SQL').tree.predicate(docs.scope))
+    assert "Contains(lower(text" in where._jdf.queryExecution().optimizedPlan().toString().replace("contains", "Contains")
+    assert sorted(r.doc_id for r in where.collect()) == [1, 4, 7]
+    assert sorted(r.doc_id for r in docs.df.where(parse("NOT rub").tree.predicate(docs.scope)).collect()) == [1, 2, 3, 4, 5, 6, 7]
