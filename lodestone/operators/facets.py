@@ -118,32 +118,54 @@ class NaiveBayesModel:
     unseen: float
     params: NaiveBayes
 
-    def transform(self, collection: Collection, class_col: str | None = None) -> DataFrame:
+    def transform(self, collection: Collection, class_col: str | None = None, existing: DataFrame | None = None) -> DataFrame:
         """AGG9: (key, class, score, rank). Every class starts from its prior and as many unseen terms as the document
-        has; only pairs that were seen are joined, and correct that."""
-        p = self.params
+        has; only pairs that were seen are joined, and correct that. Documents' own classes are in the collection, or
+        in `existing`, by its key.
+
+        The counts are written once. Those of the model's most frequent terms meet its pairs where they are, and only
+        the others are sent by term.
+        """
+        p, key = self.params, collection.key
         rows = self.priors.limit(MAX_CLASSES + 1).collect()
         if len(rows) > MAX_CLASSES:
             raise ValueError(f"over {MAX_CLASSES} classes")
         if not rows:
-            return collection.df.select(collection.key, F.lit(None).cast("string").alias("class"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-        freq = collection.tf(p.fields).select(collection.key, "field", "term", "freq")
+            return collection.df.select(key, F.lit(None).cast("string").alias("class"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
         amount = F.lit(1.0) if p.binary else F.log(F.col("freq") + 1.0) if p.log_tf else F.col("freq").cast("double")
-        freq = freq.withColumn("amount", amount).where(F.col("amount") > 0)
+        freq = written(collection.tf(p.fields).select(key, "field", "term", "freq")).withColumn("amount", amount).where(F.col("amount") > 0)
         times = F.col("amount") if p.multinomial else F.lit(1.0)
         inside = F.lit(0.0) if p.multinomial else F.log("amount")
-        base = freq.groupBy(collection.key).agg(F.sum(times).alias("terms"), F.sum(inside).alias("inside"))
+        base = freq.groupBy(key).agg(F.sum(times).alias("terms"), F.sum(inside).alias("inside"))
         every = F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(float(r["p"])).alias("p")) for r in rows])
-        base = base.withColumn("c", F.explode(every)).select(collection.key, F.col("c.class").alias("class"), (F.log("c.p") + F.col("inside") + F.col("terms") * F.log(F.lit(self.unseen) / F.col("c.p"))).alias("base"))
-        joints = F.broadcast(self.joints) if self.joints.count() <= BROADCAST_PAIRS else self.joints
-        seen = freq.join(joints, ["field", "term"]).groupBy(collection.key, "class").agg(F.sum(times * F.log(F.col("joint") / F.lit(self.unseen))).alias("more"))
-        scored = base.join(seen, [collection.key, "class"], "left").select(collection.key, "class", F.round(F.col("base") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
+        base = base.withColumn("c", F.explode(every)).select(key, F.col("c.class").alias("class"), (F.log("c.p") + F.col("inside") + F.col("terms") * F.log(F.lit(self.unseen) / F.col("c.p"))).alias("base"))
+        seen = self._met(freq.select(key, "field", "term", times.alias("times")), collection.parts(), BROADCAST_PAIRS // len(rows))
+        seen = seen.groupBy(key, "class").agg(F.sum(F.col("times") * F.col("w")).alias("more"))
+        scored = base.join(seen, [key, "class"], "left").select(key, "class", F.round(F.col("base") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
         if not p.include_existing and class_col:
-            own = collection.df.select(collection.key, F.col(class_col).cast("string").alias("class"))
-            scored = scored.join(own, [collection.key, "class"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy(collection.key).orderBy(F.col("score").desc(), "class"))
+            own = (collection.df if existing is None else existing).select(key, F.col(class_col).cast("string").alias("class"))
+            scored = scored.join(own, [key, "class"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "class"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= p.top_n)
 
+    def _met(self, counts: DataFrame, parts: int | None, terms: int) -> DataFrame:
+        """Counts with the classes that their terms were seen in and the weights w of that. Pairs of at most `terms` terms
+        go to every executor; of the other terms, both sides are sent by term, to a quarter of `parts` tasks where those are many."""
+        on = ["field", "term"]
+        weight = F.log(F.col("joint") / F.lit(self.unseen)).alias("w")
+        pairs = self.joints.select(*on, "class", weight)
+        if self.joints.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+            return counts.join(F.broadcast(pairs), on)
+        most = self.joints.groupBy(*on).agg(F.max("joint").alias("most"))
+        best = most.select("most").orderBy(F.col("most").desc()).limit(terms + 1).agg(F.min("most")).first()[0]
+        head = most.where(F.col("most") > best).select(*on)  # at most `terms`, whatever ties
+        n = (parts or 0) // 4
+        wide = n > int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sent = lambda x: x.repartition(n, *on) if wide else x
+        common = counts.join(F.broadcast(pairs.join(F.broadcast(head), on, "left_semi")), on)
+        others = [sent(x.join(F.broadcast(head), on, "left_anti")) for x in (counts, pairs)]
+        return common.union(others[0].join(others[1], on).select(common.columns))
+
     def save(self, path: str) -> None:
         self.priors.write.mode("overwrite").parquet(f"{path}/priors")
         self.joints.write.mode("overwrite").parquet(f"{path}/joints")

@@ -2,11 +2,12 @@
 
 import pytest
 from lodestone import catalog
-from lodestone.operators import search
+from lodestone.operators import facets, search
 from lodestone.operators.similarity import SIMILARITIES
 from lodestone.plans.parser import parse
 from lodestone.sources import index
 from lodestone.sources.collection import Collection
+from pyspark.sql import functions as F
 
 ROWS = [(1, "Java and SQL java", "en"), (2, "java hadoop", "en"), (3, "ruby on rails", "fr"), (4, "SQL server admin java", None), (5, None, "fr"), (6, "", "de"), (7, "ruby java sql and on", "fr")]
 
@@ -63,3 +64,17 @@ def test_texts_without_the_letters_are_not_analysed(docs):
     assert "Contains(lower(text" in where._jdf.queryExecution().optimizedPlan().toString().replace("contains", "Contains")
     assert sorted(r.doc_id for r in where.collect()) == [1, 4, 7]
     assert sorted(r.doc_id for r in docs.df.where(parse("NOT rub").tree.predicate(docs.scope)).collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
+@pytest.mark.parametrize("how", [{}, {"binary": True}, {"log_tf": True}, {"multinomial": True}, {"include_existing": False}])
+@pytest.mark.parametrize("pairs", [1, 9])
+def test_frequent_terms_meet_their_pairs_where_they_are(spark, docs, monkeypatch, how, pairs):
+    model = facets.NaiveBayes(top_n=3, **how).fit(docs, "lang")
+    want = rows(model.transform(docs, "lang"))
+    monkeypatch.setattr(facets, "BROADCAST_PAIRS", pairs)
+    bare = Collection(docs.df.drop("lang"), "doc_id", ("text",))
+    assert rows(model.transform(bare, "lang", docs.df.select("doc_id", "lang"))) == want
+    counts = bare.tf(["text"]).select("doc_id", "field", "term", F.lit(1.0).alias("times"))
+    met = model._met(counts, 4, pairs // 3)
+    assert "LeftAnti" in plan(met)
+    assert rows(met.select("doc_id", "term", "class")) == rows(counts.join(model.joints, ["field", "term"]).select("doc_id", "term", "class"))
