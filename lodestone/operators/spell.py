@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.collection import MAX_LOCAL
+
 from .search import search
 
 
@@ -86,11 +88,11 @@ class SpellChecker:
         """
         p = self.params
         band = F.explode(F.sequence(F.length("token") - p.max_edits, F.length("token") + p.max_edits))
-        asked = self.frequencies(tokens).where((F.length("token") >= p.min_query_length) & (F.col("orig_freq") <= p.max_query_frequency * self.n_docs if p.max_query_frequency < 1 else F.lit(True)))
+        asked = self.frequencies(tokens, few := self._few(tokens)).where((F.length("token") >= p.min_query_length) & (F.col("orig_freq") <= p.max_query_frequency * self.n_docs if p.max_query_frequency < 1 else F.lit(True)))
         asked = asked.select("token", "orig_freq", F.substring("token", 1, max(1, p.min_prefix)).alias("head") if p.min_prefix else F.lit("").alias("head"), band.alias("n"))
         words = self.vocabulary.where(F.col("weight") >= p.threshold * (self.n_docs if p.threshold < 1 else 1))
         words = words.select(F.col("phrase").alias("word"), F.col("weight").alias("freq"), F.length("phrase").alias("n"), F.substring("phrase", 1, max(1, p.min_prefix)).alias("head") if p.min_prefix else F.lit("").alias("head"))
-        near = asked.join(words, ["n", "head"]).where(F.col("word") != F.col("token"))
+        near = (F.broadcast(asked) if few else asked).join(words, ["n", "head"]).where(F.col("word") != F.col("token"))
         kind = p.distance or ("transpositions" if p.transpositions else "levenshtein")
         a, b = F.col("token"), F.col("word")
         distance = kind(a, b) if callable(kind) else DISTANCES[kind](a, b, p.max_edits)
@@ -98,8 +100,15 @@ class SpellChecker:
         score = F.round(1.0 - F.col("d") / F.least(F.length("token"), F.length("word")), 6)
         return near.withColumn("score", score).where((F.col("score") >= p.accuracy) & (F.col("freq") > (F.col("orig_freq") if p.mode == "more_popular" else F.lit(0)))).select("token", "orig_freq", "word", "freq", "score")
 
-    def frequencies(self, tokens: DataFrame) -> DataFrame:
+    @staticmethod
+    def _few(tokens: DataFrame) -> bool:
+        """Whether the tokens can go to every executor, so that no vocabulary is sorted for them."""
+        return tokens.limit(MAX_LOCAL + 1).count() <= MAX_LOCAL
+
+    def frequencies(self, tokens: DataFrame, few: bool | None = None) -> DataFrame:
         words = self.vocabulary.select(F.col("phrase").alias("token"), F.col("weight").alias("orig_freq"))
+        if self._few(tokens) if few is None else few:
+            words = F.broadcast(words.join(F.broadcast(tokens.select("token").distinct()), "token", "left_semi"))
         return tokens.select("token").distinct().join(words, "token", "left").withColumn("orig_freq", F.coalesce("orig_freq", F.lit(0)))
 
     def suggestions(self, tokens: DataFrame) -> DataFrame:
@@ -109,11 +118,12 @@ class SpellChecker:
         vocabulary get alternative_count suggestions, unless the mode suggests for unknown words only.
         """
         p = self.params
-        own = self.frequencies(tokens)
+        own = self.frequencies(tokens, few := self._few(tokens))
         ranked = self.candidates(tokens).select("token", "orig_freq", "word", "freq", F.lit(1).alias("tier"), "score")
         if self.typos is not None:
             known = self.vocabulary.select(F.col("phrase").alias("correction"), F.col("weight").alias("freq"))
-            fixes = own.join(self.typos, F.col("token") == F.col("typo")).join(known, "correction").where((F.col("freq") > F.col("orig_freq")) & (F.col("correction") != F.col("token")))
+            own_few = F.broadcast(own) if few else own
+            fixes = own_few.join(self.typos, F.col("token") == F.col("typo")).join(known, "correction").where((F.col("freq") > F.col("orig_freq")) & (F.col("correction") != F.col("token")))
             ranked = fixes.select("token", "orig_freq", F.col("correction").alias("word"), "freq", F.lit(0).alias("tier"), F.lit(1.0).alias("score")).union(ranked)
         ranked = ranked.groupBy("token", "orig_freq", "word").agg(F.max("freq").alias("freq"), F.min("tier").alias("tier"), F.max("score").alias("score"))
         if p.mode == "not_in_index" and not p.alternative_count:
@@ -124,7 +134,7 @@ class SpellChecker:
         best = ranked.withColumn("rank", rank).where(F.col("rank") <= most)
         listed = best.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "freq"))).alias("s"))
         listed = listed.select("token", F.transform("s", lambda x: F.struct(x["word"].alias("word"), x["freq"].alias("freq"))).alias("suggestions"))
-        return own.join(listed, "token", "left").select("token", "orig_freq", F.coalesce("suggestions", F.array().cast("array<struct<word:string,freq:bigint>>")).alias("suggestions"))
+        return own.join(F.broadcast(listed) if few else listed, "token", "left").select("token", "orig_freq", F.coalesce("suggestions", F.array().cast("array<struct<word:string,freq:bigint>>")).alias("suggestions"))
 
     def check(self, query: str, collection=None) -> tuple[DataFrame, bool, list[tuple[str, int]]]:  # noqa: ANN001
         """SPL5-SPL7: (token, start, end, orig_freq, suggestions), whether it is spelled right, and collations.
